@@ -8,10 +8,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.functions.columns import num, pick_numeric, unfold
+from gaugewell.functions.columns import melt, num, pick_numeric, unfold
 from gaugewell.functions.tails import t_two_sided
 from gaugewell.plans.concordance import concordance
-from gaugewell.plans.ranks import with_rank
+from gaugewell.plans.ranks import rank_table, with_rank
+from gaugewell.session import cut_lineage
 
 PAIRS_PER_PASS = 400
 
@@ -66,9 +67,12 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, exclude: Seque
     src = df.select(*[num(c).alias(f"x{i}") for i, c in enumerate(cols)])
     gaps = src.agg(F.count(F.lit(1)), *[F.count(f"x{i}") for i in range(len(cols))]).first()
     if all(g == gaps[0] for g in gaps):
+        names = [f"x{i}" for i in range(len(cols))]
+        ranks = cut_lineage(rank_table(melt(src, names), "value", ["column"]))
         ranked = src
-        for i in range(len(cols)):
-            ranked = with_rank(ranked, f"x{i}", f"k{i}")
+        for i, x in enumerate(names):
+            one = ranks.where(F.col("column") == x).select(F.col("_x").alias(x), F.col("avg_rank").alias(f"k{i}"))
+            ranked = ranked.join(one, x)
         return _matrix(ranked, cols, [F.col(f"k{i}") for i in range(len(cols))])
     out = None
     for i, j in combinations(range(len(cols)), 2):
