@@ -116,14 +116,17 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     firsts: dict[str, Column] | None = None,
+    maxs: dict[str, Column] | None = None,
+    mins_ahead: dict[str, Column] | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Running sums, last non-null so far and next non-null over unbounded frames.
+    """Running sums and maxima, last non-null so far, next non-null and minimum still to come.
 
     Two phases: inside each bucket by a window, across buckets by a carry table
     with one row per (series, bucket).
     """
     sums, lasts, firsts = sums or {}, lasts or {}, firsts or {}
+    maxs, mins = maxs or {}, mins_ahead or {}
     cut = bucketed(df, order, "_bucket", buckets)
     cols = [quoted(o) for o in order]
     local = Window.partitionBy(*keys, "_bucket").orderBy(*cols)
@@ -133,6 +136,8 @@ def running(
     totals = [F.sum(e).alias(f"_s_{n}") for n, e in sums.items()]
     totals += [F.max_by(e, F.when(e.isNotNull(), key_struct)).alias(f"_l_{n}") for n, e in lasts.items()]
     totals += [F.min_by(e, F.when(e.isNotNull(), key_struct)).alias(f"_f_{n}") for n, e in firsts.items()]
+    totals += [F.max(e).alias(f"_x_{n}") for n, e in maxs.items()]
+    totals += [F.min(e).alias(f"_m_{n}") for n, e in mins.items()]
     across = Window.partitionBy(*keys).orderBy("_bucket") if keys else Window.partitionBy(F.lit(0)).orderBy("_bucket")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     after = across.rowsBetween(1, Window.unboundedFollowing)
@@ -143,12 +148,16 @@ def running(
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_cs_{n}") for n in sums],
         *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_cl_{n}") for n in lasts],
         *[F.first(f"_f_{n}", ignorenulls=True).over(after).alias(f"_cf_{n}") for n in firsts],
+        *[F.max(f"_x_{n}").over(before).alias(f"_cx_{n}") for n in maxs],
+        *[F.min(f"_m_{n}").over(after).alias(f"_cm_{n}") for n in mins],
     )
     inner = cut.withColumns(
         {
             **{f"_ws_{n}": F.sum(e).over(upto) for n, e in sums.items()},
             **{f"_wl_{n}": F.last(e, ignorenulls=True).over(upto) for n, e in lasts.items()},
             **{f"_wf_{n}": F.first(e, ignorenulls=True).over(onward) for n, e in firsts.items()},
+            **{f"_wx_{n}": F.max(e).over(upto) for n, e in maxs.items()},
+            **{f"_wm_{n}": F.min(e).over(onward) for n, e in mins.items()},
         }
     )
     joined = null_safe_join(inner, carry, [*keys, "_bucket"])
@@ -157,10 +166,12 @@ def running(
             **{n: F.col(f"_cs_{n}") + F.coalesce(F.col(f"_ws_{n}"), F.lit(0)) for n in sums},
             **{n: F.coalesce(f"_wl_{n}", f"_cl_{n}") for n in lasts},
             **{n: F.coalesce(f"_wf_{n}", f"_cf_{n}") for n in firsts},
+            **{n: F.greatest(f"_wx_{n}", f"_cx_{n}") for n in maxs},
+            **{n: F.least(f"_wm_{n}", f"_cm_{n}") for n in mins},
         }
     )
     drop = ["_bucket"]
-    for tag, names in (("s", sums), ("l", lasts), ("f", firsts)):
+    for tag, names in (("s", sums), ("l", lasts), ("f", firsts), ("x", maxs), ("m", mins)):
         for n in names:
             drop += [f"_c{tag}_{n}", f"_w{tag}_{n}"]
     return done.drop(*drop)
