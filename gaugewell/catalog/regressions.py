@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gaugewell.catalog.registry import query, r
 from gaugewell.catalog.shared import document_features, embedding_columns, embedding_sql
 from gaugewell.functions.columns import tidy
-from gaugewell.operators import multivar, regress
+from gaugewell.operators import multivar, regress, robust
 
 
 def _rounded(df, digits=6):
@@ -141,11 +141,19 @@ def regression_diagnostics(load):
     return d.select("l_orderkey", "l_linenumber", "l_partkey", *[tidy(F.col(c), n).alias(c) for c, n in digits.items()])
 
 
-@query("theil_sen")
+@query(
+    "theil_sen",
+    f"""with m as (select median((b.p_retailprice-a.p_retailprice)/(b.p_size-a.p_size)) s from part a join part b on a.p_size < b.p_size)
+    select count(*)::bigint as n, {r('any_value(s)',6)} as slope, {r('median(p_retailprice)-any_value(s)*median(p_size)',4)} as intercept from part, m""",
+)
 def theil_sen(load):
-    from gaugewell.operators.robust import theil_sen as fit
+    out = robust.theil_sen(load("part"), "p_size", "p_retailprice")
+    return out.select("n", tidy(F.col("slope"), 6).alias("slope"), tidy(F.col("intercept"), 4).alias("intercept"))
+
 
-    return fit(load("part"), "p_size", "p_retailprice")
+@query("theil_sen_lineitem")
+def theil_sen_lineitem(load):
+    return robust.theil_sen(load("lineitem"), "l_quantity", "l_extendedprice")
 
 
 @query(

@@ -19,7 +19,7 @@ from gaugewell.plans.iterate import array_sum
 from gaugewell.plans.moments import moments
 from gaugewell.plans.neighbors import point_neighbors, points_of
 from gaugewell.plans.quantiles import wide_quantiles
-from gaugewell.session import cut_lineage
+from gaugewell.session import cut_lineage, held
 
 SEED = 42
 EPS = float(np.finfo(float).eps)
@@ -181,18 +181,19 @@ def one_class_svm(df: DataFrame, key: Sequence[str], columns: Sequence[str] | No
     mean = array_sum(rows, cols, lambda x: lift.matrix(x).sum(axis=0), width) / n
     w = mean / max(float(np.linalg.norm(mean)), EPS) ** 2
     rho = 1.0
-    for t in range(1, steps + 1):
-        current, level = w.copy(), rho
-
-        def grad(x: np.ndarray) -> np.ndarray:
-            z = lift.matrix(x)
-            hit = z @ current < level
-            return np.r_[z[hit].sum(axis=0), hit.sum()]
-
-        g = array_sum(rows, cols, grad, width + 1) / (nu * n)
-        rate = 0.5 / math.sqrt(t)
-        w = w - rate * (w - g[:-1])
-        rho = rho - rate * (g[-1] - 1.0)
+    with held(rows.select(*[quoted(c) for c in cols])) as kept:
+        for t in range(1, steps + 1):
+            current, level = w.copy(), rho
+
+            def grad(x: np.ndarray) -> np.ndarray:
+                z = lift.matrix(x)
+                hit = z @ current < level
+                return np.r_[z[hit].sum(axis=0), hit.sum()]
+
+            g = array_sum(kept, cols, grad, width + 1) / (nu * n)
+            rate = 0.5 / math.sqrt(t)
+            w = w - rate * (w - g[:-1])
+            rho = rho - rate * (g[-1] - 1.0)
     final = w.copy()
 
     @F.pandas_udf("double")
@@ -243,15 +244,16 @@ def elliptic_envelope(df: DataFrame, key: Sequence[str], columns: Sequence[str]
     centre = np.array(medians)
     cov = np.diag([(1.4826 * (d or 1.0)) ** 2 for d in mads])
     last = math.inf
-    for _ in range(max_steps):
-        d2 = quadratic_form(cols, centre, np.linalg.pinv(cov))
-        cut = wide_quantiles(rows, [d2], [share])[0][0]
-        m = moments(rows.where(d2 <= F.lit(cut)), cols)
-        centre, cov = m.mean, m.cov_pop
-        det = float(np.linalg.slogdet(cov)[1])
-        if not det < last - 1e-9:
-            break
-        last = det
+    with held(rows.select(*[quoted(c) for c in cols])) as kept:
+        for _ in range(max_steps):
+            d2 = quadratic_form(cols, centre, np.linalg.pinv(cov))
+            cut = wide_quantiles(kept, [d2], [share])[0][0]
+            m = moments(kept.where(d2 <= F.lit(cut)), cols)
+            centre, cov = m.mean, m.cov_pop
+            det = float(np.linalg.slogdet(cov)[1])
+            if not det < last - 1e-9:
+                break
+            last = det
     scored = rows.withColumn("score", quadratic_form(cols, centre, np.linalg.pinv(cov)))
     return _by_threshold(scored.select(*[quoted(k) for k in key], "score"), key, contamination, None)
 

@@ -32,7 +32,7 @@ from gaugewell.operators.select import univariate_f
 from gaugewell.plans.iterate import array_sum
 from gaugewell.plans.neighbors import nearest_points, points_of
 from gaugewell.plans.ordering import with_position
-from gaugewell.session import cut_lineage
+from gaugewell.session import cut_lineage, held
 
 SEED = 42
 CLASS_MAX = 1_000
@@ -168,18 +168,19 @@ def epsilon_svr(train: DataFrame, columns: Sequence[str], target: str, c: float
     names = [*[f"x{i}" for i in range(len(columns))], "y"]
     lam = 1.0 / (c * max(n, 1))
     w, avg = np.zeros(width + 1), np.zeros(width + 1)
-    for t in range(1, steps + 1):
-        current = w.copy()
-
-        def grad(m: np.ndarray) -> np.ndarray:
-            z = np.c_[lift.matrix(m[:, :-1]), np.ones(len(m))]
-            e = z @ current - m[:, -1]
-            return z.T @ np.where(np.abs(e) > epsilon / dev, np.sign(e), 0.0)
-
-        g = array_sum(rows, names, grad, width + 1) / n
-        g[:-1] += lam * w[:-1]
-        w = w - g * (4.0 / math.sqrt(t))
-        avg += (w - avg) * (2.0 / (t + 1))
+    with held(rows) as kept:
+        for t in range(1, steps + 1):
+            current = w.copy()
+
+            def grad(m: np.ndarray) -> np.ndarray:
+                z = np.c_[lift.matrix(m[:, :-1]), np.ones(len(m))]
+                e = z @ current - m[:, -1]
+                return z.T @ np.where(np.abs(e) > epsilon / dev, np.sign(e), 0.0)
+
+            g = array_sum(kept, names, grad, width + 1) / n
+            g[:-1] += lam * w[:-1]
+            w = w - g * (4.0 / math.sqrt(t))
+            avg += (w - avg) * (2.0 / (t + 1))
     final = avg.copy()
 
     @F.pandas_udf("double")

@@ -15,6 +15,7 @@ from gaugewell.operators.multivar import component_table, ordered_eigen, signed
 from gaugewell.operators.regress import linear_form
 from gaugewell.plans.iterate import array_sum
 from gaugewell.plans.moments import Moments, moments
+from gaugewell.session import cut_lineage, held
 
 
 def _filled(df: DataFrame, columns: Sequence[str] | None, key: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
@@ -118,19 +119,20 @@ def fast_ica(df: DataFrame, columns: Sequence[str] | None = None, components: in
         u, _, v = np.linalg.svd(a)
         return u @ v
 
-    for _ in range(max_iter):
-        current = w.copy()
+    with held(flat) as kept:
+        for _ in range(max_iter):
+            current = w.copy()
 
-        def step(z: np.ndarray) -> np.ndarray:
-            g = np.tanh(z @ current.T)
-            return np.r_[(g.T @ z).ravel(), (1 - g * g).sum(axis=0)]
+            def step(z: np.ndarray) -> np.ndarray:
+                g = np.tanh(z @ current.T)
+                return np.r_[(g.T @ z).ravel(), (1 - g * g).sum(axis=0)]
 
-        got = array_sum(flat, names, step, k * k + k) / m.n
-        new = decorrelate(got[: k * k].reshape(k, k) - got[k * k :, None] * w)
-        change = float(np.max(np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1)))
-        w = new
-        if change < tol:
-            break
+            got = array_sum(kept, names, step, k * k + k) / m.n
+            new = decorrelate(got[: k * k].reshape(k, k) - got[k * k :, None] * w)
+            change = float(np.max(np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1)))
+            w = new
+            if change < tol:
+                break
     unmix = signed((white / s[:, None]) @ w.T)
     table = df.sparkSession.createDataFrame(
         [(i + 1, {c: float(unmix[j, i]) for j, c in enumerate(cols)}) for i in range(k)], "component int, unmixing map<string,double>"
@@ -199,21 +201,22 @@ def nmf(df: DataFrame, columns: Sequence[str] | None = None, components: int = 2
     means = np.array(shifted.agg(*[F.avg(quoted(c)) for c in cols]).first(), dtype=float)
     h = np.random.default_rng(seed).uniform(0.5, 1.5, (k, p)) * means
     error = last = math.inf
-    for _ in range(max_iter):
-        basis = h.copy()
-
-        def step(x: np.ndarray) -> np.ndarray:
-            w = nmf_weights(x, basis)
-            e = x - w @ basis
-            return np.r_[(w.T @ w).ravel(), (w.T @ x).ravel(), (e * e).sum()]
-
-        got = array_sum(shifted, cols, step, k * k + k * p + 1)
-        ww, wx, error = got[: k * k].reshape(k, k), got[k * k : -1].reshape(k, p), math.sqrt(got[-1] / max(n, 1))
-        for _ in range(50):
-            h *= wx / np.maximum(ww @ h, 1e-12)
-        if abs(last - error) < tol * max(error, 1e-12):
-            break
-        last = error
+    with held(shifted.select(*[quoted(c) for c in cols])) as kept:
+        for _ in range(max_iter):
+            basis = h.copy()
+
+            def step(x: np.ndarray) -> np.ndarray:
+                w = nmf_weights(x, basis)
+                e = x - w @ basis
+                return np.r_[(w.T @ w).ravel(), (w.T @ x).ravel(), (e * e).sum()]
+
+            got = array_sum(kept, cols, step, k * k + k * p + 1)
+            ww, wx, error = got[: k * k].reshape(k, k), got[k * k : -1].reshape(k, p), math.sqrt(got[-1] / max(n, 1))
+            for _ in range(50):
+                h *= wx / np.maximum(ww @ h, 1e-12)
+            if abs(last - error) < tol * max(error, 1e-12):
+                break
+            last = error
     basis = h.copy()
 
     def weigh(batches):
@@ -257,7 +260,6 @@ def isomap(df: DataFrame, key: str, columns: Sequence[str] | None = None, compon
     Rows the landmarks cannot reach get null coordinates.
     """
     from gaugewell.plans.neighbors import knn
-    from gaugewell.session import cut_lineage
 
     rows, cols = _filled(df, columns, [key])
     near = knn(rows, key, cols, k)

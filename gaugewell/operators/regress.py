@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gaugewell.functions import tails
 from gaugewell.functions.columns import num, quoted
 from gaugewell.plans.moments import Moments, moments
+from gaugewell.session import held
 
 
 def complete(df: DataFrame, features: Sequence[str], target: str | None = None) -> DataFrame:
@@ -177,7 +178,12 @@ def lasso(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) ->
     return elastic_net(df, features, y, alpha, 1.0, "lasso")
 
 
-def _newton(rows: DataFrame, features: Sequence[str], y: str, link, l2: float, steps: int = 25, tol: float = 1e-10):
+def _newton(rows: DataFrame, features: Sequence[str], y: str, link, l2: float):
+    with held(rows.select(*[quoted(c) for c in [*features, y]])) as kept:
+        return _newton_steps(kept, features, y, link, l2)
+
+
+def _newton_steps(rows: DataFrame, features: Sequence[str], y: str, link, l2: float, steps: int = 25, tol: float = 1e-10):
     """Newton on mean loss + ½ l2‖w‖²; one aggregate of gradient and Hessian per step.
 
     ``link(eta)`` gives (mean, variance weight) columns of the canonical family.

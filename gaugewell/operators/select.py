@@ -14,6 +14,7 @@ from gaugewell.functions.columns import impute_mean, melt, num, numeric_columns,
 from gaugewell.operators.hypothesis import anova
 from gaugewell.plans.moments import moments
 from gaugewell.plans.quantiles import wide_quantiles
+from gaugewell.session import held
 
 CLASS_LIMIT = 10
 
@@ -131,11 +132,12 @@ def rfe(df: DataFrame, target: str, features: Sequence[str] | None = None, keep:
     cols = features_of(df, target, features)
     rows, classes = _prepared(df, target, cols, task)
     left, rank = list(cols), {}
-    while len(left) > keep:
-        weights = forest_importance(rows, left, classes, trees, seed)
-        worst = left[int(np.argmin(weights))]
-        rank[worst] = len(left) - keep + 1
-        left.remove(worst)
+    with held(rows) as kept:
+        while len(left) > keep:
+            weights = forest_importance(kept, left, classes, trees, seed)
+            worst = left[int(np.argmin(weights))]
+            rank[worst] = len(left) - keep + 1
+            left.remove(worst)
     out = [(c, rank.get(c, 1), c in left) for c in cols]
     return df.sparkSession.createDataFrame(out, "feature string, rank int, selected boolean")
 
@@ -148,14 +150,15 @@ def rfecv(df: DataFrame, target: str, key: Sequence[str], features: Sequence[str
     tagged = df.withColumn("_fold", fold_number(key, folds, seed))
     rows, classes = _prepared(tagged, target, ["_fold", *cols], task)
     scores: dict[int, list[float]] = {}
-    for f in range(folds):
-        train, test = rows.where(F.col("_fold") != f), rows.where(F.col("_fold") == f)
-        left = list(cols)
-        while left:
-            model = _forest(classes, trees, seed).fit(_assembled(train, left))
-            got = score_of(model.transform(_assembled(test, left)), "_y", "prediction", classes)
-            scores.setdefault(len(left), []).append(got)
-            left.remove(left[int(np.argmin(model.featureImportances.toArray()))])
+    with held(rows) as kept:
+        for f in range(folds):
+            train, test = kept.where(F.col("_fold") != f), kept.where(F.col("_fold") == f)
+            left = list(cols)
+            while left:
+                model = _forest(classes, trees, seed).fit(_assembled(train, left))
+                got = score_of(model.transform(_assembled(test, left)), "_y", "prediction", classes)
+                scores.setdefault(len(left), []).append(got)
+                left.remove(left[int(np.argmin(model.featureImportances.toArray()))])
     best = max(scores, key=lambda s: (float(np.mean(scores[s])), -s))
     chosen = rfe(df, target, cols, best, trees, task, seed)
     return chosen.withColumn("optimal_features", F.lit(best)).withColumn("cv_score", F.lit(float(np.mean(scores[best]))))

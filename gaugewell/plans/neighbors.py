@@ -138,6 +138,9 @@ def tiles(queries: DataFrame, members: DataFrame, cells: Cells, radius: float |
         .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)))
         .drop("m_chunks", "q_chunks")
     )
+    # Both sides may come from one table: fresh names keep the cogroup unambiguous.
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     keys = ["cell", "mc", "qc"]
 
     def run(_key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
