@@ -45,6 +45,19 @@ def pick_numeric(df: DataFrame, columns: Sequence[str] | None = None, exclude: I
     return cols
 
 
+def nz(c: Column) -> Column:
+    """Null in place of zero: a safe denominator under ANSI arithmetic."""
+    return F.nullif(c.cast("double"), F.lit(0.0))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson r over the rows where both are present; null when either is constant there."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.var_pop(F.when(both, a)) * F.var_pop(F.when(both, b))
+    r = F.covar_pop(a, b) / nz(F.sqrt(spread))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+
+
 def count_if(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("long")
 

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.functions.columns import melt, num, pick_numeric, unfold
+from gaugewell.functions.columns import correlation, melt, num, pick_numeric, unfold
 from gaugewell.functions.tails import t_two_sided
 from gaugewell.plans.concordance import concordance
 from gaugewell.plans.ranks import rank_table, with_rank
@@ -27,13 +27,13 @@ def _matrix(df: DataFrame, names: Sequence[str], values: Sequence[Column], extra
         aggs = []
         for i, j in part:
             both = F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull()
-            aggs += [F.corr(f"x{i}", f"x{j}").alias(f"r{i}_{j}"), F.count(F.when(both, 1)).alias(f"n{i}_{j}")]
+            aggs += [correlation(F.col(f"x{i}"), F.col(f"x{j}")).alias(f"r{i}_{j}"), F.count(F.when(both, 1)).alias(f"n{i}_{j}")]
         if start == 0:
             for i in range(len(names)):
                 aggs += [F.var_pop(f"x{i}").alias(f"v{i}"), F.count(f"x{i}").alias(f"n{i}")]
         rows = []
         for i, j in part:
-            r = F.when(~F.isnan(F.col(f"r{i}_{j}")), F.col(f"r{i}_{j}"))
+            r = F.col(f"r{i}_{j}")
             for a, b in ((i, j), (j, i)):
                 rows.append(_cell(names[a], names[b], r, F.col(f"n{i}_{j}")))
         if start == 0:

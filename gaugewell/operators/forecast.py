@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.functions import tails
+from gaugewell.functions.columns import nz
 from gaugewell.operators.series import decompose_stl, seasonal_period
 from gaugewell.plans.blocks import block_apply, per_series, series_keys
 from gaugewell.session import cut_lineage
@@ -330,11 +331,11 @@ def fit(series: DataFrame, model: Arima | Smoothing, rounds: int = ROUNDS) -> Fi
             break
     finished = finished.unionByName(state.where("not done"))
     m, sse = F.col("stats")[0], F.col("stats")[1]
-    sigma2 = F.greatest(sse / m, F.lit(1e-300))
+    sigma2 = F.greatest(sse / nz(m), F.lit(1e-300))
     loglik = -m / 2 * (F.log(F.lit(2 * math.pi) * sigma2) + 1)
     table = finished.select(
-        *keys, F.col("best").alias("theta"), m.cast("long").alias("m"), sse.alias("sse"), (F.col("stats")[2] / m).alias("mae"),
-        (sse / m).alias("mse"), (2.0 * (k + 1) - 2 * loglik).alias("aic"), (F.log(m) * (k + 1) - 2 * loglik).alias("bic"),
+        *keys, F.col("best").alias("theta"), m.cast("long").alias("m"), sse.alias("sse"), (F.col("stats")[2] / nz(m)).alias("mae"),
+        (sse / nz(m)).alias("mse"), (2.0 * (k + 1) - 2 * loglik).alias("aic"), (F.log(m) * (k + 1) - 2 * loglik).alias("bic"),
     )
     return Fitted(model, cut_lineage(table), long_enough)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.functions import tails
-from gaugewell.functions.columns import num, quoted
+from gaugewell.functions.columns import correlation, num, nz, quoted
 from gaugewell.plans.concordance import concordance
 from gaugewell.plans.ordering import running, with_position
 from gaugewell.plans.quantiles import group_quantiles
@@ -50,9 +50,9 @@ def t_test_one_sample(df: DataFrame, value: str, popmean: float = 0.0, by: Seque
     half = tails.t_quantile(1 - alpha / 2, F.col("df")) * sem
     return _finish(
         agg.withColumn("df", dof)
-        .withColumn("statistic", (F.col("mean") - popmean) / sem)
+        .withColumn("statistic", (F.col("mean") - popmean) / nz(sem))
         .withColumn("p_value", tails.sided(tails.t_upper(F.col("statistic"), F.col("df")), alternative))
-        .withColumn("effect_size", (F.col("mean") - popmean) / F.col("std"))
+        .withColumn("effect_size", (F.col("mean") - popmean) / nz(F.col("std")))
         .withColumn("_half", half)
         .withColumn("ci_low", F.col("mean") - F.col("_half"))
         .withColumn("ci_high", F.col("mean") + F.col("_half"))
@@ -72,18 +72,18 @@ def t_test_independent(df: DataFrame, value: str, group: str, first, second, equ
         F.var_samp(a).alias("var1"), F.var_samp(b).alias("var2"),
     )
     n1, n2, v1, v2 = F.col("n1"), F.col("n2"), F.col("var1"), F.col("var2")
-    pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
+    pooled = ((n1 - 1) * v1 + (n2 - 1) * v2) / nz(n1 + n2 - 2)
     if equal_var:
-        se, dof = F.sqrt(pooled * (1 / n1 + 1 / n2)), (n1 + n2 - 2).cast("double")
+        se, dof = F.sqrt(pooled * (1 / nz(n1) + 1 / nz(n2))), (n1 + n2 - 2).cast("double")
     else:
-        se = F.sqrt(v1 / n1 + v2 / n2)
-        dof = F.pow(v1 / n1 + v2 / n2, 2) / (F.pow(v1 / n1, 2) / (n1 - 1) + F.pow(v2 / n2, 2) / (n2 - 1))
+        se = F.sqrt(v1 / nz(n1) + v2 / nz(n2))
+        dof = F.pow(v1 / nz(n1) + v2 / nz(n2), 2) / nz(F.pow(v1 / nz(n1), 2) / nz(n1 - 1) + F.pow(v2 / nz(n2), 2) / nz(n2 - 1))
     diff = F.col("mean1") - F.col("mean2")
     return _finish(
-        s.withColumn("statistic", diff / se)
+        s.withColumn("statistic", diff / nz(se))
         .withColumn("df", dof)
         .withColumn("p_value", tails.sided(tails.t_upper(F.col("statistic"), F.col("df")), alternative))
-        .withColumn("effect_size", diff / F.sqrt(pooled)),
+        .withColumn("effect_size", diff / nz(F.sqrt(pooled))),
         alpha,
     )
 
@@ -114,9 +114,9 @@ def mann_whitney_u(df: DataFrame, value: str, group: str, first, second, by: Seq
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / nz(n * (n - 1))))
     u = {"two-sided": F.greatest(F.col("statistic"), n1 * n2 - F.col("statistic")), "greater": F.col("statistic"), "less": n1 * n2 - F.col("statistic")}[alternative]
-    z = (u - n1 * n2 / 2 - 0.5) / sd
+    z = (u - n1 * n2 / 2 - 0.5) / nz(sd)
     upper = tails.z_upper(F.col("_z"))
     exact = _exact_u(u, F.col("n1"), F.col("n2"))
     small = (F.col("n1") <= 8) & (F.col("n2") <= 8) & (F.col("ties") == 0)
@@ -125,7 +125,7 @@ def mann_whitney_u(df: DataFrame, value: str, group: str, first, second, by: Seq
         s.withColumn("statistic", u1)
         .withColumn("_z", z)
         .withColumn("p_value", F.least(F.lit(1.0), tail * (2 if alternative == "two-sided" else 1)))
-        .withColumn("effect_size", 1 - 2 * F.col("statistic") / (n1 * n2))
+        .withColumn("effect_size", 1 - 2 * F.col("statistic") / nz(n1 * n2))
         .drop("_z", "r1", "ties")
     )
     med = group_quantiles(rows, [*by, "g"], "x", [0.5])
@@ -195,14 +195,14 @@ def wilcoxon_signed_rank(df: DataFrame, x: str, y: str | None = None, by: Sequen
     stat = F.least("w_plus", "w_minus") if alternative == "two-sided" else F.col("w_plus")
     lower = F.least("w_plus", "w_minus") if alternative == "two-sided" else (F.col("w_minus") if alternative == "greater" else F.col("w_plus"))
     exact = tails._column(wilcoxon_tail, 2)(lower.cast("double"), m)
-    normal = tails.z_upper((mean - lower) / sd)
+    normal = tails.z_upper((mean - lower) / nz(sd))
     tail = F.when((m <= 50) & (F.col("ties") == 0) & (F.col("zeros") == 0), exact).otherwise(normal)
     n = F.col("n").cast("double")
-    z = (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    z = (F.col("statistic") - n * (n + 1) / 4) / nz(F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
     return _finish(
         both.withColumn("statistic", stat)
         .withColumn("p_value", F.least(F.lit(1.0), tail * (2 if alternative == "two-sided" else 1)))
-        .withColumn("effect_size", z / F.sqrt(n))
+        .withColumn("effect_size", z / nz(F.sqrt(n)))
         .drop("ties"),
         alpha,
     )
@@ -228,13 +228,13 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, by: Sequence[str] = ()
     per = cells.groupBy(*by, "g").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
     s = per.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("rr"))
     n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("rr") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    h = (12 / nz(n * (n + 1)) * F.col("rr") - 3 * (n + 1)) / nz(1 - F.col("ties") / nz(n * n * n - n))
     return _finish(
         _join(s, ties, by)
         .withColumn("statistic", h)
         .withColumn("df", (F.col("k") - 1).cast("double"))
         .withColumn("p_value", tails.chi2_upper(F.col("statistic"), F.col("df")))
-        .withColumn("effect_size", (F.col("statistic") - F.col("k") + 1) / (n - F.col("k")))
+        .withColumn("effect_size", (F.col("statistic") - F.col("k") + 1) / nz(n - F.col("k")))
         .drop("rr", "ties"),
         alpha,
     )
@@ -352,8 +352,8 @@ def normal_test(df: DataFrame, value: str, by: Sequence[str] = (), alpha: float
     z2 = (1 - 2 / (9 * a) - third) / F.sqrt(2 / (9 * a))
     return _finish(
         _shape(df, value, by)
-        .withColumn("z_skewness", z1)
-        .withColumn("z_kurtosis", z2)
+        .withColumn("z_skewness", F.when(F.col("n") >= 8, z1))
+        .withColumn("z_kurtosis", F.when(F.col("n") >= 8, z2))
         .withColumn("statistic", F.col("z_skewness") * F.col("z_skewness") + F.col("z_kurtosis") * F.col("z_kurtosis"))
         .withColumn("p_value", F.exp(-F.col("statistic") / 2)),
         alpha,
@@ -377,11 +377,11 @@ def anova(per_group: DataFrame, by: Sequence[str] = (), alpha: float = ALPHA) ->
         F.sum((n - 1) * F.coalesce(v, F.lit(0.0))).alias("within"),
     )
     total, k = F.col("_n"), F.col("k").cast("double")
-    between = F.col("_q") - F.col("_s") * F.col("_s") / total
+    between = F.col("_q") - F.col("_s") * F.col("_s") / nz(total)
     return _finish(
         s.withColumn("df1", k - 1)
         .withColumn("df2", total - k)
-        .withColumn("statistic", (between / F.col("df1")) / (F.col("within") / F.col("df2")))
+        .withColumn("statistic", (between / nz(F.col("df1"))) / nz(F.col("within") / nz(F.col("df2"))))
         .withColumn("p_value", tails.f_upper(F.col("statistic"), F.col("df1"), F.col("df2")))
         .select(*by, total.cast("long").alias("n"), "k", "statistic", "df1", "df2", "p_value"),
         alpha,
@@ -399,10 +399,10 @@ def bartlett(df: DataFrame, value: str, group: str, by: Sequence[str] = (), alph
     n, v = F.col("n").cast("double"), F.col("v")
     s = per.groupBy(*by).agg(
         F.sum(n).alias("_n"), F.count(F.lit(1)).alias("k"), F.sum((n - 1) * v).alias("_p"),
-        F.sum((n - 1) * F.log(v)).alias("_l"), F.sum(1 / (n - 1)).alias("_i"),
+        F.sum((n - 1) * F.log(v)).alias("_l"), F.sum(1 / nz(n - 1)).alias("_i"),
     )
     dof, k = F.col("_n") - F.col("k"), F.col("k").cast("double")
-    stat = (dof * F.log(F.col("_p") / dof) - F.col("_l")) / (1 + (F.col("_i") - 1 / dof) / (3 * (k - 1)))
+    stat = (dof * F.log(F.col("_p") / nz(dof)) - F.col("_l")) / nz(1 + (F.col("_i") - 1 / nz(dof)) / nz(3 * (k - 1)))
     return _finish(
         s.withColumn("statistic", stat)
         .withColumn("df", k - 1)
@@ -425,10 +425,10 @@ def fligner(df: DataFrame, value: str, group: str, by: Sequence[str] = (), alpha
         F.sum(n).alias("_n"), F.count(F.lit(1)).alias("k"), F.sum("sa").alias("_sa"), F.sum("saa").alias("_saa"),
         F.sum(F.col("sa") * F.col("sa") / n).alias("_b"),
     )
-    between = F.col("_b") - F.col("_sa") * F.col("_sa") / F.col("_n")
-    var = (F.col("_saa") - F.col("_sa") * F.col("_sa") / F.col("_n")) / (F.col("_n") - 1)
+    between = F.col("_b") - F.col("_sa") * F.col("_sa") / nz(F.col("_n"))
+    var = (F.col("_saa") - F.col("_sa") * F.col("_sa") / nz(F.col("_n"))) / nz(F.col("_n") - 1)
     return _finish(
-        s.withColumn("statistic", between / var)
+        s.withColumn("statistic", between / nz(var))
         .withColumn("df", (F.col("k") - 1).cast("double"))
         .withColumn("p_value", tails.chi2_upper(F.col("statistic"), F.col("df")))
         .select(*by, F.col("_n").cast("long").alias("n"), "k", "statistic", "df", "p_value"),
@@ -444,13 +444,13 @@ def chi_square_fit(df: DataFrame, category: str, expected: Mapping | None = None
     counts = df.where(quoted(category).isNotNull()).groupBy(*by, quoted(category).alias("category")).agg(F.count(F.lit(1)).cast("double").alias("o"))
     if expected is None:
         s = counts.groupBy(*by).agg(F.sum("o").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("o") * F.col("o")).alias("_oo"))
-        stat = F.col("k") * F.col("_oo") / F.col("n") - F.col("n")
+        stat = F.col("k") * F.col("_oo") / nz(F.col("n")) - F.col("n")
     else:
         total = float(sum(expected.values()))
         shares = F.create_map(*[x for c, w in expected.items() for x in (F.lit(c), F.lit(w / total))])
         known = counts.withColumn("w", shares[F.col("category")]).where(F.col("w").isNotNull())
         s = known.groupBy(*by).agg(F.sum("o").alias("n"), F.lit(len(expected)).cast("long").alias("k"), F.sum(F.col("o") * F.col("o") / F.col("w")).alias("_oo"))
-        stat = F.col("_oo") / F.col("n") - F.col("n")
+        stat = F.col("_oo") / nz(F.col("n")) - F.col("n")
     return _finish(
         s.withColumn("statistic", stat)
         .withColumn("df", (F.col("k") - 1).cast("double"))
@@ -482,7 +482,7 @@ def chi_square_independence(df: DataFrame, a: str, b: str, alpha: float = ALPHA)
     )
     gap = F.greatest(F.col("_d") - 0.5, F.lit(0.0))
     r2, c2 = n - F.col("_r"), n - F.col("_c")
-    yates = gap * gap * n * n * n / (F.col("_r") * r2 * F.col("_c") * c2)
+    yates = gap * gap * n * n * n / nz(F.col("_r") * r2 * F.col("_c") * c2)
     dof = ((F.col("r") - 1) * (F.col("c") - 1)).cast("double")
     return _finish(
         s.withColumn("df", dof)
@@ -571,16 +571,16 @@ def _r_test(s: DataFrame, alternative: str) -> DataFrame:
 
 def pearson_test(df: DataFrame, x: str, y: str, by: Sequence[str] = (), alternative: str = "two-sided", alpha: float = ALPHA) -> DataFrame:
     """r, p and the Fisher-z confidence interval."""
-    s = _values(df, by, a=x, b=y).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("statistic"))
+    s = _values(df, by, a=x, b=y).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("a"), F.col("b")).alias("statistic"))
     z = F.atanh("statistic")
-    half = tails.normal_ppf(1 - alpha / 2) / F.sqrt(F.col("n") - 3)
+    half = tails.normal_ppf(1 - alpha / 2) / nz(F.sqrt(F.col("n") - 3))
     return _finish(_r_test(s, alternative).withColumn("ci_low", F.tanh(z - half)).withColumn("ci_high", F.tanh(z + half)), alpha)
 
 
 def spearman_test(df: DataFrame, x: str, y: str, by: Sequence[str] = (), alternative: str = "two-sided", alpha: float = ALPHA) -> DataFrame:
     pairs = _values(df, by, a=x, b=y)
     ranked = with_rank(with_rank(pairs, "a", "ra", by), "b", "rb", by)
-    s = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("statistic"))
+    s = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("ra"), F.col("rb")).alias("statistic"))
     return _finish(_r_test(s, alternative), alpha)
 
 

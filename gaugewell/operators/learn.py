@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewell.functions.columns import num, quoted
+from gaugewell.functions.columns import num, nz, quoted
 from gaugewell.operators import regress
 from gaugewell.operators.select import univariate_f
 from gaugewell.plans.iterate import array_sum
@@ -235,14 +235,14 @@ def classification_metrics(predicted: DataFrame, truth: str, prediction: str) ->
     r = F.when(F.col("actual") > 0, F.col("tp") / F.col("actual")).otherwise(0.0)
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     return per.agg(
-        (F.sum("tp") / F.sum("actual")).alias("accuracy"), F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f1).alias("f1_score")
+        (F.sum("tp") / nz(F.sum("actual"))).alias("accuracy"), F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f1).alias("f1_score")
     )
 
 
 def regression_metrics(predicted: DataFrame, truth: str, prediction: str) -> DataFrame:
     e = num(truth) - num(prediction)
     return predicted.agg(
-        (1 - F.sum(e * e) / (F.var_pop(num(truth)) * F.count(e))).alias("r2"),
+        (1 - F.sum(e * e) / nz(F.var_pop(num(truth)) * F.count(e))).alias("r2"),
         F.avg(e * e).alias("mse"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.functions import tails
-from gaugewell.functions.columns import num, quoted
+from gaugewell.functions.columns import num, nz, quoted
 from gaugewell.plans.moments import Moments, moments
 from gaugewell.session import held
 
@@ -281,8 +281,8 @@ def diagnostics(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     lever = F.lit(1.0 / m.n) + quadratic_form(features, m.mean[:k], inv)
     out = fitted(rows, fit, y).withColumn("leverage", lever)
     h, e = F.col("leverage"), F.col("residual")
-    return out.withColumn("standardized_residual", e / F.sqrt(F.lit(s2) * (1 - h))).withColumn(
-        "cooks_distance", e * e * h / (F.lit((k + 1) * s2) * (1 - h) * (1 - h))
+    return out.withColumn("standardized_residual", e / nz(F.sqrt(F.lit(s2) * (1 - h)))).withColumn(
+        "cooks_distance", e * e * h / nz(F.lit((k + 1) * s2) * (1 - h) * (1 - h))
     )
 
 

@@ -42,8 +42,13 @@ def new_record(spark: SparkSession, **fields) -> DataFrame:
     return spark.createDataFrame([tuple(row.get(n) for n in names)], SCHEMA)
 
 
+def conformed(records: DataFrame) -> DataFrame:
+    """The log's columns in their types and order."""
+    return records.select(*[quoted(n).cast(t).alias(n) for n, t in (p.split() for p in SCHEMA.split(", "))])
+
+
 def append(records: DataFrame, path: str) -> None:
-    records.write.mode("append").parquet(path)
+    conformed(records).write.mode("append").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +72,7 @@ def transition(records: DataFrame, status: str, at: Column | None = None, **chan
         out = out.withColumn("started_at", now)
     elif status != "pending":
         out = out.withColumn("completed_at", now)
-    return out.withColumns({k: v if isinstance(v, Column) else F.lit(v) for k, v in changes.items()})
+    return conformed(out.withColumns({k: v if isinstance(v, Column) else F.lit(v) for k, v in changes.items()}))
 
 
 def start(records: DataFrame, at: Column | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.functions import tails
-from gaugewell.functions.columns import impute_mean, melt, num, numeric_columns, quoted, unfold
+from gaugewell.functions.columns import correlation, impute_mean, melt, num, numeric_columns, nz, quoted, unfold
 from gaugewell.operators.hypothesis import anova
 from gaugewell.plans.moments import moments
 from gaugewell.plans.quantiles import wide_quantiles
@@ -52,12 +52,12 @@ def univariate_f(df: DataFrame, target: str, features: Sequence[str] | None = No
         per = long.groupBy("column", "_g").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
         scores = anova(per, ["column"]).select(F.col("column").alias("feature"), F.col("statistic").alias("score"), "p_value")
     else:
-        n = rows.agg(F.count(F.lit(1)).alias("n"), *[F.corr(num(c), num(target)).alias(f"r{i}") for i, c in enumerate(cols)])
+        n = rows.agg(F.count(F.lit(1)).alias("n"), *[correlation(num(c), num(target)).alias(f"r{i}") for i, c in enumerate(cols)])
         dof = F.col("n") - 2.0
         cells = []
         for i, c in enumerate(cols):
             r2 = F.col(f"r{i}") * F.col(f"r{i}")
-            cells.append(F.struct(F.lit(c).alias("feature"), (r2 / (1 - r2) * dof).alias("score"), dof.alias("_d")))
+            cells.append(F.struct(F.lit(c).alias("feature"), F.when(r2 >= 1, F.lit(math.inf)).otherwise(r2 / nz(1 - r2) * dof).alias("score"), dof.alias("_d")))
         scores = unfold(n, cells).withColumn("p_value", tails.f_upper(F.col("score"), F.lit(1.0), F.col("_d"))).drop("_d")
     return _ranked(scores, k)
 
@@ -95,7 +95,7 @@ def chi_square_score(df: DataFrame, target: str, features: Sequence[str] | None
     per = shifted.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(quoted(c)).alias(f"s{i}") for i, c in enumerate(cols)])
     long = per.select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("s")) for i, c in enumerate(cols)])))
     s = long.groupBy("feature").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("s").alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"))
-    scored = s.select("feature", (F.col("q") * F.col("n") / F.col("t") - F.col("t")).alias("score"), (F.col("classes") - 1.0).alias("_d"))
+    scored = s.select("feature", (F.col("q") * F.col("n") / nz(F.col("t")) - F.col("t")).alias("score"), (F.col("classes") - 1.0).alias("_d"))
     return _ranked(scored.withColumn("p_value", tails.chi2_upper(F.col("score"), F.col("_d"))).drop("_d"), k)
 
 

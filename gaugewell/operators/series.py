@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.functions import tails
+from gaugewell.functions.columns import correlation, nz
 from gaugewell.plans.blocks import block_apply, block_sums, longest, per_series, series_info, series_keys, to_series
 from gaugewell.plans.ordering import halo_blocks, halo_window
 from gaugewell.plans.quantiles import group_quantiles
@@ -222,7 +223,7 @@ def linear_trend(series: DataFrame) -> DataFrame:
     )
     dof = (F.col("n") - 2).cast("double")
     rest = F.greatest(F.col("_syy") - F.col("slope") * F.col("slope") * F.col("_sxx"), F.lit(0.0))
-    se = F.sqrt(rest / dof / F.col("_sxx"))
+    se = F.sqrt(rest / nz(dof) / nz(F.col("_sxx")))
     t = F.when(F.col("std_err") > 0, F.col("slope") / F.col("std_err"))
     p = tails.t_two_sided(F.col("_t"), dof)
     return (
@@ -285,8 +286,8 @@ def lag_correlations(series: DataFrame, lags: Sequence[int]) -> DataFrame:
     blocks = halo_blocks(series, "idx", max(lags), 0)
     w = halo_window(keys)
     lagged = blocks.withColumns({f"l{k}": F.lag("value", k).over(w) for k in lags}).where("_core")
-    s = lagged.groupBy(*keys).agg(F.first("n").alias("n"), *[F.corr("value", f"l{k}").alias(f"c{k}") for k in lags])
-    cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.when(~F.isnan(f"c{k}"), F.col(f"c{k}")).alias("autocorrelation")) for k in lags])
+    s = lagged.groupBy(*keys).agg(F.first("n").alias("n"), *[correlation(F.col("value"), F.col(f"l{k}")).alias(f"c{k}") for k in lags])
+    cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("autocorrelation")) for k in lags])
     return s.select(*keys, "n", F.inline(cells))
 
 
@@ -520,7 +521,7 @@ def seasonal_strength(decomposed: DataFrame) -> DataFrame:
     """Var(S)/(Var(S)+Var(R)), and whether the season grows with the level."""
     keys = series_keys(decomposed)
     s = decomposed.groupBy(*keys).agg(
-        F.var_pop("seasonal").alias("_s"), F.var_pop("resid").alias("_r"), F.corr("value", F.abs("seasonal")).alias("level_correlation")
+        F.var_pop("seasonal").alias("_s"), F.var_pop("resid").alias("_r"), correlation(F.col("value"), F.abs("seasonal")).alias("level_correlation")
     )
     strength = F.when(F.col("_r") > 0, F.col("_s") / (F.col("_s") + F.col("_r"))).otherwise(1.0)
     kind = F.when(F.col("level_correlation") > 0.3, "multiplicative").otherwise("additive")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewell.functions.columns import quoted
+from gaugewell.functions.columns import nz, quoted
 from gaugewell.functions.parsing import DATETIME_FORMATS, INTEGER, is_datetime_text, parse_double, text, trimmed
 
 # The words that make a column name look like a time column.
@@ -175,7 +175,7 @@ def detect(
     n = F.col("non_empty_count")
     adjust = (
         F.when(F.col("empty_ratio") > 0.5, 0.5).otherwise(1.0)
-        * F.when((n > 0) & (F.col("unique_count") / n < 0.1), 0.3).otherwise(1.0)
+        * F.when((n > 0) & (F.col("unique_count") / nz(n) < 0.1), 0.3).otherwise(1.0)
         * F.when((F.col("avg_length") < 4) | (F.col("avg_length") > 30), 0.7).otherwise(1.0)
     )
     named = evidence.join(F.broadcast(name_scores(df)), "column").withColumn("_best", F.array_max(scored))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewell.functions.columns import count_if, num, numeric_columns, quoted, string_columns, unfold
+from gaugewell.functions.columns import count_if, num, numeric_columns, nz, quoted, string_columns, unfold
 from gaugewell.functions.parsing import parse_double
 from gaugewell.operators.clean import duplicate_stats
 from gaugewell.operators.describe import distinct_counts
@@ -95,7 +95,7 @@ def _counters(df: DataFrame, rules: Sequence[str], column_rules: Mapping[str, Ma
     if "data_type" in rules:
         for c in string_columns(df):
             present, parsed = counted(F.count(quoted(c))), counted(F.count(parse_double(c)))
-            ratio = parsed / present
+            ratio = parsed / nz(present)
             issues.append(_issue((present > 0) & (ratio > 0.8), "data_type", "warning", c, F.lit(f"column '{c}' looks numeric"), F.lit(1), ratio * 100, {"current_dtype": F.lit("string"), "suggested_dtype": F.lit("double")}))
     if "outlier_check" in rules:
         cols = numeric_columns(df)
