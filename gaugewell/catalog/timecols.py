@@ -15,7 +15,7 @@ def _mixed(load):
         F.date_format(o, "yyyy-MM-dd HH:mm:ss").alias("created_at"),
         F.date_format(o, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("tagtime"),
         F.when(F.col("o_orderstatus") != "P", F.date_format(o, "yyyy-MM-dd")).alias("birth_date"),
-        F.unix_seconds(o.cast("timestamp")).cast("string").alias("epoch"),
+        F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)").cast("string").alias("epoch"),
         F.date_format(o, "MM/dd/yyyy").alias("us_day"),
         "o_orderpriority",
     )

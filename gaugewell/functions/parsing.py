@@ -24,6 +24,11 @@ DATETIME_FORMATS = (
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no", "y", "n")
 TRUE_WORDS = ("true", "1", "yes", "y")
 
+# One shape per format above, so that only text that can parse is handed to the parser.
+_DAY = {"%Y-%m-%d": r"\d{4}-\d{1,2}-\d{1,2}", "%Y/%m/%d": r"\d{4}/\d{1,2}/\d{1,2}", "%d/%m/%Y": r"\d{1,2}/\d{1,2}/\d{4}", "%d-%m-%Y": r"\d{1,2}-\d{1,2}-\d{4}"}
+_DAY |= {"%m/%d/%Y": _DAY["%d/%m/%Y"], "%m-%d-%Y": _DAY["%d-%m-%Y"]}
+ANY_DATE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
+
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INTEGER = r"^-?[0-9]+$"
 UNICODE_BLANKS = r"(?U)^\s+|\s+$"
@@ -44,10 +49,23 @@ def parse_double(c: str | Column) -> Column:
     return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
-def parse_timestamp(c: str | Column, formats=tuple(j for _, j in DATETIME_FORMATS)) -> Column:
-    """First format that fits, else null."""
+def format_shape(strptime: str) -> str:
+    """Anchored regular expression of a strptime format."""
+    day, _, clock = strptime.partition(" ")
+    tail = {"": "", "%H:%M:%S": r" +\d{1,2}:\d{1,2}:\d{1,2}", "%H:%M:%S.%f": r" +\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}"}[clock]
+    return f"^{_DAY[day]}{tail}$"
+
+
+def first_format(t: Column, formats=DATETIME_FORMATS) -> Column:
+    """Timestamp by the first format that fits; failing texts never reach the parser."""
+    tries = [F.when(t.rlike(format_shape(py)), F.try_to_timestamp(t, F.lit(j))) for py, j in formats]
+    return F.when(t.rlike(ANY_DATE), F.coalesce(*tries))
+
+
+def parse_timestamp(c: str | Column) -> Column:
+    """First format that fits, else ISO 8601, else null."""
     t = trimmed(c)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats], iso_timestamp(t))
+    return F.coalesce(first_format(t), iso_timestamp(t))
 
 
 def iso_timestamp(t: Column) -> Column:
@@ -55,9 +73,8 @@ def iso_timestamp(t: Column) -> Column:
     return F.when(t.rlike(shape), F.try_to_timestamp(t))
 
 
-def is_datetime_text(c: str | Column, formats=tuple(j for _, j in DATETIME_FORMATS)) -> Column:
-    t = trimmed(c)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).isNotNull()
+def is_datetime_text(c: str | Column) -> Column:
+    return first_format(trimmed(c)).isNotNull()
 
 
 def is_boolean_text(c: str | Column) -> Column:

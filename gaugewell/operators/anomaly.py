@@ -19,7 +19,7 @@ from gaugewell.plans.iterate import array_sum
 from gaugewell.plans.moments import moments
 from gaugewell.plans.neighbors import point_neighbors, points_of
 from gaugewell.plans.quantiles import wide_quantiles
-from gaugewell.session import cut_lineage, held
+from gaugewell.session import cut_lineage, held, spread
 
 SEED = 42
 EPS = float(np.finfo(float).eps)
@@ -68,6 +68,8 @@ def _by_threshold(scored: DataFrame, key: Sequence[str], contamination: float |
     if contamination is None:
         cut = fixed
     else:
+        # The quantile search reads the scores several times: compute them once.
+        scored = cut_lineage(scored)
         cut = wide_quantiles(scored, ["score"], [1.0 - contamination])[0][0]
     return _labelled(scored, key, F.col("score") > F.lit(cut), F.col("score"))
 
@@ -157,6 +159,7 @@ def isolation_forest(df: DataFrame, key: Sequence[str], columns: Sequence[str] |
     ``contamination=None`` flags scores over 0.5.
     """
     rows, cols = prepared(df, key, columns)
+    rows = spread(rows)
     n = rows.count()
     forest = fit_forest(rows, key, cols, trees, min(size, n), seed)
     used = min(size, n)
@@ -176,6 +179,7 @@ def isolation_forest(df: DataFrame, key: Sequence[str], columns: Sequence[str] |
 def one_class_svm(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, nu: float = 0.1, width: int = 100, steps: int = 40, seed: int = SEED) -> DataFrame:
     """RBF one-class SVM in Fourier features (approximate kernel), full-batch subgradient on the cluster."""
     rows, cols = prepared(df, key, columns)
+    rows = spread(rows)
     lift = FourierFeatures(cols, scale_gamma(rows, cols), width, seed)
     n = rows.count()
     mean = array_sum(rows, cols, lambda x: lift.matrix(x).sum(axis=0), width) / n
@@ -223,7 +227,7 @@ def local_outlier_factor(df: DataFrame, key: str, columns: Sequence[str] | None
     lof = mean.join(density, "qid").select(F.col("qid").alias("pid"), (F.col("m") / F.col("lrd")).alias("score"))
     vec = F.array(*[num(c) for c in cols])
     scored = rows.select(quoted(key), vec.alias("vec")).join(points.select("vec", "pid"), "vec").join(lof, "pid").select(quoted(key), "score")
-    return _by_threshold(cut_lineage(scored), [key], contamination, 1.5)
+    return _by_threshold(scored, [key], contamination, 1.5)
 
 
 # ---- elliptic envelope -----------------------------------------------------

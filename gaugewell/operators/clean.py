@@ -23,6 +23,7 @@ from gaugewell.functions.parsing import (
 from gaugewell.operators.outliers import iqr_fences
 from gaugewell.plans.ordering import order_value, running
 from gaugewell.plans.quantiles import wide_quantiles
+from gaugewell.session import cut_lineage
 
 RETYPE_SHARE = 0.8
 
@@ -40,7 +41,7 @@ def parse_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         aggs.append(F.count(parse_double(c)).alias(f"n{i}"))
-        aggs.append(F.count(parse_timestamp(c)).alias(f"t{i}"))
+        aggs.append(F.count(F.when(parse_double(c).isNull(), parse_timestamp(c))).alias(f"t{i}"))
     row = df.agg(*aggs).first()
     total = row["rows"] or 1
     return {c: (row[f"n{i}"] / total, row[f"t{i}"] / total) for i, c in enumerate(columns)}
@@ -439,8 +440,15 @@ def _scale(df: DataFrame, plan: CleaningPlan) -> DataFrame:
     return standardize(df, cols) if plan.standardize else df
 
 
-def clean(df: DataFrame, plan: CleaningPlan | None = None) -> tuple[DataFrame, DataFrame]:
-    """Runs the steps in fixed order; returns the cleaned rows and a log (step, rows, columns)."""
+def clean(
+    df: DataFrame, plan: CleaningPlan | None = None, keep: Callable[[DataFrame], DataFrame] | None = cut_lineage
+) -> tuple[DataFrame, DataFrame]:
+    """Runs the steps in fixed order; returns the cleaned rows and a log (step, rows, columns).
+
+    ``keep`` stores the rows after the parsing steps and after the shuffle of
+    the duplicate step, whose results later steps and the log read again; with
+    ``None`` everything stays lazy and is recomputed instead.
+    """
     plan = plan or CleaningPlan()
     steps: list[tuple[str, bool, Callable[[DataFrame], DataFrame]]] = [
         ("retype", plan.retype, retype),
@@ -461,6 +469,8 @@ def clean(df: DataFrame, plan: CleaningPlan | None = None) -> tuple[DataFrame, D
             continue
         done += 1
         current = step(current)
+        if keep is not None and name in ("text", "duplicates"):
+            current = keep(current)
         log = log.unionByName(
             current.agg(F.lit(done).alias("position"), F.lit(name).alias("step"), F.count(F.lit(1)).alias("rows"), F.lit(len(current.columns)).alias("columns"))
         )

@@ -34,10 +34,10 @@ def _finish(table: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 
 def _join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join of result tables: on the grouping, or two single rows side by side."""
+    """Join on the grouping; without one, ``b`` is a global aggregate of exactly one row and is broadcast."""
     if by:
         return a.join(b, list(by))
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 # ---- t tests ---------------------------------------------------------------

@@ -32,7 +32,7 @@ from gaugewell.operators.select import univariate_f
 from gaugewell.plans.iterate import array_sum
 from gaugewell.plans.neighbors import nearest_points, points_of
 from gaugewell.plans.ordering import with_position
-from gaugewell.session import cut_lineage, held
+from gaugewell.session import cut_lineage, held, spread
 
 SEED = 42
 CLASS_MAX = 1_000
@@ -168,7 +168,7 @@ def epsilon_svr(train: DataFrame, columns: Sequence[str], target: str, c: float
     names = [*[f"x{i}" for i in range(len(columns))], "y"]
     lam = 1.0 / (c * max(n, 1))
     w, avg = np.zeros(width + 1), np.zeros(width + 1)
-    with held(rows) as kept:
+    with held(spread(rows)) as kept:
         for t in range(1, steps + 1):
             current = w.copy()
 

@@ -15,7 +15,7 @@ from gaugewell.operators.multivar import component_table, ordered_eigen, signed
 from gaugewell.operators.regress import linear_form
 from gaugewell.plans.iterate import array_sum
 from gaugewell.plans.moments import Moments, moments
-from gaugewell.session import cut_lineage, held
+from gaugewell.session import cut_lineage, held, spread
 
 
 def _filled(df: DataFrame, columns: Sequence[str] | None, key: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
@@ -119,7 +119,7 @@ def fast_ica(df: DataFrame, columns: Sequence[str] | None = None, components: in
         u, _, v = np.linalg.svd(a)
         return u @ v
 
-    with held(flat) as kept:
+    with held(spread(flat)) as kept:
         for _ in range(max_iter):
             current = w.copy()
 
@@ -201,7 +201,7 @@ def nmf(df: DataFrame, columns: Sequence[str] | None = None, components: int = 2
     means = np.array(shifted.agg(*[F.avg(quoted(c)) for c in cols]).first(), dtype=float)
     h = np.random.default_rng(seed).uniform(0.5, 1.5, (k, p)) * means
     error = last = math.inf
-    with held(shifted.select(*[quoted(c) for c in cols])) as kept:
+    with held(spread(shifted.select(*[quoted(c) for c in cols]))) as kept:
         for _ in range(max_iter):
             basis = h.copy()
 

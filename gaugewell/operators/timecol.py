@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewell.functions.columns import nz, quoted
-from gaugewell.functions.parsing import DATETIME_FORMATS, INTEGER, is_datetime_text, parse_double, text, trimmed
+from gaugewell.functions.parsing import DATETIME_FORMATS, INTEGER, format_shape, is_datetime_text, parse_double, text, trimmed
 
 # The words that make a column name look like a time column.
 TIME_KEYWORDS = (
@@ -288,7 +288,10 @@ def preview_detect(df: DataFrame, columns: Sequence[str] | None = None, order: S
         else:
             first = F.min(v)
         aggs.append(first.alias(f"v{i}"))
-        fmt = F.coalesce(*[F.when(F.try_to_timestamp(F.col(f"v{i}"), F.lit(j)).isNotNull(), py) for py, j in PREVIEW_FORMATS])
+        first_value = F.col(f"v{i}")
+        fmt = F.coalesce(
+            *[F.when(F.when(first_value.rlike(format_shape(py)), F.try_to_timestamp(first_value, F.lit(j))).isNotNull(), py) for py, j in PREVIEW_FORMATS]
+        )
         is_text = isinstance(df.schema[c].dataType, T.StringType)
         typed = isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
         by_name = any(k in c.lower() for k in PREVIEW_NAMES)

@@ -30,6 +30,10 @@ def order_value(df: DataFrame, name: str) -> Column:
         return F.unix_date(c).cast("double")
     if kind.startswith("timestamp"):
         return F.unix_micros(c.cast("timestamp")).cast("double")
+    if kind == "string":
+        # The first six bytes as a number follow the byte order of strings.
+        lead = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(lead, 16, 10).cast("double")
     return c.cast("double")
 
 

@@ -20,6 +20,7 @@ from gaugewell.functions.columns import num, quoted
 ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
 DIRECT_ROWS = 500_000
+DIRECT_CELLS = 4_000_000
 MAX_PASSES = 8
 
 
@@ -51,7 +52,8 @@ def wide_quantiles(
     if counts is None:
         row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
         counts = [row[i] for i in range(len(xs))]
-    if max(counts, default=0) <= direct_rows:
+    cells = max(counts, default=0) * len(xs)
+    if max(counts, default=0) <= direct_rows or (direct_rows == DIRECT_ROWS and cells <= DIRECT_CELLS):
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         row = df.agg(*[F.percentile(x, wanted).alias(f"q{i}") for i, x in enumerate(xs)]).first()
         return [list(row[i]) if row[i] is not None else [None] * len(probs) for i in range(len(xs))]
@@ -83,21 +85,33 @@ def _within(x: Column, t: _Target) -> Column:
 
 
 def _narrow(df: DataFrame, xs: list[Column], targets: list[_Target]) -> None:
-    sketches = []
+    # Targets that still share a bracket share one sketch.
+    groups: dict[tuple, list[int]] = {}
     for j, t in enumerate(targets):
-        local = (t.rank - t.below + 0.5) / t.inside
-        ends = F.array(F.lit(max(0.0, local - MARGIN)), F.lit(min(1.0, local + MARGIN)))
-        sketches.append(F.percentile_approx(_within(xs[t.column], t), ends, ACCURACY).alias(f"s{j}"))
-    ends_row = df.agg(*sketches).first()
+        groups.setdefault((t.column, t.low, t.high), []).append(j)
+    sketches = []
+    for i, members in enumerate(groups.values()):
+        ends = []
+        for j in members:
+            t = targets[j]
+            local = (t.rank - t.below + 0.5) / t.inside
+            ends += [F.lit(max(0.0, local - MARGIN)), F.lit(min(1.0, local + MARGIN))]
+        first = targets[members[0]]
+        sketches.append(F.percentile_approx(_within(xs[first.column], first), F.array(*ends), ACCURACY).alias(f"s{i}"))
+    row = df.agg(*sketches).first()
+    bounds: dict[int, tuple[float, float]] = {}
+    for i, members in enumerate(groups.values()):
+        for place, j in enumerate(members):
+            bounds[j] = (row[i][2 * place], row[i][2 * place + 1])
     checks = []
     for j, t in enumerate(targets):
-        lo, hi = ends_row[j]
+        lo, hi = bounds[j]
         x = xs[t.column]
         checks.append(F.count(F.when(x < F.lit(lo), 1)).alias(f"b{j}"))
         checks.append(F.count(F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), 1)).alias(f"i{j}"))
     got = df.agg(*checks).first()
     for j, t in enumerate(targets):
-        lo, hi = ends_row[j]
+        lo, hi = bounds[j]
         below, inside = got[2 * j], got[2 * j + 1]
         covers = below <= t.rank and t.rank + 1 < below + inside
         if covers and inside < t.inside:

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -73,5 +74,16 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core before Python-heavy work.
+
+    A large table already has them and is left alone; only an input of few
+    splits (counted without reading a column) is redistributed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df if have >= cores else df.repartition(cores)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -66,6 +66,13 @@ def test_positions_follow_the_order(spark, parts):
     assert len(merged) == 500 and (merged["idx_x"] == merged["idx_y"]).all()
 
 
+def test_positions_over_text(spark):
+    words = ["b", "a", "", "zebra", "zebr", "ä", "数据", "aa", "abcdefgh", "abcdefgi"] * 3
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "w string, i int").repartition(3)
+    got = [r["w"] for r in with_position(df, ["w", "i"], buckets=5).orderBy("idx").collect()]
+    assert got == sorted(words, key=lambda w: w.encode())
+
+
 def test_hot_order_value_is_cut_by_the_tie(spark):
     df = spark.range(1000).select(F.lit(1.0).alias("t"), F.col("id"))
     sizes = bucketed(df, ["t", "id"], "b", 8).groupBy("b").count().toPandas()["count"]
