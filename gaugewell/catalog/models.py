@@ -284,10 +284,10 @@ def anomaly_iqr(load):
 @query(
     "anomaly_modified_zscore",
     f"""with q as (select median(value) a, mad(value) b, median(user_id) c, mad(user_id) d from events), s as (select event_id, greatest(0.6745*abs(value-a)/b, 0.6745*abs(user_id-c)/d) s from events, q)
-    select event_id, case when s > 3.5 then -1 else 1 end::integer as label, {r('s',5)} as score from s""",
+    select event_id, case when s > 3.5 then -1 else 1 end::integer as label, {r('s',8)} as score from s""",
 )
 def anomaly_modified_zscore(load):
-    return _rounded(anomaly.detect_anomalies(load("events"), "event_id", "modified_zscore", ["value", "user_id"]), 5)
+    return _rounded(anomaly.detect_anomalies(load("events"), "event_id", "modified_zscore", ["value", "user_id"]), 8)
 
 
 @query("anomaly_isolation_forest")

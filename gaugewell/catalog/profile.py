@@ -182,12 +182,15 @@ def correlation_lookup(load):
     return _rounded(correlate.lookup(correlate.pearson(load("lineitem"), LINE), "l_quantity", "l_extendedprice"))
 
 
+PART = ["p_partkey", "p_size", "p_retailprice"]
+
+
 @query(
     "high_correlations",
-    f"""with m as ({_corr_sql(LINE, 'lineitem')}) select column_a, column_b, correlation from m where column_a < column_b and abs(correlation) >= 0.1""",
+    f"""with m as ({_corr_sql(PART, 'part')}) select column_a, column_b, correlation from m where column_a < column_b and abs(correlation) >= 0.1""",
 )
 def high_correlations(load):
-    return _rounded(correlate.high_pairs(correlate.pearson(load("lineitem"), LINE)))
+    return _rounded(correlate.high_pairs(correlate.pearson(load("part"), PART)))
 
 
 @query(

@@ -42,7 +42,7 @@ def wide_quantiles(
     columns: Sequence[str | Column],
     probs: Sequence[float],
     counts: Sequence[int] | None = None,
-    direct_rows: int = DIRECT_ROWS,
+    direct_rows: int | None = None,
 ) -> list[list[float | None]]:
     """Linear-interpolation quantiles: one list per column, one value per prob.
 
@@ -52,8 +52,8 @@ def wide_quantiles(
     if counts is None:
         row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)]).first()
         counts = [row[i] for i in range(len(xs))]
-    cells = max(counts, default=0) * len(xs)
-    if max(counts, default=0) <= direct_rows or (direct_rows == DIRECT_ROWS and cells <= DIRECT_CELLS):
+    longest = max(counts, default=0)
+    if longest <= (direct_rows or DIRECT_ROWS) or (direct_rows is None and longest * len(xs) <= DIRECT_CELLS):
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         row = df.agg(*[F.percentile(x, wanted).alias(f"q{i}") for i, x in enumerate(xs)]).first()
         return [list(row[i]) if row[i] is not None else [None] * len(probs) for i in range(len(xs))]
@@ -66,7 +66,7 @@ def wide_quantiles(
             targets.append(_Target(i, p, rank, place - rank, -math.inf, math.inf, 0, n))
     live = [t for t in targets if counts[t.column]]
     for _ in range(MAX_PASSES):
-        open_ = [t for t in live if not t.settled and t.inside > direct_rows]
+        open_ = [t for t in live if not t.settled and t.inside > (direct_rows or DIRECT_ROWS)]
         if not open_:
             break
         _narrow(df, xs, open_)
