@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gaugewell.catalog.registry import query, r
+from gaugewell.catalog.shared import embedding_columns
 from gaugewell.functions.columns import tidy
 from gaugewell.operators import correlate, outliers
 from gaugewell.operators import describe as d
@@ -152,6 +153,17 @@ def pearson_with_nulls(load):
     return _rounded(correlate.pearson(df))
 
 
+@query(
+    "pearson_wide",
+    f"""with u as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as i from embeddings)
+    select 'e' || a.i as column_a, 'e' || b.i as column_b, {r('corr(a.v, b.v)', 5)} as correlation, count(*)::bigint as n from u a join u b using (vec_id) group by a.i, b.i""",
+)
+def pearson_wide(load):
+    """All 64 embedding columns, through the batch kernel."""
+    df = embedding_columns(load, 64).drop("vec_id")
+    return _rounded(correlate.pearson(df), 5)
+
+
 def _rank(c):
     return f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1)/2.0"
 

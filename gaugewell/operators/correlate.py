@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.functions.columns import correlation, melt, num, pick_numeric, unfold
 from gaugewell.functions.tails import t_two_sided
 from gaugewell.plans.concordance import concordance
+from gaugewell.plans.iterate import array_sum
 from gaugewell.plans.ranks import rank_table, with_rank
 from gaugewell.session import cut_lineage
 
-PAIRS_PER_PASS = 400
+PAIRS_PER_PASS = 120
+WIDE_COLUMNS = 24
 
 
 def _matrix(df: DataFrame, names: Sequence[str], values: Sequence[Column], extra: bool = False) -> DataFrame:
-    """Pairwise-complete Pearson matrix; one aggregate per ``PAIRS_PER_PASS`` pairs."""
+    """Pairwise-complete Pearson matrix; one aggregate per ``PAIRS_PER_PASS`` pairs, or one batch pass when wide."""
     xs = df.select(*[v.alias(f"x{i}") for i, v in enumerate(values)])
+    if len(names) > WIDE_COLUMNS:
+        return _wide_matrix(xs, names)
     pairs = list(combinations(range(len(names)), 2))
     tables = []
     for start in range(0, max(len(pairs), 1), PAIRS_PER_PASS):
@@ -46,6 +52,31 @@ def _matrix(df: DataFrame, names: Sequence[str], values: Sequence[Column], extra
     return out
 
 
+def _wide_matrix(xs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """All pairs from four p×p sums over Arrow batches, columns shifted by their means first."""
+    p = len(names)
+    cols = [f"x{i}" for i in range(p)]
+    means = np.array([m if m is not None else 0.0 for m in xs.agg(*[F.avg(c) for c in cols]).first()])
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        have = ~np.isnan(x)
+        d = np.where(have, x - means, 0.0)
+        m = have.astype(float)
+        return np.concatenate([(m.T @ m).ravel(), (d.T @ m).ravel(), ((d * d).T @ m).ravel(), (d.T @ d).ravel()])
+
+    n, s, q, c = array_sum(xs, cols, sums, 4 * p * p).reshape(4, p, p)
+    rows = []
+    for i in range(p):
+        for j in range(p):
+            k = n[i, j]
+            vx = q[i, j] - s[i, j] ** 2 / k if k else 0.0
+            vy = q[j, i] - s[j, i] ** 2 / k if k else 0.0
+            both = vx > 1e-14 * q[i, j] and vy > 1e-14 * q[j, i]
+            r = (c[i, j] - s[i, j] * s[j, i] / k) / math.sqrt(vx * vy) if both else None
+            rows.append((names[i], names[j], 1.0 if i == j and both else None if r is None else float(min(1.0, max(-1.0, r))), int(k)))
+    return xs.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double, n bigint")
+
+
 def _cell(a: str, b: str, value: Column, n: Column) -> Column:
     return F.struct(
         F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), value.alias("correlation"), n.cast("long").alias("n")

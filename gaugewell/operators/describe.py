@@ -175,7 +175,7 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
         c = quoted(f.name)
         text = c.cast("string") if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(c)
         aggs.append(F.count(_present(f)).alias(f"n{i}"))
-        aggs.append((F.approx_count_distinct(text, 0.01)).alias(f"d{i}"))
+        aggs.append((F.lit(None).cast("bigint") if exact else F.approx_count_distinct(text, 0.01)).alias(f"d{i}"))
         aggs.append(F.min(text).alias(f"lo{i}"))
         aggs.append(F.max(text).alias(f"hi{i}"))
     stats = df.agg(*aggs)

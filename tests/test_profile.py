@@ -73,6 +73,18 @@ def test_correlations(spark):
     assert np.isclose(s[("sq", "i")], 1.0) and p[("i", "sq")] < 1.0
 
 
+def test_wide_and_narrow_correlations_agree(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(1e5, 1.0, (200, 26))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 25] = 4.0
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(26)])
+    got = {(r[0], r[1]): (r[2], r[3]) for r in correlate.pearson(spark.createDataFrame(pdf).repartition(4)).collect()}
+    want = pdf.corr()
+    assert all(np.isclose(got[(a, b)][0], want.loc[a, b]) for a in pdf.columns[:25] for b in pdf.columns[:25])
+    assert got[("c25", "c0")][0] is None and got[("c0", "c1")][1] == int((pdf["c0"].notna() & pdf["c1"].notna()).sum())
+
+
 def test_spearman_and_kendall_with_gaps_match_pandas(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"a": rng.integers(0, 8, 120).astype(float), "b": rng.normal(size=120)})
