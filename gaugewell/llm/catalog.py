@@ -25,6 +25,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 OP7_SQL = """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
@@ -39,6 +45,27 @@ def op7_exact_dedup(load):
     return mark_duplicates(load("documents"), keep="largest")
 
 
+@query("op1_toxicity")
+def op1_toxicity(load):
+    from gaugewell.llm.toxicity import held_out_score
+
+    return held_out_score(load("documents"), load("labels"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(load):
+    from gaugewell.llm.decontaminate import find_overlaps
+
+    return find_overlaps(load("documents"), load("benchmark"))
+
+
+@query("op8_pack")
+def op8_pack(load):
+    from gaugewell.llm.packing import pack
+
+    return pack(load("documents"), public_tokenizer("byte_bpe_50k.json"))
+
+
 @query("op10_simhash_groups")
 def op10_simhash_groups(load):
     from gaugewell.llm.simhash import fingerprint_groups
