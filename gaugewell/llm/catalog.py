@@ -52,6 +52,60 @@ def op1_toxicity(load):
     return held_out_score(load("documents"), load("labels"))
 
 
+@query("op2_quality")
+def op2_quality(load):
+    from gaugewell.llm.quality import held_out_score
+
+    return held_out_score(load("documents"), load("labels"))
+
+
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def _url_sql() -> str:
+    from gaugewell.llm.url_filter import LIMIT, TWO_PART_SUFFIXES, Z
+
+    fits = [(says, text, text.partition("/")) for says, text in sorted(URL_RULES, key=lambda r: -len(r[1]))]
+    case = lambda pick: "case " + " ".join(f"when (host = '{h}' or host like '%.{h}') and path like '{s}{p}%' then '{pick(says, text)}'" for says, text, (h, s, p) in fits) + " end"
+    two = ", ".join(f"'{s}'" for s in TWO_PART_SUFFIXES)
+    last = lambda n: f"array_to_string(list_slice(labels, -{n}, -1), '.')"
+    size = lambda table: f"select (1 - rho) / rho as s from (select least(greatest(coalesce(round(sum((k - n * m) ** 2 - n * m * (1 - m)), 6) / nullif(round(sum(n * (n - 1) * m * (1 - m)), 6), 0), 0), 0.001), 0.999) as rho from {table})"
+    return f"""
+with u as (select page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') as h,
+             coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+p as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from u),
+known as (select doc_id as id, max(1 - quality) as bad from labels where doc_id is not null and quality is not null group by 1),
+hosts as (select host, count(*) as pages, count(bad) as n, coalesce(sum(bad), 0) as k, string_split(host, '.') as labels
+          from p left join known on page_id = id group by host),
+named as (select host, n, k, case when {last(2)} in ({two}) then {last(3)} else {last(2)} end as domain,
+            case when {last(2)} in ({two}) then {last(2)} else {last(1)} end as suffix from hosts),
+domains as (select domain, any_value(suffix) as suffix, sum(n) as n, sum(k) as k from named group by domain),
+suffixes as (select suffix, sum(n) as n, sum(k) as k, (sum(sum(k)) over () + 1) / (sum(sum(n)) over () + 2) as m from domains group by suffix),
+a as ({size('suffixes')}),
+d as (select domain, d.n, d.k, (x.m * s + x.k) / (s + x.n) as m from domains d join suffixes x using (suffix), a),
+b as ({size('d')}),
+h as (select host, g.n, g.k, (d.m * s + d.k) / (s + d.n) as m from named g join d using (domain), b),
+c as ({size('h')}),
+post as (select host, m * s + k as bad, (1 - m) * s + n - k as good from h, c),
+rep as (select host, bad / (bad + good) as r, greatest(0, bad / (bad + good) - {Z} * sqrt(bad * good / ((bad + good) ** 2 * (bad + good + 1)))) as lo from post)
+select page_id, host, path, {case(lambda says, text: text)} as rule,
+       coalesce({case(lambda says, text: says)}, case when lo > {LIMIT} then 'block' else 'allow' end) as verdict,
+       round(r, 6) as reputation, round(lo, 6) as bound
+from p join rep using (host)
+"""
+
+
+@query("op3_url_filter", _url_sql())
+def op3_url_filter(load):
+    """Pages whose id has a quality label are the labelled ones; quality 0 is a bad outcome."""
+    from pyspark.sql import functions as F
+
+    from gaugewell.llm.url_filter import judge
+
+    outcomes = load("labels").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("bad"))
+    return judge(load("pages"), outcomes, URL_RULES)
+
+
 @query("op4_decontaminate")
 def op4_decontaminate(load):
     from gaugewell.llm.decontaminate import find_overlaps
