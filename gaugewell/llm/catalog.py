@@ -31,6 +31,28 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+OP5_SQL = r"""
+with t as (select distinct conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\|') as speaker, replace(coalesce(text, ''), '<|', '<\|') as said from conversations),
+o as (select *, turn // 64 as part, md5(speaker || ' ' || said) as dig from t),
+p as (select distinct conv_id, speaker as participant from t where speaker <> 'system'),
+s as (select conv_id, participant, part, turn, dig, speaker = participant as mine, said || '<|end|>' as body,
+        case when speaker = participant then '<|assistant|>' when speaker = 'system' then '<|system|>' else '<|user:' || speaker || '|>' end || chr(10) as lead
+      from o join p using (conv_id)),
+l as (select *, coalesce(sum(length(lead) + length(body) + 1) over (partition by conv_id, participant, part order by turn, dig rows between unbounded preceding and 1 preceding), 0) + length(lead) as a from s)
+select conv_id, participant, part, count(*) as turns, string_agg(lead || body || chr(10), '' order by turn, dig) as text,
+       string_agg(case when mine then a::bigint || '-' || (a + length(body))::bigint end, ',' order by turn, dig) as mask
+from l group by all
+"""
+
+#: Base32 of the SHA-1: each five hex digits are twenty bits, four letters.
+OP6_SQL = f"""
+with d as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
+v as (select page_id, octet_length(encode(body)) as payload_bytes, hex, min(page_id) over (partition by body) as owner from d)
+select page_id, payload_bytes, {" || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, {1 + 5 * g}, 5))::bigint >> {15 - 5 * i} & 31)::int, 1)" for g in range(8) for i in range(4))} as payload_digest,
+       case when owner = page_id then 'response' else 'revisit' end as record_type, case when owner <> page_id then owner end as refers_to
+from v
+"""
+
 OP7_SQL = """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
@@ -38,6 +60,23 @@ from documents window w as (partition by coalesce(text, ''))
 """
 
 
+@query("op5_perspectives", OP5_SQL)
+def op5_perspectives(load):
+    from pyspark.sql import functions as F
+
+    from gaugewell.llm.chat_format import rotate
+
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return rotate(load("conversations")).select("conv_id", "participant", "part", F.col("turns").cast("long").alias("turns"), "text", F.when(F.size("mask") > 0, mask).alias("mask"))
+
+
+@query("op6_warc", OP6_SQL)
+def op6_warc(load):
+    from gaugewell.llm.warc import archive_pages
+
+    return archive_pages(load("pages"))
+
+
 @query("op7_exact_dedup", OP7_SQL)
 def op7_exact_dedup(load):
     from gaugewell.llm.exact_dedup import mark_duplicates

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.session import cut_lineage, scratch_path, shared_folder, shuffle_partitions
 
-__all__ = ["cut_lineage", "join_totals", "label_hash", "map_batches", "packed", "scratch_path", "shared_folder", "shuffle_partitions", "stored"]
+__all__ = ["cut_lineage", "join_totals", "label_hash", "map_batches", "packed", "salted_join", "scratch_path", "shared_folder", "shuffle_partitions", "stored"]
 
 #: A key is hot if it holds over 1/SHARE of all rows and at least HOT_ROWS: never over SHARE keys.
 SHARE, HOT_ROWS = 1000, 10_000
@@ -59,8 +59,14 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], size: s
     every, largest = totals.agg(F.sum(size), F.max(size)).first()
     if (largest or 0) < HOT_ROWS or largest * SHARE <= every:
         return rows.join(totals, list(keys), how)
+    return salted_join(rows, totals, keys, totals.filter((F.col(size) >= HOT_ROWS) & (F.col(size) * SHARE > F.lit(every))).select(*keys), how)
+
+
+def salted_join(rows: DataFrame, other: DataFrame, keys: Sequence[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """An equi-join in which the rows of the ``hot`` keys (at most SHARE of them) are dealt over all partitions and the other side is repeated there."""
     salts = shuffle_partitions(rows)
-    hot = F.broadcast(totals.filter((F.col(size) >= HOT_ROWS) & (F.col(size) * SHARE > F.lit(every))).select(*keys, F.lit(True).alias("_hot")))
-    left = rows.join(hot, list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    copies = F.when((F.col(size) >= HOT_ROWS) & (F.col(size) * SHARE > F.lit(every)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(totals.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how).drop("_salt")
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    left = rows.join(marked, list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = other.join(marked, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
