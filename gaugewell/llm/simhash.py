@@ -55,7 +55,7 @@ def fingerprint(raw: bytes, size: int, seeds: tuple[int, ...]) -> bytes:
         counts = np.zeros(64, np.int64)
         for at in range(0, len(parts), SLICE):
             bits = np.unpackbits(np.frombuffer(b"".join(map(digest, parts[at : at + SLICE])), np.uint8).reshape(-1, 8), axis=1)
-            counts += bits.sum(axis=0, dtype=np.int64)
+            counts += bits.sum(axis=0, dtype=np.uint16)
         out += np.packbits(2 * counts > len(parts)).tobytes()
     return out
 
@@ -156,13 +156,16 @@ def runs_of(batches: Iterator, key: str) -> Iterator[tuple[object, list[dict]]]:
 def _links_of(members: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
     """(member, smallest member of its component) inside one run."""
     members = sorted(set(members))
-    if len(members) < 2:
+    n = len(members)
+    if n < 2:
         return []
     words = _words(_matrix(members))
-    near = np.bitwise_count(words[:, None, :] ^ words[None, :, :]).sum(axis=2) <= radius
-    labels = np.arange(len(members))
+    near = np.empty((n, n), bool)
+    for at in range(0, n, 256):
+        near[at : at + 256] = np.bitwise_count(words[at : at + 256, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int32) <= radius
+    labels = np.arange(n)
     while True:
-        least = np.where(near, labels[None, :], len(members)).min(axis=1)
+        least = np.where(near, labels[None, :], n).min(axis=1)
         if (least == labels).all():
             break
         labels = least
@@ -170,15 +173,18 @@ def _links_of(members: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
 
 
 def _emit_links(radius: int, limit: int) -> Callable:
-    """Sorted (key, fp) to links (a, b); members of a run over the limit come out as (a, null)."""
+    """Sorted (key, fp) to links (a, b); members of a run over the limit come out as (key, a, null)."""
 
     def run(batches):
-        now, members, over, out = None, [], False, ([], [])
+        now, members, over, out = None, [], False, ([], [], [])
+
+        def put(key, a, b):
+            for column, value in zip(out, (key, a, b)):
+                column.append(value)
 
         def close():
             for a, b in _links_of(members, radius):
-                out[0].append(a)
-                out[1].append(b)
+                put(now, a, b)
 
         for key, piece in runs_of(batches, "key"):
             if key != now:
@@ -187,18 +193,22 @@ def _emit_links(radius: int, limit: int) -> Callable:
             members += piece["fp"]
             if over or len(members) > limit:
                 over = True
-                out[0].extend(members)
-                out[1].extend([None] * len(members))
+                for m in members:
+                    put(now, m, None)
                 members = []
             if len(out[0]) >= 50_000:
-                yield {"a": out[0], "b": out[1]}
-                out = ([], [])
+                yield dict(zip(("key", "a", "b"), out))
+                out = ([], [], [])
         close()
-        yield {"a": out[0], "b": out[1]}
+        yield dict(zip(("key", "a", "b"), out))
 
     return run
 
 
+def _run_links(keys: DataFrame, radius: int, limit: int) -> DataFrame:
+    return map_batches(keys.repartition("key").sortWithinPartitions("key"), _emit_links(radius, limit), "key long, a binary, b binary")
+
+
 def _midpoints(batches):
     """(word, fp) for a fingerprint and its one-bit neighbours."""
     for batch in batches:
@@ -211,18 +221,15 @@ def _midpoints(batches):
 
 def link_fingerprints(prints: DataFrame, radius: int = 2, segments: int | None = None, run_limit: int = 256) -> DataFrame:
     """Links (a, b) of distinct fingerprints (column fp) whose components are those of all pairs within ``radius`` bits (2 at most)."""
-    if radius > 2:
-        raise ValueError("the exact way for crowded keys goes to a radius of 2")
-    keys = map_batches(prints.select("fp"), _emit_keys(segments or radius + 1), "key long, fp binary")
-    found = cut_lineage(map_batches(keys.repartition("key").sortWithinPartitions("key"), _emit_links(radius, run_limit), "a binary, b binary"))
-    links = found.filter("b is not null")
+    if radius not in (0, 2):
+        raise ValueError("the exact way for crowded keys is for radius 2; wider ones go through similar_fingerprints")
+    found = cut_lineage(_run_links(map_batches(prints.select("fp"), _emit_keys(segments or radius + 1), "key long, fp binary"), radius, run_limit))
+    links = found.filter("b is not null").select("a", "b")
     crowded = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     if radius == 0 or crowded.isEmpty():
         return links
     owners = map_batches(crowded, _midpoints, "word binary, fp binary")
     stars = owners.groupBy("word").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
-    if radius == 1:  # words of others only: distance 2 must not link
-        raise ValueError("radius 1 is not offered; take 0 or 2")
     return links.unionByName(stars.select(F.explode("all").alias("a"), "b").filter("a != b").distinct())
 
 
@@ -242,3 +249,101 @@ def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sums = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     named = cut_lineage(join_totals(rooted, sums, ["root"], "members").select("fp", "n", "component_id"))
     return join_totals(prints, named, ["fp"], "n").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+#: Near-duplicates of whole documents: candidates by the fingerprints of word pairs, decided by those of five words.
+SEARCH_WORDS, SEARCH_SEEDS, SEARCH_SEGMENTS = 2, (1, 2, 3, 4), 16
+SHINGLE, SIMILARITY, DECIDE_SEEDS = 5, 0.8, (5, 6, 7)
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """Differing bits expected at a Jaccard similarity of equally long shingle lists: the angle's share of a half turn."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_fingerprints(prints: DataFrame, radius: int, segments: int = SEARCH_SEGMENTS, run_limit: int = 1024) -> DataFrame:
+    """Links (a, b) of fingerprints fp within ``radius`` bits that share a Golay key of their search fingerprints.
+
+    Runs of equal keys over the limit are compared in blocks: each member is
+    dealt to the pairs of blocks it belongs to, so all of them meet in tasks of
+    a bounded size.
+    """
+
+    def emit(batches):
+        for batch in batches:
+            search, decide = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if search:
+                row, key = golay_keys(_matrix(search), segments)
+                for at in range(0, len(row), 1 << 18):
+                    yield {"key": key[at : at + (1 << 18)], "fp": [decide[r] for r in row[at : at + (1 << 18)].tolist()]}
+
+    keys = map_batches(prints.select("search", "fp").distinct(), emit, "key long, fp binary")
+    found = cut_lineage(_run_links(keys, radius, run_limit))
+    links = found.filter("b is not null").select("a", "b")
+    crowded = found.filter("b is null").select("key", F.col("a").alias("fp")).distinct()
+    sizes = cut_lineage(crowded.groupBy("key").agg(F.count("*").alias("n")))
+    if sizes.isEmpty():
+        return links
+    blocks = F.ceil(F.col("n") * 2 / run_limit)
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    dealt = join_totals(crowded, sizes, ["key"], "n").withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+    return links.unionByName(_run_links(pairs, radius, 1 << 30).filter("b is not null").select("a", "b"))
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """id, row_key (md5 of id and text), component, owner (smallest id), rows (with that id and text) of every row.
+
+    Two documents belong together when their five-word SimHash (192 bits) is as
+    near as a similarity of ``similarity`` makes it, or their three-word SimHash
+    (64 bits) differs in two bits at most; groups are the components.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            yield {
+                "id": batch.column(0),
+                "row_key": batch.column(1),
+                "search": [fingerprint(t, SEARCH_WORDS, SEARCH_SEEDS) for t in texts],
+                "fp": [fingerprint(t, SHINGLE, DECIDE_SEEDS) for t in texts],
+                "short": [fingerprint(t, 3, (42,)) for t in texts],
+            }
+
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), row_key(df, id_col, text_col).alias("row_key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
+    prints = cut_lineage(map_batches(rows, run, f"id {kind}, row_key binary, search binary, fp binary, short binary"))
+    wide = similar_fingerprints(prints, bits_apart(similarity, 64 * len(DECIDE_SEEDS)))
+    narrow = link_fingerprints(prints.select(F.col("short").alias("fp")).distinct())
+    both = prints.select(F.col("fp").alias("a"), F.col("short").alias("b")).distinct()
+    roots = cut_lineage(components(wide.unionByName(narrow).unionByName(both)))
+    nodes = prints.groupBy("fp").agg(F.count("*").alias("n"))
+    named = cut_lineage(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"))
+    placed = cut_lineage(join_totals(prints.select("id", "row_key", "fp"), named, ["fp"], "n").select("id", "row_key", F.col("root").alias("component")))
+    owners = cut_lineage(placed.groupBy("component").agg(F.min("id").alias("owner"), F.count("*").alias("n")))
+    return join_totals(placed, owners, ["component"], "n")
+
+
+def row_key(df: DataFrame, id_col: str, text_col: str):
+    """md5 of id and text; rows that repeat both share it."""
+    ident, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), ident), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns: that of the smallest id.
+
+    Of several rows with that id the one whose text has the smallest digest
+    stays, repeated rows leave one; a group without ids keeps the smallest
+    digest.  Null and empty texts are one group.  An empty table stays empty.
+    """
+    groups = near_duplicate_groups(df, id_col, text_col, similarity)
+    candidates = groups.filter(F.col("id").eqNullSafe(F.col("owner"))).groupBy("component").agg(F.min("row_key").alias("row_key"), F.count("*").alias("n"))
+    chosen = cut_lineage(candidates)
+    rows = df.select(packed(df).alias("row"), row_key(df, id_col, text_col).alias("row_key"))
+    kept = rows.join(chosen.select("row_key", "n"), "row_key")
+    if chosen.filter("n > 1").isEmpty():
+        return kept.select("row.*")
+    several = kept.filter("n > 1").groupBy("row_key").agg(F.first("row").alias("row"))
+    return kept.filter("n = 1").select("row").unionByName(several.select("row")).select("row.*")
