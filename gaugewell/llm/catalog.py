@@ -159,6 +159,15 @@ def op8_pack(load):
     return pack(load("documents"), public_tokenizer("byte_bpe_50k.json"))
 
 
+@query("op9_pii_surrogates")
+def op9_pii_surrogates(load):
+    """The key is a secret of whoever runs it; the registered query reads it from the session, with a fixed one for tests."""
+    from gaugewell.llm.pii import pseudonymise
+
+    docs = load("documents")
+    return pseudonymise(docs, docs.sparkSession.conf.get("spark.gaugewell.pii.key", "not a secret").encode())
+
+
 @query("op10_simhash_groups")
 def op10_simhash_groups(load):
     from gaugewell.llm.simhash import fingerprint_groups
