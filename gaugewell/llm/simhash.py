@@ -44,29 +44,34 @@ def shingles(raw: bytes, size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends - 1)[size - 1 :].tolist())]
 
 
-def fingerprint(raw: bytes, size: int, seeds: tuple[int, ...]) -> bytes:
-    """64 bits for each seed: a bit is set if it is in over half the shingles' XXH64."""
+def fingerprint(raw: bytes, size: int, seed: int = 42, lanes: int = 1) -> bytes:
+    """64 bits for each lane: a bit is set if it is in over half the shingles' hashes.
+
+    The first lane takes XXH64 itself, each further one a mix of the lane before.
+    """
     import xxhash
 
     parts = shingles(raw, size)
-    out = b""
-    for seed in seeds:
-        digest = partial(xxhash.xxh64_digest, seed=seed)
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(parts), SLICE):
-            bits = np.unpackbits(np.frombuffer(b"".join(map(digest, parts[at : at + SLICE])), np.uint8).reshape(-1, 8), axis=1)
-            counts += bits.sum(axis=0, dtype=np.uint16)
-        out += np.packbits(2 * counts > len(parts)).tobytes()
-    return out
-
-
-def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int, seeds: tuple[int, ...]) -> DataFrame:
+    digest = partial(xxhash.xxh64_digest, seed=seed)
+    counts = np.zeros((lanes, 64), np.int64)
+    for at in range(0, len(parts), SLICE):
+        hashes = np.frombuffer(b"".join(map(digest, parts[at : at + SLICE])), ">u8").astype(np.uint64)
+        for lane in range(lanes):
+            if lane:
+                hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+                hashes ^= hashes >> np.uint64(29)
+            bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
+            counts[lane] += bits.sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > len(parts)).tobytes()
+
+
+def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int, seed: int) -> DataFrame:
     """id, fp (big-endian bytes) of every row; null and empty texts have all bits zero."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            yield {"id": batch.column(0), "fp": [fingerprint(t, size, seeds) for t in batch.column(1).to_pylist()]}
+            yield {"id": batch.column(0), "fp": [fingerprint(t, size, seed) for t in batch.column(1).to_pylist()]}
 
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
     return map_batches(rows, run, f"id {kind}, fp binary")
@@ -233,7 +238,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, segments: int | None =
     return links.unionByName(stars.select(F.explode("all").alias("a"), "b").filter("a != b").distinct())
 
 
-def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seeds: tuple[int, ...] = (42,), radius: int = 2, run_limit: int = 256) -> DataFrame:
+def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42, radius: int = 2, run_limit: int = 256) -> DataFrame:
     """id_col, fingerprint (lower-case hex), component_id of every row.
 
     Documents link when their fingerprints differ in ``radius`` bits or fewer;
@@ -242,7 +247,7 @@ def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     count as smallest where a whole component has no other id.  Repeated rows
     come out repeated; other columns are ignored; no rows give no rows.
     """
-    prints = cut_lineage(fingerprints(df, id_col, text_col, size, seeds))
+    prints = cut_lineage(fingerprints(df, id_col, text_col, size, seed))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     roots = cut_lineage(components(link_fingerprints(nodes, radius, run_limit=run_limit)))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -252,13 +257,18 @@ def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 #: Near-duplicates of whole documents: candidates by the fingerprints of word pairs, decided by those of five words.
-SEARCH_WORDS, SEARCH_SEEDS, SEARCH_SEGMENTS = 2, (1, 2, 3, 4), 16
-SHINGLE, SIMILARITY, DECIDE_SEEDS = 5, 0.8, (5, 6, 7)
+SEARCH_WORDS, SEARCH_LANES, SEARCH_SEGMENTS = 2, 4, 16
+SHINGLE, SIMILARITY, LANES = 5, 0.8, 4
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """Differing bits expected at a Jaccard similarity of equally long shingle lists: the angle's share of a half turn."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def bits_apart(similarity: float, bits: int, z: float = 1.28) -> int:
+    """Differing bits that nine of ten pairs of a Jaccard similarity do not exceed.
+
+    Of equally long shingle lists the expected share is the angle's of a half
+    turn, and bits differ independently.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + z * np.sqrt(bits * share * (1 - share)))
 
 
 def similar_fingerprints(prints: DataFrame, radius: int, segments: int = SEARCH_SEGMENTS, run_limit: int = 1024) -> DataFrame:
@@ -295,7 +305,7 @@ def similar_fingerprints(prints: DataFrame, radius: int, segments: int = SEARCH_
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id, row_key (md5 of id and text), component, owner (smallest id), rows (with that id and text) of every row.
 
-    Two documents belong together when their five-word SimHash (192 bits) is as
+    Two documents belong together when their five-word SimHash (256 bits) is as
     near as a similarity of ``similarity`` makes it, or their three-word SimHash
     (64 bits) differs in two bits at most; groups are the components.
     """
@@ -307,14 +317,14 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield {
                 "id": batch.column(0),
                 "row_key": batch.column(1),
-                "search": [fingerprint(t, SEARCH_WORDS, SEARCH_SEEDS) for t in texts],
-                "fp": [fingerprint(t, SHINGLE, DECIDE_SEEDS) for t in texts],
-                "short": [fingerprint(t, 3, (42,)) for t in texts],
+                "search": [fingerprint(t, SEARCH_WORDS, 1, SEARCH_LANES) for t in texts],
+                "fp": [fingerprint(t, SHINGLE, 2, LANES) for t in texts],
+                "short": [fingerprint(t, 3) for t in texts],
             }
 
     rows = df.select(F.col(f"`{id_col}`").alias("id"), row_key(df, id_col, text_col).alias("row_key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
     prints = cut_lineage(map_batches(rows, run, f"id {kind}, row_key binary, search binary, fp binary, short binary"))
-    wide = similar_fingerprints(prints, bits_apart(similarity, 64 * len(DECIDE_SEEDS)))
+    wide = similar_fingerprints(prints, bits_apart(similarity, 64 * LANES))
     narrow = link_fingerprints(prints.select(F.col("short").alias("fp")).distinct())
     both = prints.select(F.col("fp").alias("a"), F.col("short").alias("b")).distinct()
     roots = cut_lineage(components(wide.unionByName(narrow).unionByName(both)))
