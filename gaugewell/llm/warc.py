@@ -24,7 +24,7 @@ from gaugewell.llm.common import cut_lineage, join_totals, map_batches, scratch_
 MAGIC = 0x184D2A5D  # skippable frame of a dictionary
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard's name space of URLs
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 64 << 10, 110 << 10
+SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 800, 32 << 10, 110 << 10
 ARCHIVE_BYTES = 256 << 20
 EPOCH = "1970-01-01T00:00:00Z"
 
@@ -118,7 +118,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     spark = pages.sparkSession
     typed = _typed(pages, id_col, url_col, payload_col, least_bytes)
     chosen = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"))
-    chosen = chosen.filter(F.octet_length("payload") <= SAMPLE_BYTES).orderBy(F.xxhash64("id", "url")).limit(SAMPLE_RECORDS)
+    chosen = chosen.filter(F.octet_length("payload") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("id", "url"))
+    last = chosen.select("h").distinct().orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
+    chosen = chosen.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("id").alias("id"), F.first("url").alias("url"), F.first("payload").alias("payload"))
     samples = [record(r["id"], r["url"], body := r["payload"].encode(), digest(body), None, False, date) for r in chosen.collect()]
     dictionary = spark.sparkContext.broadcast(train_dictionary(samples))
 
