@@ -108,7 +108,7 @@ def _url_sql() -> str:
     case = lambda pick: "case " + " ".join(f"when (host = '{h}' or host like '%.{h}') and path like '{s}{p}%' then '{pick(says, text)}'" for says, text, (h, s, p) in fits) + " end"
     two = ", ".join(f"'{s}'" for s in TWO_PART_SUFFIXES)
     last = lambda n: f"array_to_string(list_slice(labels, -{n}, -1), '.')"
-    size = lambda table: f"select (1 - rho) / rho as s from (select least(greatest(coalesce(round(sum((k - n * m) ** 2 - n * m * (1 - m)), 6) / nullif(round(sum(n * (n - 1) * m * (1 - m)), 6), 0), 0), 0.001), 0.999) as rho from {table})"
+    size = lambda table: f"select (1 - rho) / rho as s from (select least(greatest(coalesce(round(sum((k - n * m) ** 2 - n * m * (1 - m)), 6) / nullif(round(sum(n * (n - 1) * m * (1 - m)), 6), 0), 0.5), 0.001), 0.999) as rho from {table})"
     return f"""
 with u as (select page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') as h,
              coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),

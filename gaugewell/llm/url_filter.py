@@ -56,7 +56,7 @@ def _tightness(groups: DataFrame) -> Column | float:
     spread = F.sum((F.col("k") - F.col("n") * F.col("m")) ** 2 - F.col("n") * F.col("m") * (1 - F.col("m")))
     scale = F.sum(F.col("n") * (F.col("n") - 1) * F.col("m") * (1 - F.col("m")))
     row = groups.agg(F.round(spread, 6).alias("spread"), F.round(scale, 6).alias("scale")).first()
-    rho = (row["spread"] or 0.0) / row["scale"] if row["scale"] else 0.0
+    rho = (row["spread"] or 0.0) / row["scale"] if row["scale"] else 0.5  # nothing is known
     rho = min(max(rho, 0.001), 0.999)
     return (1 - rho) / rho
 
