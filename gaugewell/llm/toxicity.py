@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.common import label_hash, map_batches
+from gaugewell.llm.common import cut_lineage, label_hash, map_batches
 from gaugewell.llm.labels import labelled_sample
 
 SENTENCE = re.compile(r"[^.!?\n]*[^\W\d_][^.!?\n]*[.!?]*")
@@ -59,74 +59,101 @@ class ToxicityModel:
     def score(self, text: str) -> float:
         low = text.lower()
         if not self.known(low):
-            return -math.expm1(-len(SENTENCE.findall(low)) * _softplus(self.bias))
-        return -math.expm1(-math.fsum(_softplus(z) for _, _, z in self.sentences(text)))
+            return 0.0 - math.expm1(-len(SENTENCE.findall(low)) * _softplus(self.bias))
+        return 0.0 - math.expm1(-math.fsum(_softplus(z) for _, _, z in self.sentences(text)))
 
 
 def _softplus(z: float) -> float:
     return z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, features: int = 4096, least_gain: float = 10.0, steps: int = 300, penalty: float = 1e-6, flips: float = 0.02) -> tuple[dict[str, float], float]:
-    """Noisy-or likelihood over bags by Adam, a share ``flips`` of the labels being wrong; features are those whose counts of documents tell the labels apart best
-    (log-likelihood ratio, ``least_gain`` at least)."""
-    bags = []
-    seen = (Counter(), Counter())
-    for text, y in zip(texts, labels.tolist()):
-        bag = [{f for w in set(WORD.findall(m[0].lower())) for f in word_features(w)} for m in SENTENCE.finditer(text)]
-        bag = [b for b in bag if b]
-        bags.append(bag)
-        seen[y].update(set().union(*bag) if bag else ())
-    total = [max(int((labels == y).sum()), 1) for y in (0, 1)]
-    gain = {}
-    for f, n in seen[1].items():
-        if n >= 5:
-            rest = seen[0][f]
-            share = (n + rest) / sum(total)
-            gain[f] = sum(k * math.log(k / (t * share)) for k, t in ((n, total[1]), (rest, total[0])) if k) * (1 if n / total[1] > rest / total[0] else -1)
-    names = sorted((f for f in gain if gain[f] >= least_gain), key=lambda f: (-gain[f], f))[:features]
-    index = {f: i for i, f in enumerate(names)}
-    of_bag, row, col = [], [], []
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            hit = [index[f] for f in sentence if f in index]
-            row += [len(of_bag)] * len(hit)
-            col += hit
-            of_bag.append(d)
-    bag_of, row, col = np.array(of_bag, np.int64), np.array(row, np.int64), np.array(col, np.int64)
-    order = np.lexsort((col, row))
-    row, col = row[order], col[order]
-    theta = np.zeros(len(names) + 1)
+def fit(bags: list[tuple[int, list[list[int]]]], labels: np.ndarray, weights: np.ndarray, features: int, steps: int = 300, penalty: float = 1e-6, flips: float = 0.02) -> tuple[np.ndarray, float]:
+    """Feature weights and bias of greatest noisy-or likelihood, by Adam, a share ``flips`` of the labels being wrong.
+
+    A bag is the number of its sentences without features, and the features of
+    each other sentence.
+    """
+    plain = np.array([n for n, _ in bags], float)
+    of_bag = np.array([d for d, (_, found) in enumerate(bags) for _ in found], np.int64)
+    lengths = [len(x) for _, found in bags for x in found]
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    col = np.array([f for _, found in bags for x in found for f in x], np.int64)
+    theta = np.zeros(features + 1)
     theta[-1] = -7.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     scale = weights / weights.sum()
     for step in range(1, steps + 1):
-        z = theta[-1] + np.bincount(row, theta[col], len(bag_of))
-        clean = np.bincount(bag_of, np.logaddexp(0, z), len(bags))  # −log of the chance that all sentences are clean
+        z = theta[-1] + np.bincount(row, theta[col], len(of_bag))
+        clean = np.bincount(of_bag, np.logaddexp(0, z), len(bags)) + plain * np.logaddexp(0, theta[-1])  # −log of the chance that all sentences are clean
         toxic = -np.expm1(-clean)
         seen_toxic = flips + (1 - 2 * flips) * toxic
         bag_slope = np.where(labels == 1, -1 / seen_toxic, 1 / (1 - seen_toxic)) * (1 - 2 * flips) * (1 - toxic) * scale
-        slope = bag_slope[bag_of] / (1 + np.exp(-np.clip(z, -500, 500)))
-        grad = np.append(np.bincount(col, slope[row], len(names)), slope.sum()) + penalty * np.append(theta[:-1], 0)
+        slope = bag_slope[of_bag] / (1 + np.exp(-np.clip(z, -500, 500)))
+        bias_slope = slope.sum() + (bag_slope * plain).sum() / (1 + np.exp(-theta[-1]))
+        grad = np.append(np.bincount(col, slope[row], features) + penalty * theta[:-1], bias_slope)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         theta[-1] = min(theta[-1], -4.0)
-    return {f: float(w) for f, w in zip(names, theta) if abs(w) > 1e-3}, float(theta[-1])
+    return theta[:-1], float(theta[-1])
+
+
+def _count_features(batches):
+    """(feature, toxic, clean): documents of each label that have it, added up over a good many rows."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def out():
+        names = list(seen[0].keys() | seen[1].keys())
+        return {"f": names, "toxic": [seen[1][f] for f in names], "clean": [seen[0][f] for f in names]}
 
+    for batch in batches:
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seen[y].update({f for w in set(WORD.findall(text.lower())) for f in word_features(w)})
+            if len(seen[0]) + len(seen[1]) > 200_000:
+                yield out()
+                seen = (Counter(), Counter())
+    yield out()
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", folds: int = 4, held_out: int = 2, per_class: int = 3000, max_bytes: int = 100_000, threshold: float = 0.3) -> ToxicityModel:
+
+def choose_features(sample: DataFrame, totals: dict[int, int], features: int, least_gain: float) -> list[str]:
+    """Features more common among toxic texts whose log-likelihood ratio is ``least_gain`` at least, the best ``features`` of them."""
+    counts = map_batches(sample.select("y", "text"), _count_features, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    share = (F.col("a") + F.col("b")) / (totals[0] + totals[1])
+    part = lambda n, of: F.when(n > 0, n * F.log(n / (share * of))).otherwise(0.0)
+    gain = part(F.col("a"), totals[1]) + part(F.col("b"), totals[0])
+    best = counts.filter((F.col("a") >= 5) & (F.col("a") * totals[0] > F.col("b") * totals[1])).withColumn("gain", F.round(gain, 9)).filter(F.col("gain") >= least_gain)
+    return [r["f"] for r in best.orderBy(F.desc("gain"), "f").limit(features).select("f").collect()]
+
+
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", folds: int = 4, held_out: int = 2, per_class: int = 3000, max_bytes: int = 100_000, threshold: float = 0.3, features: int = 4096, least_gain: float = 10.0) -> ToxicityModel:
     """A model from at most ``per_class`` labelled texts of each label, each of ``max_bytes`` at most, outside the held-out fold.
 
-    The sample is weighted back to the labels' true shares.  Without texts of
-    both labels the model gives every document the score of its bias alone.
+    The sample is weighted back to the labels' true shares.  The driver sees
+    its sentences as lists of the at most ``features`` chosen features.
+    Without texts of both labels the model gives every document the score of
+    its bias alone.
     """
     sample, totals = labelled_sample(df, labels, id_col, label_col, text_col, folds, held_out, per_class, max_bytes)
-    table = sample.toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    y = np.array(table["y"].to_pylist(), int)
-    if len(set(y.tolist())) < 2:
+    sample = cut_lineage(sample)
+    taken = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(taken) < 2:
         return ToxicityModel({}, -9.0, threshold)
-    weight = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
-    return ToxicityModel(*fit(table["text"].to_pylist(), y, weight), threshold)
+    names = choose_features(sample, taken, features, least_gain)
+    index = {f: i for i, f in enumerate(names)}
+
+    def encode(batches):
+        for batch in batches:
+            out: dict[str, list] = {"id": [], "y": batch.column(1), "plain": [], "found": []}
+            for text in batch.column(2).to_pylist():
+                bag = [sorted({index[f] for w in set(WORD.findall(m[0].lower())) for f in word_features(w) if f in index}) for m in SENTENCE.finditer(text)]
+                out["found"].append([b for b in bag if b])
+                out["plain"].append(sum(not b for b in bag))
+            yield out | {"id": batch.column(0).cast("string")}
+
+    table = map_batches(sample.select("id", "y", "text"), encode, "id string, y int, plain long, found array<array<int>>").toArrow()
+    rows = sorted(zip(table["id"].to_pylist(), table["y"].to_pylist(), table["plain"].to_pylist(), table["found"].to_pylist()))
+    y = np.array([r[1] for r in rows], int)
+    weights, bias = fit([(r[2], r[3]) for r in rows], y, np.where(y == 1, totals[1] / taken[1], totals[0] / taken[0]), len(names))
+    return ToxicityModel({f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-3}, bias, threshold)
 
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
