@@ -79,6 +79,16 @@ def density_curve(load):
     return chartdata.density(load("events"), "value")
 
 
+def _pair_sql(a, b, bins=50):
+    place = lambda c: f"least(floor(({c} - (select min({c}) from lineitem)) / (((select max({c}) from lineitem) - (select min({c}) from lineitem)) / {bins})), {bins - 1})::int"
+    return f"select '{a}' as column_a, '{b}' as column_b, {place(a)} as bin_a, {place(b)} as bin_b, count(*)::bigint as \"count\" from lineitem group by all"
+
+
+@query("pair_bins", " union all ".join([_pair_sql("l_quantity", "l_extendedprice"), _pair_sql("l_quantity", "l_discount"), _pair_sql("l_extendedprice", "l_discount")]))
+def pair_bins(load):
+    return chartdata.pair_bins(load("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+
+
 @query("pair_points")
 def pair_points(load):
     return chartdata.pair_points(load("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gaugewell.catalog.registry import query, r
 from gaugewell.functions.columns import tidy
 from gaugewell.operators import clean
+from gaugewell.plans.ordering import with_position
 
 
 def _rounded(df, digits=6):
@@ -148,6 +149,24 @@ def forward_fill(load):
     return _rounded(clean.fill_along(_event_gaps(load), ["ts", "event_id"], ["v"]).select("event_id", "v"), 4)
 
 
+_NAMED = "select c_custkey, 'Customer#' || lpad((1000000 - c_custkey)::varchar, 12, '0') as name, case when c_custkey % 4 > 0 then c_acctbal end as balance from customer"
+
+
+@query("forward_fill_by_name", f"with t as ({_NAMED}) select c_custkey, {r('last_value(balance ignore nulls) over (order by name rows between unbounded preceding and current row)',4)} as balance from t")
+def forward_fill_by_name(load):
+    """Along a text whose order is the opposite of the key's."""
+    name = F.concat(F.lit("Customer#"), F.lpad((1000000 - F.col("c_custkey")).cast("string"), 12, "0"))
+    rows = load("customer").select("c_custkey", name.alias("name"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal")).alias("balance"))
+    return _rounded(clean.fill_along(rows, ["name", "c_custkey"], ["balance"]).select("c_custkey", "balance"), 4)
+
+
+@query("positions_by_text", "select o_orderkey, (row_number() over (order by o_orderpriority, 'Order#' || lpad((100000000 - o_orderkey)::varchar, 12, '0')) - 1)::bigint as idx from orders")
+def positions_by_text(load):
+    """Few long text values with many rows each, then a text against the key."""
+    code = F.concat(F.lit("Order#"), F.lpad((100000000 - F.col("o_orderkey")).cast("string"), 12, "0"))
+    return with_position(load("orders").select("o_orderkey", "o_orderpriority", code.alias("code")), ["o_orderpriority", "code"]).select("o_orderkey", "idx")
+
+
 @query("backward_fill", f"with t as ({_EV}) select event_id, {r('first_value(v ignore nulls) over (order by ts, event_id rows between current row and unbounded following)',4)} as v from t")
 def backward_fill(load):
     return _rounded(clean.fill_along(_event_gaps(load), ["ts", "event_id"], ["v"], direction="backward").select("event_id", "v"), 4)

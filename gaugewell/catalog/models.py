@@ -9,6 +9,7 @@ from gaugewell.operators import anomaly, cluster, learn
 from gaugewell.plans.neighbors import knn
 
 E8 = [f"e{i}" for i in range(8)]
+E64 = [f"e{i}" for i in range(64)]
 DOC = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share"]
 
 
@@ -87,7 +88,7 @@ def decision_tree_classifier(load):
 
 @query("gradient_boosting_classifier")
 def gradient_boosting_classifier(load):
-    return _classify(load, "gradient_boosting", rounds=20)
+    return _classify(load, "gradient_boosting")
 
 
 def _nearest_sql(k, train, test, value):
@@ -137,7 +138,7 @@ def _run(load, model, **options):
 
 @query("random_forest_regressor")
 def random_forest_regressor(load):
-    return _run(load, "random_forest", trees=100, max_depth=5)
+    return _run(load, "random_forest")
 
 
 @query("linear_regressor")
@@ -157,7 +158,7 @@ def lasso_regressor(load):
 
 @query("svm_regressor")
 def svm_regressor(load):
-    return _run(load, "svm", steps=20)
+    return _run(load, "svm")
 
 
 @query("decision_tree_regressor")
@@ -177,7 +178,7 @@ def cross_validation(load):
 
 @query("feature_importance")
 def feature_importance(load):
-    return learn.run_classification(document_features(load), "quality", ["doc_id"], DOC, model="random_forest", folds=0, trees=50).importance
+    return learn.run_classification(document_features(load), "quality", ["doc_id"], DOC, model="random_forest", folds=0).importance
 
 
 @query("classification_run")
@@ -228,7 +229,7 @@ def regression_metrics(load):
 
 @query("kmeans")
 def kmeans(load):
-    return cluster.kmeans(embedding_columns(load, 8), "vec_id", E8, 3, restarts=3)[1]
+    return cluster.kmeans(embedding_columns(load, 64), "vec_id", E64, 3)[1]
 
 
 def _grid2(load):
@@ -257,7 +258,7 @@ def hierarchical(load):
 
 @query("clustering_run")
 def clustering_run(load):
-    return cluster.run_clustering(embedding_columns(load, 8), "vec_id", E8, "kmeans", k=3, restarts=2)[0]
+    return cluster.run_clustering(embedding_columns(load, 64), "vec_id", E64, "kmeans", k=3)[0]
 
 
 # ---- anomalies -------------------------------------------------------------
@@ -304,7 +305,7 @@ def outliers_isolation_forest(load):
 
 @query("anomaly_one_class_svm")
 def anomaly_one_class_svm(load):
-    return anomaly.one_class_svm(load("events"), ["event_id"], ["value", "user_id"], steps=15)
+    return anomaly.one_class_svm(load("events"), ["event_id"], ["value", "user_id"])
 
 
 _LOF_K = 20

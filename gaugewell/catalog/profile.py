@@ -7,6 +7,7 @@ from gaugewell.catalog.shared import embedding_columns
 from gaugewell.functions.columns import tidy
 from gaugewell.operators import correlate, outliers
 from gaugewell.operators import describe as d
+from gaugewell.plans.quantiles import wide_quantiles
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -52,6 +53,27 @@ def describe_by_group(load):
     return _rounded(out.select("event_type", "column", "count", "mean", "std", "min", "max", "median", "percentile_95"), 4)
 
 
+@query(
+    "describe_by_nullable_group",
+    f"""select nullif(event_type, 'error') as kind, 'value' as "column", count(value)::bigint as "count", {r('avg(value)',4)} as mean,
+    {r('quantile_cont(value,0.5)',4)} as median, {r('quantile_cont(value,0.95)',4)} as percentile_95 from events group by 1""",
+)
+def describe_by_nullable_group(load):
+    rows = load("events").withColumn("kind", F.nullif(F.col("event_type"), F.lit("error")))
+    return _rounded(d.describe(rows, ["value"], by=["kind"]).select("kind", "column", "count", "mean", "median", "percentile_95"), 4)
+
+
+@query(
+    "describe_percentiles_ends",
+    f"select {r('min(l_extendedprice)',3)} as lowest, {r('quantile_cont(l_extendedprice,0.5)',3)} as middle, {r('max(l_extendedprice)',3)} as highest from lineitem",
+)
+def describe_percentiles_ends(load):
+    """The ends and the middle by brackets, however few rows there are."""
+    df = load("lineitem")
+    [(low, mid, high)] = wide_quantiles(df, ["l_extendedprice"], [0.0, 0.5, 1.0], direct_rows=1000)
+    return _rounded(df.sparkSession.createDataFrame([(low, mid, high)], "lowest double, middle double, highest double"), 3)
+
+
 @query(
     "describe_percentiles",
     f"""select {r('quantile_cont(o_totalprice,0.01)',3)} as percentile_1, {r('quantile_cont(o_totalprice,0.1)',3)} as percentile_10,

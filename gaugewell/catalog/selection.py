@@ -9,6 +9,7 @@ from gaugewell.operators import reduce as red
 from gaugewell.operators import select
 
 E8 = [f"e{i}" for i in range(8)]
+E64 = [f"e{i}" for i in range(64)]
 DOC = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share"]
 
 
@@ -71,17 +72,17 @@ def chi_square_selection(load):
 
 @query("rfe")
 def rfe(load):
-    return select.rfe(document_features(load), "quality", DOC, keep=2, trees=20)
+    return select.rfe(document_features(load), "quality", DOC, keep=2)
 
 
 @query("rfecv")
 def rfecv(load):
-    return select.rfecv(document_features(load), "quality", ["doc_id"], DOC[:3], folds=3, trees=10)
+    return select.rfecv(document_features(load), "quality", ["doc_id"], DOC)
 
 
 @query("select_from_model")
 def select_from_model(load):
-    return select.select_from_forest(document_features(load), "quality", DOC, trees=50)
+    return select.select_from_forest(document_features(load), "quality", DOC)
 
 
 _CF = ["n_chars", "twice", "doc_id"]
@@ -134,7 +135,7 @@ def truncated_svd(load):
 
 @query("fast_ica")
 def fast_ica(load):
-    return red.fast_ica(embedding_columns(load, 4), ["e0", "e1", "e2", "e3"], 2, max_iter=30)[1].select("vec_id", "ic1", "ic2")
+    return red.fast_ica(embedding_columns(load, 64), E64, 2)[1].select("vec_id", "ic1", "ic2")
 
 
 @query("mds")
@@ -144,15 +145,15 @@ def mds(load):
 
 @query("isomap")
 def isomap(load):
-    return red.isomap(embedding_columns(load, 3), "vec_id", ["e0", "e1", "e2"], landmarks=10)
+    return red.isomap(embedding_columns(load, 64), "vec_id", E64)
 
 
 @query("nmf")
 def nmf(load):
-    return red.nmf(embedding_columns(load, 8), E8, 3, max_iter=10)[1].select("vec_id", "nmf1", "nmf2", "nmf3")
+    return red.nmf(embedding_columns(load, 64), E64, 3)[1].select("vec_id", "nmf1", "nmf2", "nmf3")
 
 
 @query("lda")
 def lda(load):
-    df = embedding_columns(load, 8).select("vec_id", *[(F.col(c) * 10).alias(c) for c in E8])
-    return red.lda_topics(df, ["vec_id"], E8, 2, max_iter=10)[1]
+    df = embedding_columns(load, 64).select("vec_id", *[(F.col(c) * 10).alias(c) for c in E64])
+    return red.lda_topics(df, ["vec_id"], E64, 2)[1]

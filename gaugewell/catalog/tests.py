@@ -50,6 +50,28 @@ def mann_whitney(load):
     return out.select("n1", "n2", tidy(F.col("statistic"), 3).alias("statistic"), tidy(F.col("effect_size"), 6).alias("effect_size"), tidy(F.col("median1"), 3).alias("median1"), tidy(F.col("median2"), 3).alias("median2"))
 
 
+@query(
+    "mann_whitney_nullable_by",
+    f"""with t as (select nullif(l_linestatus,'O') s, l_returnflag g, l_quantity x from lineitem where l_returnflag in ('R','N')), k as (select s, g, {_ranked('x', 'partition by s')} rk, x from t),
+    a as (select s, count(case when g='R' then 1 end) n1, count(case when g='N' then 1 end) n2, sum(case when g='R' then rk end) r1 from k group by s)
+    select s, n1::bigint as n1, n2::bigint as n2, {r('r1-n1*(n1+1)/2.0',3)} as statistic from a""",
+)
+def mann_whitney_nullable_by(load):
+    rows = load("lineitem").withColumn("s", F.nullif(F.col("l_linestatus"), F.lit("O")))
+    return h.mann_whitney_u(rows, "l_quantity", "l_returnflag", "R", "N", by=["s"]).select("s", "n1", "n2", tidy(F.col("statistic"), 3).alias("statistic"))
+
+
+@query(
+    "levene_nullable_by",
+    f"""with e as (select nullif(user_id % 3, 0)::varchar b, event_type g, value from events), m as (select b, g, median(value) md from e group by 1, 2), z as (select e.b, e.g, abs(value-md) z from e join m on e.g = m.g and e.b is not distinct from m.b),
+    p as (select b, g, count(*)::double n, avg(z) m, var_samp(z) v from z group by 1, 2), s as (select b, sum(n) n, count(*)::double k, sum(n*m*m)-pow(sum(n*m),2)/sum(n) q, sum((n-1)*v) w from p group by 1)
+    select b, n::bigint as n, k::bigint as k, {r('(q/(k-1))/(w/(n-k))',5)} as statistic from s""",
+)
+def levene_nullable_by(load):
+    rows = load("events").withColumn("b", F.nullif(F.col("user_id") % 3, F.lit(0)).cast("string"))
+    return h.levene(rows, "value", "event_type", by=["b"]).select("b", "n", "k", tidy(F.col("statistic"), 5).alias("statistic"))
+
+
 @query(
     "wilcoxon",
     f"""with t as (select round(l_discount - l_tax, 10) d from lineitem), k as (select d, {_ranked('abs(d)')} rk from t where d <> 0),

@@ -37,6 +37,16 @@ def series_extraction(load):
     return _rounded(hourly(load).select("event_type", "series", "idx", "n", "value"), 4)
 
 
+@query(
+    "series_nullable_key",
+    f"""with t as (select nullif(event_type, 'error') as kind, event_id, ts, value from events)
+    select kind, event_id, (row_number() over (partition by kind order by ts, event_id) - 1)::bigint as idx, (count(*) over (partition by kind))::bigint as n from t""",
+)
+def series_nullable_key(load):
+    rows = load("events").select(F.nullif(F.col("event_type"), F.lit("error")).alias("kind"), "ts", "event_id", F.col("event_id").cast("double").alias("id"))
+    return ts.to_series(rows, "ts", ["id"], keys=["kind"], tie=["event_id"]).select("kind", F.col("value").cast("bigint").alias("event_id"), "idx", "n")
+
+
 @query("series_raw_events", f"select event_id, (row_number() over (order by ts, event_id) - 1)::bigint as idx, {r('value',4)} as value from events")
 def series_raw_events(load):
     """Every event of the table as one long series."""

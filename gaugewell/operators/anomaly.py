@@ -109,16 +109,15 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
 
 
 def _tree_samples(rows: DataFrame, key: Sequence[str], trees: int, size: int, seed: int) -> DataFrame:
-    """About ``size`` rows per tree, drawn by key hashes, so reruns draw the same rows."""
-    n = rows.count()
-    share = min(1.0, size / max(n, 1))
-    if share * trees <= 1.0:
-        # Large table: one draw per row decides the tree.
-        u = F.pmod(F.xxhash64(*[quoted(k) for k in key], F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-        return rows.withColumn("tree", F.floor(u / F.lit(share)).cast("int")).where(F.col("tree") < trees)
-    each = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    u = F.pmod(F.xxhash64(*[quoted(k) for k in key], F.col("tree"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    return each.where(u < F.lit(share))
+    """About ``size`` rows per tree, drawn for each tree by its own key hash, so reruns draw the same rows.
+
+    One filter keeps the trees that draw a row, so only drawn rows are repeated.
+    """
+    share = min(1.0, size / max(rows.count(), 1))
+    base = F.xxhash64(*[quoted(k) for k in key], F.lit(seed))
+    draw = lambda tree: F.pmod(F.xxhash64(F.col("_h"), tree), F.lit(1 << 52)) / float(1 << 52) < F.lit(share)
+    drawn = rows.withColumn("_h", base).withColumn("_trees", F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), draw))
+    return drawn.where(F.size("_trees") > 0).withColumn("tree", F.explode("_trees")).drop("_h", "_trees")
 
 
 def fit_forest(rows: DataFrame, key: Sequence[str], cols: Sequence[str], trees: int, size: int, seed: int) -> list[np.ndarray]:

@@ -40,7 +40,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = B
 
 
 def _bin(x: Column, lo: float, hi: float, bins: int) -> Column:
-    width = (hi - lo) / bins
+    width = (hi - lo) / bins or 1.0
     return F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int"))
 
 
@@ -127,6 +127,23 @@ def density(df: DataFrame, column: str, points: int = 100, bins: int = FINE_BINS
     return counts.withColumn("x", F.explode(grid)).groupBy("x").agg(F.sum(kernel).alias("density"))
 
 
+def pair_bins(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
+    """All rows of every column pair as counts on a grid: (column_a, column_b, bin_a, bin_b, count).
+
+    Bins have equal width between a column's extremes, the last one holds the
+    largest value; a constant column has one bin.
+    """
+    ends = df.agg(*[f(num(c)) for c in columns for f in (F.min, F.max)]).first()
+    place = {c: _bin(num(c), ends[2 * i], ends[2 * i + 1], bins) if ends[2 * i] is not None else F.lit(None).cast("int") for i, c in enumerate(columns)}
+    cells = [
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), place[a].cast("int").alias("bin_a"), place[b].cast("int").alias("bin_b"))
+        for i, a in enumerate(columns)
+        for b in columns[i + 1 :]
+    ]
+    rows = df.select(F.inline(F.array(*cells))).where(F.col("bin_a").isNotNull() & F.col("bin_b").isNotNull())
+    return rows.groupBy("column_a", "column_b", "bin_a", "bin_b").agg(F.count(F.lit(1)).alias("count"))
+
+
 def pair_points(df: DataFrame, columns: Sequence[str], order: Sequence[str], limit: int = POINT_LIMIT) -> DataFrame:
     """Thinned points of every column pair: (column_a, column_b, x, y)."""
     few = thinned(df, order, limit)

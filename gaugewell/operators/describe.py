@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewell.functions.columns import melt, num, pick_numeric, quoted, temporal_columns, unfold
+from gaugewell.plans.joins import null_safe_join
 from gaugewell.plans.quantiles import group_quantiles, wide_quantiles
 
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
@@ -110,7 +111,7 @@ def _describe_by(df: DataFrame, cols: list[str], by: list[str], percentiles: Seq
         F.kurtosis("value").alias("kurtosis"),
     )
     quant = group_quantiles(long, keys, "value", probs)
-    joined = stats.join(quant.drop("n"), keys)
+    joined = null_safe_join(stats, quant.drop("n"), keys)
     at = {p: F.col(f"q{j}") for j, p in enumerate(probs)}
     return joined.select(
         *keys, "count", "mean", "std", "min", "max", at[0.5].alias("median"), "variance", "skewness", "kurtosis",

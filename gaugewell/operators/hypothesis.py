@@ -17,6 +17,7 @@ from gaugewell.functions import tails
 from gaugewell.functions.columns import correlation, num, nz, quoted
 from gaugewell.plans.concordance import concordance
 from gaugewell.plans.ordering import running, with_position
+from gaugewell.plans.joins import join_groups
 from gaugewell.plans.quantiles import group_quantiles
 from gaugewell.plans.ranks import with_rank
 
@@ -36,7 +37,7 @@ def _finish(table: DataFrame, alpha: float = ALPHA) -> DataFrame:
 def _join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join on the grouping; without one, ``b`` is a global aggregate of exactly one row and is broadcast."""
     if by:
-        return a.join(b, list(by))
+        return join_groups(a, b, list(by))
     return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
@@ -366,7 +367,7 @@ def normal_test(df: DataFrame, value: str, by: Sequence[str] = (), alpha: float
 def _centred(df: DataFrame, value: str, group: str, by: Sequence[str]) -> DataFrame:
     rows = _grouped(df, value, group, by)
     med = group_quantiles(rows, [*by, "g"], "x", [0.5]).select(*by, "g", "q0")
-    return rows.join(med, [*by, "g"]).select(*by, "g", F.abs(F.col("x") - F.col("q0")).alias("z"))
+    return join_groups(rows, med, [*by, "g"]).select(*by, "g", F.abs(F.col("x") - F.col("q0")).alias("z"))
 
 
 def anova(per_group: DataFrame, by: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:

@@ -31,6 +31,7 @@ from gaugewell.operators import regress
 from gaugewell.operators.select import univariate_f
 from gaugewell.plans.iterate import array_sum
 from gaugewell.plans.neighbors import nearest_points, points_of
+from gaugewell.plans.joins import join_groups
 from gaugewell.plans.ordering import with_position
 from gaugewell.session import cut_lineage, held, spread
 
@@ -68,7 +69,7 @@ def train_test(df: DataFrame, key: Sequence[str], test_share: float = 0.2, strat
     by = [stratify] if stratify else []
     placed = with_position(tagged, ["_h", *key], by, out="_i")
     sizes = df.groupBy(*by).agg(F.round(F.count(F.lit(1)) * F.lit(test_share)).cast("long").alias("_n"))
-    joined = placed.join(sizes, by) if by else placed.withColumn("_n", F.lit(sizes.first()[0]))
+    joined = join_groups(placed, sizes, by) if by else placed.withColumn("_n", F.lit(sizes.first()[0]))
     return joined.withColumn("is_test", F.col("_i") < F.col("_n")).drop("_h", "_i", "_n")
 
 
@@ -132,16 +133,20 @@ def scale_gamma(df: DataFrame, columns: Sequence[str]) -> float:
     return 1.0 / (len(columns) * var) if var > 0 else 1.0
 
 
+#: Trees grow until their leaves are pure or Spark's limit is reached.
+MAX_DEPTH = 30
+
+
 def classifier(name: str, n: int, classes: int, seed: int = SEED, **options):
     """The estimator behind a model name (features in ``features``, class in ``label``)."""
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=options.get("trees", 100), maxDepth=options.get("max_depth", 10), seed=seed)
+        return RandomForestClassifier(numTrees=options.get("trees", 100), maxDepth=options.get("max_depth", MAX_DEPTH), seed=seed)
     if name == "logistic":
         return LogisticRegression(maxIter=1000, regParam=1.0 / (max(n, 1) * options.get("c", 1.0)), standardization=False)
     if name == "naive_bayes":
         return NaiveBayes(modelType="gaussian")
     if name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=options.get("max_depth", 10), seed=seed)
+        return DecisionTreeClassifier(maxDepth=options.get("max_depth", MAX_DEPTH), seed=seed)
     if name == "gradient_boosting":
         boost = GBTClassifier(maxIter=options.get("rounds", 100), stepSize=0.1, maxDepth=3, seed=seed)
         return boost if classes == 2 else OneVsRest(classifier=boost)
@@ -367,9 +372,9 @@ def run_regression(
         if model == "knn":
             return te.join(knn_predict(tr, te, key[0], cols, "label", options.get("k", 5), classes=False), key[0])
         if model == "random_forest":
-            est = RandomForestRegressor(numTrees=options.get("trees", 100), maxDepth=options.get("max_depth", 10), seed=seed)
+            est = RandomForestRegressor(numTrees=options.get("trees", 100), maxDepth=options.get("max_depth", MAX_DEPTH), seed=seed)
         elif model == "decision_tree":
-            est = DecisionTreeRegressor(maxDepth=options.get("max_depth", 10), seed=seed)
+            est = DecisionTreeRegressor(maxDepth=options.get("max_depth", MAX_DEPTH), seed=seed)
         else:
             raise ValueError(f"unknown regressor {model!r}")
         fit = est.fit(assemble(tr, cols).select("features", "label"))

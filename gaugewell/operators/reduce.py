@@ -254,10 +254,12 @@ def lda_topics(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None
     return table, scored
 
 
-def isomap(df: DataFrame, key: str, columns: Sequence[str] | None = None, components: int = 2, k: int = 20, landmarks: int = 30, max_hops: int = 60, seed: int = 42) -> DataFrame:
+def isomap(df: DataFrame, key: str, columns: Sequence[str] | None = None, components: int = 2, k: int = 20, landmarks: int = 30, max_hops: int | None = None, seed: int = 42) -> DataFrame:
     """Landmark Isomap: kNN graph, geodesics from the landmarks by relaxation joins, then placement.
 
-    Rows the landmarks cannot reach get null coordinates.
+    Relaxation goes on until no distance changes; a given ``max_hops`` that does
+    not suffice is an error.  Rows in another component of the neighbour graph
+    than a landmark have no distance to it and get null coordinates.
     """
     from gaugewell.plans.neighbors import knn
 
@@ -272,7 +274,11 @@ def isomap(df: DataFrame, key: str, columns: Sequence[str] | None = None, compon
     kind = dict(rows.dtypes)[key]
     dist = spark.createDataFrame([(m, i, 0.0) for i, m in enumerate(marks)], f"node {kind}, mark int, d double")
     reached = (0, 0.0)
-    for _ in range(max_hops):
+    hops = 0
+    while True:
+        if max_hops is not None and hops >= max_hops:
+            raise RuntimeError(f"distances did not settle within {max_hops} hops")
+        hops += 1
         steps = dist.join(edges, dist["node"] == edges["a"]).select(F.col("b").alias("node"), "mark", (F.col("d") + F.col("w")).alias("d"))
         dist = cut_lineage(dist.unionByName(steps).groupBy("node", "mark").agg(F.min("d").alias("d")))
         count, total = dist.agg(F.count(F.lit(1)), F.sum("d")).first()

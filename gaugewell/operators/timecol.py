@@ -58,7 +58,7 @@ def name_scores(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, name_score double, name_type string")
 
 
-def sample_of(df: DataFrame, sample_size: int | None = 100, order: Sequence[str] = ()) -> DataFrame:
+def sample_of(df: DataFrame, sample_size: int | None = None, order: Sequence[str] = ()) -> DataFrame:
     """The rows detection looks at; ``None`` means the whole column."""
     if sample_size is None:
         return df
@@ -156,7 +156,7 @@ def pattern_scores(evidence: DataFrame) -> DataFrame:
 
 
 def detect(
-    df: DataFrame, sample_size: int | None = 100, order: Sequence[str] = (), columns: Sequence[str] | None = None
+    df: DataFrame, sample_size: int | None = None, order: Sequence[str] = (), columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Confidence, type and format per column, most likely time column first."""
     evidence = column_evidence(sample_of(df, sample_size, order), columns)
@@ -225,7 +225,7 @@ def primary(detected: DataFrame) -> DataFrame:
     return detected.where("is_time_column").agg(best.alias("b")).where(F.col("b").isNotNull()).select("b.*")
 
 
-def parse_check(df: DataFrame, column: str, fmt: str, sample_size: int | None = 20, order: Sequence[str] = ()) -> DataFrame:
+def parse_check(df: DataFrame, column: str, fmt: str, sample_size: int | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Counts values that parse with ``fmt``; fine from 80 %."""
     v = trimmed("v")
     rows = sample_of(df, sample_size, order).select(value_text(df, column).alias("v")).where(v != "")
@@ -241,7 +241,7 @@ def parse_check(df: DataFrame, column: str, fmt: str, sample_size: int | None =
     )
 
 
-def quick_detect(df: DataFrame, sample_size: int | None = 50, order: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+def quick_detect(df: DataFrame, sample_size: int | None = None, order: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """Name or value score, whichever is higher, must reach 0.6."""
     names = list(columns) if columns is not None else df.columns
     cells = _cells(sample_of(df, sample_size, order), names).groupBy("column", "value").agg(F.count(F.lit(1)).alias("times"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from gaugewell.functions.columns import num, quoted
 from gaugewell.functions.parsing import parse_timestamp
+from gaugewell.plans.joins import join_groups
 from gaugewell.plans.ordering import halo_blocks, with_position
 from gaugewell.session import cut_lineage
 
@@ -36,7 +37,7 @@ def to_series(
     by = [*keys, "series"]
     placed = with_position(long, ["t", *[f"_tie{i}" for i in range(len(tie))]], by)
     stats = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).where(F.col("n") >= min_points)
-    return cut_lineage(placed.join(stats, by).select(*by, "t", "value", "idx", "n", "mean"))
+    return cut_lineage(join_groups(placed, stats, by).select(*by, "t", "value", "idx", "n", "mean"))
 
 
 def series_keys(series: DataFrame) -> list[str]:

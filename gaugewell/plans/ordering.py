@@ -1,9 +1,11 @@
 """Ordered-row kernels: global positions, running values and halo blocks.
 
 A window without a bounded partition would send a whole series to one task.
-Instead rows are cut into buckets by literal split points of the order key
-(literals, so a recomputed task lands in the same bucket), windows run inside
-a bucket, and a small per-bucket summary carries totals across the edges.
+Instead rows are cut into buckets by split points, which are whole tuples of
+the order columns taken from a sorted sample (literals in the plan, so a
+recomputed task lands in the same bucket).  Windows run inside a bucket, and a
+small per-bucket summary carries totals across the edges.  Two jobs find the
+split points, whatever the values are.
 """
 
 from __future__ import annotations
@@ -16,40 +18,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.functions.columns import quoted
+from gaugewell.plans.joins import null_safe_join
 from gaugewell.session import shuffle_partitions
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4_000
+SAMPLE_PER_BUCKET = 100
 
 
 def order_value(df: DataFrame, name: str) -> Column:
-    """A double that never decreases when the column increases."""
+    """The order column as a number; text has none."""
     kind = dict(df.dtypes)[name]
     c = quoted(name)
     if kind == "date":
         return F.unix_date(c).cast("double")
     if kind.startswith("timestamp"):
         return F.unix_micros(c.cast("timestamp")).cast("double")
-    if kind == "string":
-        # The first six bytes as a number follow the byte order of strings.
-        lead = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(lead, 16, 10).cast("double")
+    if kind in ("string", "binary") or kind.startswith(("array", "struct", "map")):
+        raise ValueError(f"{name} is no number or time to interpolate along")
     return c.cast("double")
 
 
-def split_points(df: DataFrame, x: Column, buckets: int | None = None) -> tuple[list[float], list[float]]:
-    """Interior split points of ``x`` and the values heavy enough to span several of them."""
-    if buckets is None:
-        n = df.agg(F.count(x)).first()[0]
-        buckets = min(MAX_BUCKETS, max(shuffle_partitions(df), math.ceil(n / ROWS_PER_BUCKET)))
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]) if buckets > 1 else F.array(F.lit(0.5))
-    row = df.agg(F.percentile_approx(x, probs, max(10_000, 10 * buckets)).alias("s")).first()
-    points = [v for v in row["s"] or [] if math.isfinite(v)]
-    heavy = sorted({a for a, b in zip(points, points[1:]) if a == b})
-    marks = set(points)
-    for v in heavy:
-        marks.add(math.nextafter(v, math.inf))
-    return sorted(marks), heavy
+def _exact(df: DataFrame, name: str) -> Column:
+    """The order column in a type whose values can be written into a plan, nothing lost."""
+    kind = dict(df.dtypes)[name]
+    c = quoted(name)
+    if kind == "date":
+        return F.unix_date(c)
+    if kind.startswith("timestamp"):
+        return F.unix_micros(c.cast("timestamp"))
+    return c
 
 
 def _cut(df: DataFrame, source: str, points: Sequence[float], out: str) -> DataFrame:
@@ -59,35 +56,64 @@ def _cut(df: DataFrame, source: str, points: Sequence[float], out: str) -> DataF
     return Bucketizer(splits=splits, inputCol=source, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def split_points(df: DataFrame, order: Sequence[Column], buckets: int | None = None) -> list[tuple]:
+    """Tuples of the order columns that cut the rows into about equal parts; a heavy tuple comes several times."""
+    n = df.count()
+    if buckets is None:
+        buckets = max(shuffle_partitions(df), math.ceil(n / ROWS_PER_BUCKET))
+    if n == 0 or buckets < 2:
+        return []
+    names = [f"o{i}" for i in range(len(order))]
+    rows = df.select(*[c.alias(x) for c, x in zip(order, names)])
+    share = min(1.0, SAMPLE_PER_BUCKET * buckets / n)
+    sample = rows if share == 1.0 else rows.sample(False, share, seed=1)
+    values = [tuple(r) for r in sample.orderBy(*names).collect()]
+    return [values[i * len(values) // buckets] for i in range(1, buckets)] if values else []
+
+
+def _not_above(points: Sequence[tuple], kinds: Sequence[str], here: Column) -> Column:
+    """How many of the sorted points are not above ``here``: first among every √n-th point, then among those between."""
+    literals = [F.struct(*[F.lit(v).cast(k).alias(f"o{i}") for i, (v, k) in enumerate(zip(p, kinds))]) for p in points]
+    step = max(1, math.isqrt(len(literals)))
+    groups = [literals[i : i + step] for i in range(0, len(literals), step)]
+    coarse = F.size(F.filter(F.array(*[g[0] for g in groups]), lambda p: p <= here))
+    within = F.element_at(F.array(*[F.array(*g) for g in groups]), F.greatest(coarse, F.lit(1)))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(within, lambda p: p <= here)))
+
+
 def bucketed(df: DataFrame, order: Sequence[str], out: str = "_bucket", buckets: int | None = None) -> DataFrame:
-    """Adds a bucket number that follows the order of ``order``.
+    """Adds a bucket number that follows the order of ``order``, nulls first."""
+    return _bucketed(df, order, out, buckets)[0]
+
 
-    A single order value that fills several buckets by itself is cut further by
-    the second order column, so no bucket grows with a tie.
+def _bucketed(df: DataFrame, order: Sequence[str], out: str, buckets: int | None) -> tuple[DataFrame, list[Column]]:
+    """The buckets and the order inside them.
+
+    If whole tuples repeat so often that they fill buckets, a digest of the row
+    is added to the order, so that ties are cut as well.
     """
-    first = order_value(df, order[0])
-    work = df.withColumn("_ox", F.coalesce(first, F.lit(-math.inf)))
-    points, heavy = split_points(work, F.col("_ox"), buckets)
-    work = _cut(work, "_ox", points, "_b1")
-    second = F.lit(0.0)
-    if heavy and len(order) > 1:
-        tie = order_value(df, order[1])
-        work = work.withColumn("_oy", F.coalesce(tie, F.lit(-math.inf)))
-        for j, v in enumerate(heavy):
-            here = F.col("_ox") == F.lit(v)
-            inner, _ = split_points(work, F.when(here, F.col("_oy")), buckets)
-            work = _cut(work, "_oy", inner, f"_t{j}")
-            second = F.when(here, F.col(f"_t{j}")).otherwise(second)
-    work = work.withColumn(out, (F.col("_b1") * 65536 + second).cast("long"))
-    return work.drop("_ox", "_oy", "_b1", *[f"_t{j}" for j in range(len(heavy))])
+    columns, inside = [_exact(df, o) for o in order], [quoted(o) for o in order]
+    points = split_points(df, columns, buckets)
+    if len(set(points)) < len(points):
+        flat = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+        digest = F.xxhash64(*flat)
+        columns, inside = [*columns, digest], [*inside, digest]
+        points = split_points(df, columns, buckets)
+    points = list(dict.fromkeys(points))
+    if not points:
+        return df.withColumn(out, F.lit(0).cast("long")), inside
+    names = [f"o{i}" for i in range(len(columns))]
+    kinds = [f.dataType.simpleString() for f in df.select(*[c.alias(x) for c, x in zip(columns, names)]).schema]
+    here = F.struct(*[c.alias(x) for c, x in zip(columns, names)])
+    return df.withColumn(out, _not_above(points, kinds, here).cast("long")), inside
 
 
 def with_position(
     df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), out: str = "idx", buckets: int | None = None
 ) -> DataFrame:
     """Adds the 0-based position of each row inside its series (``keys``), exact and global."""
-    cut = bucketed(df, order, "_bucket", buckets)
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*[quoted(o) for o in order])
+    cut, cols = _bucketed(df, order, "_bucket", buckets)
+    local = Window.partitionBy(*keys, "_bucket").orderBy(*cols)
     across = Window.partitionBy(*keys).orderBy("_bucket") if keys else Window.partitionBy(F.lit(0)).orderBy("_bucket")
     sizes = (
         cut.groupBy(*keys, "_bucket")
@@ -103,16 +129,6 @@ def with_position(
     )
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches null keys; right key columns are dropped."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    cond = None
-    for c in on:
-        term = left[c].eqNullSafe(renamed[f"_r_{c}"])
-        cond = term if cond is None else cond & term
-    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
-
-
 def running(
     df: DataFrame,
     order: Sequence[str],
@@ -131,8 +147,7 @@ def running(
     """
     sums, lasts, firsts = sums or {}, lasts or {}, firsts or {}
     maxs, mins = maxs or {}, mins_ahead or {}
-    cut = bucketed(df, order, "_bucket", buckets)
-    cols = [quoted(o) for o in order]
+    cut, cols = _bucketed(df, order, "_bucket", buckets)
     local = Window.partitionBy(*keys, "_bucket").orderBy(*cols)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     onward = local.rowsBetween(0, Window.unboundedFollowing)

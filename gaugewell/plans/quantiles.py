@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.functions.columns import num, quoted
+from gaugewell.plans.joins import join_groups
 
 ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
@@ -34,6 +35,7 @@ class _Target:
     high: float
     below: int = 0
     inside: int = 0
+    margin: float = MARGIN
     settled: bool = False
 
 
@@ -58,9 +60,13 @@ def wide_quantiles(
         row = df.agg(*[F.percentile(x, wanted).alias(f"q{i}") for i, x in enumerate(xs)]).first()
         return [list(row[i]) if row[i] is not None else [None] * len(probs) for i in range(len(xs))]
 
+    ends = df.agg(*[f(x) for x in xs for f in (F.min, F.max)]).first() if {0.0, 1.0} & set(map(float, probs)) else None
     targets = []
+    found = {(i, p): ends[2 * i + (p == 1)] for i in range(len(xs)) for p in probs if p in (0, 1)} if ends else {}
     for i, n in enumerate(counts):
         for p in probs:
+            if (i, p) in found:
+                continue
             place = p * (n - 1) if n else 0.0
             rank = int(math.floor(place))
             targets.append(_Target(i, p, rank, place - rank, -math.inf, math.inf, 0, n))
@@ -70,8 +76,10 @@ def wide_quantiles(
         if not open_:
             break
         _narrow(df, xs, open_)
+    if any(t.margin > MARGIN and not t.settled and t.inside > (direct_rows or DIRECT_ROWS) for t in live):
+        raise RuntimeError("no bracket covers its rank")
     _select(df, xs, live)
-    found = {(t.column, t.prob): t.low for t in live}
+    found |= {(t.column, t.prob): t.low for t in live}
     return [[found.get((i, p)) for p in probs] for i in range(len(xs))]
 
 
@@ -95,7 +103,7 @@ def _narrow(df: DataFrame, xs: list[Column], targets: list[_Target]) -> None:
         for j in members:
             t = targets[j]
             local = (t.rank - t.below + 0.5) / t.inside
-            ends += [F.lit(max(0.0, local - MARGIN)), F.lit(min(1.0, local + MARGIN))]
+            ends += [F.lit(max(0.0, local - t.margin)), F.lit(min(1.0, local + t.margin))]
         first = targets[members[0]]
         sketches.append(F.percentile_approx(_within(xs[first.column], first), F.array(*ends), ACCURACY).alias(f"s{i}"))
     row = df.agg(*sketches).first()
@@ -113,8 +121,10 @@ def _narrow(df: DataFrame, xs: list[Column], targets: list[_Target]) -> None:
     for j, t in enumerate(targets):
         lo, hi = bounds[j]
         below, inside = got[2 * j], got[2 * j + 1]
-        covers = below <= t.rank and t.rank + 1 < below + inside
-        if covers and inside < t.inside:
+        last = t.rank + (1 if t.part else 0)
+        if not below <= t.rank <= last < below + inside:
+            t.margin *= 4  # the sketch was off: look wider in the next pass
+        elif inside < t.inside:
             t.low, t.high, t.below, t.inside = lo, hi, below, inside
             t.settled = lo == hi
         else:
@@ -147,7 +157,7 @@ def group_quantiles(
     src = df.select(*[quoted(k) for k in keys], num(value).alias("_x")).where(F.col("_x").isNotNull())
     ends = []
     for p in probs:
-        ends += [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
+        ends += [max(0.0, p - 2 * MARGIN), min(1.0, p + 2 * MARGIN)]
     base = src.groupBy(*keys).agg(
         F.count("_x").alias("n"),
         F.percentile_approx("_x", F.array(*[F.lit(e) for e in ends]), ACCURACY).alias("_e"),
@@ -173,7 +183,7 @@ def group_quantiles(
         F.first("n").alias("n"),
         F.array_sort(F.collect_list(F.struct("_j", "_lo", "_hi", "_place"))).alias("_t"),
     )
-    joined = src.join(bounds, list(keys))
+    joined = join_groups(src, bounds, list(keys)) if keys else src.join(F.broadcast(bounds))
     per = joined.select(
         *keys, "n", "_x", F.inline(F.transform("_t", lambda t: F.struct(t["_j"].alias("_j"), t["_lo"].alias("_lo"), t["_hi"].alias("_hi"), t["_place"].alias("_place"))))
     ).where(F.col("_x") <= F.col("_hi"))
@@ -187,6 +197,9 @@ def group_quantiles(
     floor = F.floor("_place")
     lower = F.min(F.when(F.col("_upto") > floor, F.col("_x")))
     upper = F.min(F.when(F.col("_upto") > F.ceil("_place"), F.col("_x")))
-    one = ranked.groupBy(*keys, "n", "_j", "_place").agg(lower.alias("_a"), upper.alias("_b"))
+    under = F.max(F.when(F.col("_x").isNull(), F.col("_upto")).otherwise(0))
+    one = ranked.groupBy(*keys, "n", "_j", "_place").agg(lower.alias("_a"), upper.alias("_b"), under.alias("_under"))
+    missed = F.col("_a").isNull() | F.col("_b").isNull() | (F.col("_under") > floor)
+    one = one.withColumn("_a", F.when(missed, F.raise_error(F.lit("no bracket covers its rank")).cast("double")).otherwise(F.col("_a")))
     blend = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_place") - floor)
     return one.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_j") == j, blend)).alias(f"q{j}") for j in range(len(probs))])

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.functions.columns import num, quoted
-from gaugewell.plans.ordering import null_safe_join, running
+from gaugewell.plans.joins import null_safe_join
+from gaugewell.plans.ordering import running
 
 
 def rank_table(df: DataFrame, value: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from gaugewell.functions.columns import quoted
 
 SUPPORTED = ("csv", "parquet", "xlsx", "json")
-MAX_BYTES = 500 * 1024 * 1024
 HEAD_BYTES = 1024 * 1024
 
 
-def inventory(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def inventory(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """One row per file under the path: name, size, kind and whether it may be loaded.
 
     Only metadata columns are selected, so file contents are not read.
@@ -27,10 +26,9 @@ def inventory(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Dat
         .when(suffix == "json", "json")
         .otherwise("unknown")
     )
-    error = (
-        F.when(~suffix.isin(*SUPPORTED), F.concat(F.lit("unsupported file type: ."), suffix))
-        .when(F.col("length") > max_bytes, F.format_string("file too large: %.1fMB", F.col("length") / 1048576.0))
-    )
+    error = F.when(~suffix.isin(*SUPPORTED), F.concat(F.lit("unsupported file type: ."), suffix))
+    if max_bytes is not None:
+        error = error.when(F.col("length") > max_bytes, F.format_string("file too large: %.1fMB", F.col("length") / 1048576.0))
     return files.select(
         "path", name.alias("file_name"), F.col("length").alias("file_size"), "modificationTime", kind.alias("file_type"),
         error.isNull().alias("is_valid"), error.alias("error_message"),

@@ -128,21 +128,12 @@ def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> Da
     return near.orderBy("_h", *[quoted(k) for k in key]).limit(n).drop("_h")
 
 
-def load_or_sample(
-    spark: SparkSession, path: str, key: Sequence[str], max_memory_mb: int = 500, sample_size: int = 50_000, **options
-) -> DataFrame:
-    """Whole table up to the size limit, a uniform sample of ``sample_size`` rows beyond."""
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    df = read_table(spark, path, **options)
-    return df if size <= max_memory_mb * 1024 * 1024 else sample_rows(df, sample_size, key)
-
-
 def column_info(df: DataFrame) -> DataFrame:
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
     return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string, nullable boolean")
 
 
-def head_rows(df: DataFrame, key: Sequence[str], n: int = 10, max_columns: int = 20) -> DataFrame:
+def head_rows(df: DataFrame, key: Sequence[str], n: int = 10, max_columns: int | None = None) -> DataFrame:
     return df.orderBy(*[quoted(k) for k in key]).limit(n).select(*[quoted(c) for c in df.columns[:max_columns]])
 
 
