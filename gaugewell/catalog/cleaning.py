@@ -167,6 +167,19 @@ def positions_by_text(load):
     return with_position(load("orders").select("o_orderkey", "o_orderpriority", code.alias("code")), ["o_orderpriority", "code"]).select("o_orderkey", "idx")
 
 
+@query(
+    "clean_auto_fill",
+    f"""with t as (select event_id, case when event_type='error' then null else value end as v, case when user_id % 7 > 0 then event_type end as kind from events),
+    m as (select kind from t where kind is not null group by 1 order by count(*) desc, 1 limit 1)
+    select event_id, {r('coalesce(v, (select median(v) from t))',4)} as v, coalesce(kind, (select kind from m)) as kind from t""",
+)
+def clean_auto_fill(load):
+    """Missing numbers by the median, other missing values by the most frequent one."""
+    rows = load("events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"), F.when(F.col("user_id") % 7 > 0, F.col("event_type")).alias("kind"))
+    plan = clean.CleaningPlan(retype=False, trim=False, missing="auto", duplicates=False, downcast=False, order=("event_id",))
+    return _rounded(clean.clean(rows, plan)[0], 4)
+
+
 @query("backward_fill", f"with t as ({_EV}) select event_id, {r('first_value(v ignore nulls) over (order by ts, event_id rows between current row and unbounded following)',4)} as v from t")
 def backward_fill(load):
     return _rounded(clean.fill_along(_event_gaps(load), ["ts", "event_id"], ["v"], direction="backward").select("event_id", "v"), 4)

@@ -180,3 +180,16 @@ def report_export(load):
     described = d.describe(load("events"), ["value", "user_id"])
     folder = scratch_path(described.sparkSession, "report")
     return sinks.export_report({"describe": described, "spread": d.spread(described)}, folder, ("parquet", "csv", "json")).select("part", "format", "status")
+
+
+_SUMMARY_SQL = " || ',' || ".join(f"max(case when n_nationkey = {i} then n_name end)" for i in range(3))
+
+
+@query("summary_csv_rows", f"select {_SUMMARY_SQL} as names, count(*)::bigint as n from nation")
+def summary_csv_rows(load):
+    """A part of several rows and one of a single row in one flattened line."""
+    df = load("nation")
+    path = scratch_path(df.sparkSession, "summary") + ".csv"
+    sinks.export_summary({"first": df.where("n_nationkey < 3").select("n_nationkey", "n_name"), "total": df.agg(F.count(F.lit(1)).alias("n"))}, path, "csv")
+    line = readers.read_csv(df.sparkSession, path)
+    return line.select(F.concat_ws(",", *[f"first_{i}_n_name" for i in range(3)]).alias("names"), F.col("total_n").cast("bigint").alias("n"))

@@ -50,6 +50,13 @@ def mann_whitney(load):
     return out.select("n1", "n2", tidy(F.col("statistic"), 3).alias("statistic"), tidy(F.col("effect_size"), 6).alias("effect_size"), tidy(F.col("median1"), 3).alias("median1"), tidy(F.col("median2"), 3).alias("median2"))
 
 
+@query("chi_square_fit_unexpected", "select count(*)::bigint as n, 2::bigint as k, true as infinite, 0.0::double as p_value from events")
+def chi_square_fit_unexpected(load):
+    """Categories occur that have no expected share."""
+    out = h.chi_square_fit(load("events"), "event_type", {"click": 1, "view": 2})
+    return out.select("n", "k", (F.col("statistic") == F.lit(float("inf"))).alias("infinite"), "p_value")
+
+
 @query(
     "mann_whitney_nullable_by",
     f"""with t as (select nullif(l_linestatus,'O') s, l_returnflag g, l_quantity x from lineitem where l_returnflag in ('R','N')), k as (select s, g, {_ranked('x', 'partition by s')} rk, x from t),

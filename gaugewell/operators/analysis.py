@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def analyze(
             try:
                 # Result tables are small; storing them frees the held input.
                 out.tables.update({k: cut_lineage(v) for k, v in build().items()})
-            except Exception as e:  # noqa: BLE001 - reported, the other parts go on
+            except (AnalysisException, ArithmeticException, IllegalArgumentException, ValueError) as e:  # what the data cannot give; lost executors and the like are raised
                 out.errors[name] = f"{type(e).__name__}: {e}"
     return out
 

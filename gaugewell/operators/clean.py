@@ -378,7 +378,7 @@ class CleaningPlan:
     strip_special: bool = False
     lowercase: bool = False
     max_missing: float = 0.5
-    missing: str | None = "drop"  # drop, constant, forward, backward, mean, median, mode, auto, interpolate, None
+    missing: str | None = "drop"  # drop, constant, forward, backward, mean, median, mode, auto (median for numbers, mode for the rest), interpolate, None
     fill_value: object = None
     duplicates: bool = True
     keep: str = "first"
@@ -391,6 +391,7 @@ class CleaningPlan:
     downcast: bool = True
     order: tuple[str, ...] = field(default_factory=tuple)
     keys: tuple[str, ...] = field(default_factory=tuple)
+    row_key: tuple[str, ...] = field(default_factory=tuple)  # columns that tell rows apart
 
 
 def _fill_missing(df: DataFrame, plan: CleaningPlan) -> DataFrame:
@@ -409,6 +410,9 @@ def _fill_missing(df: DataFrame, plan: CleaningPlan) -> DataFrame:
         return fill_median(df, numbers) if numbers else df
     if how == "mode":
         return fill_mode(df, [c for c in free if c not in numbers])
+    if how == "auto":
+        filled = fill_median(df, numbers) if numbers else df
+        return fill_mode(filled, [c for c in free if c not in numbers])
     if how == "interpolate":
         return interpolate(df, plan.order, numbers, plan.keys)
     if how is None:
@@ -427,7 +431,10 @@ def _filter_outliers(df: DataFrame, plan: CleaningPlan) -> DataFrame:
     if plan.outliers == "percentile":
         return filter_percentile(df, cols, *plan.percentiles)
     if plan.outliers == "isolation_forest":
-        return filter_isolation_forest(df, plan.order, cols)
+        key = plan.row_key or plan.order
+        if not key:
+            raise ValueError("the isolation forest draws rows by key: set row_key (or order) in the plan")
+        return filter_isolation_forest(df, key, [c for c in cols if c not in key])
     raise ValueError(f"unknown outlier method {plan.outliers!r}")
 
 

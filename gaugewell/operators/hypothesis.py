@@ -441,7 +441,7 @@ def fligner(df: DataFrame, value: str, group: str, by: Sequence[str] = (), alpha
 
 
 def chi_square_fit(df: DataFrame, category: str, expected: Mapping | None = None, by: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
-    """Goodness of fit to equal counts, or to given shares per category."""
+    """Goodness of fit to equal counts, or to given shares per category; one that occurs without a share fits with nothing (infinite)."""
     counts = df.where(quoted(category).isNotNull()).groupBy(*by, quoted(category).alias("category")).agg(F.count(F.lit(1)).cast("double").alias("o"))
     if expected is None:
         s = counts.groupBy(*by).agg(F.sum("o").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("o") * F.col("o")).alias("_oo"))
@@ -449,13 +449,16 @@ def chi_square_fit(df: DataFrame, category: str, expected: Mapping | None = None
     else:
         total = float(sum(expected.values()))
         shares = F.create_map(*[x for c, w in expected.items() for x in (F.lit(c), F.lit(w / total))])
-        known = counts.withColumn("w", shares[F.col("category")]).where(F.col("w").isNotNull())
-        s = known.groupBy(*by).agg(F.sum("o").alias("n"), F.lit(len(expected)).cast("long").alias("k"), F.sum(F.col("o") * F.col("o") / F.col("w")).alias("_oo"))
+        known = counts.withColumn("w", shares[F.col("category")])
+        s = known.groupBy(*by).agg(
+            F.sum("o").alias("n"), F.lit(len(expected)).cast("long").alias("k"),
+            F.sum(F.when(F.col("w") > 0, F.col("o") * F.col("o") / F.col("w")).otherwise(F.lit(float("inf")))).alias("_oo"),
+        )
         stat = F.col("_oo") / nz(F.col("n")) - F.col("n")
     return _finish(
         s.withColumn("statistic", stat)
         .withColumn("df", (F.col("k") - 1).cast("double"))
-        .withColumn("p_value", tails.chi2_upper(F.col("statistic"), F.col("df")))
+        .withColumn("p_value", F.when(F.col("statistic") == float("inf"), 0.0).otherwise(tails.chi2_upper(F.col("statistic"), F.col("df"))))
         .select(*by, F.col("n").cast("long").alias("n"), "k", "statistic", "df", "p_value"),
         alpha,
     )

@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,16 +100,25 @@ def summary_document(parts: Mapping[str, DataFrame], max_rows: int = 100_000) ->
     return out
 
 
-def export_summary(parts: Mapping[str, DataFrame], path: str, kind: str = "json", mode: str = "overwrite") -> None:
-    """All parts as JSON, or the one-row parts side by side as a flattened CSV line."""
+def export_summary(parts: Mapping[str, DataFrame], path: str, kind: str = "json", mode: str = "overwrite", max_rows: int = 1_000) -> None:
+    """All parts as JSON, or side by side as a flattened CSV line.
+
+    A part of one row gives columns part_column, one of several rows
+    part_number_column, the rows numbered from 0 in the order of their columns.
+    Parts over ``max_rows`` rows are no summary and are refused.
+    """
     if kind == "json":
         summary_document(parts).write.mode(mode).json(path)
         return
     rows: dict = {}
     for name, table in parts.items():
-        first = flatten(table).limit(2).collect()
-        if len(first) == 1:
-            rows.update({f"{name}_{k}": v for k, v in first[0].asDict().items()})
+        flat = flatten(table)
+        found = flat.orderBy(*[quoted(c) for c in flat.columns]).limit(max_rows + 1).collect()
+        if len(found) > max_rows:
+            raise ValueError(f"{name} has over {max_rows} rows: export it as its own table")
+        for i, row in enumerate(found):
+            lead = name if len(found) == 1 else f"{name}_{i}"
+            rows.update({f"{lead}_{k}": v for k, v in row.asDict().items()})
     spark = next(iter(parts.values())).sparkSession
     write_csv(spark.createDataFrame([tuple(str(v) if v is not None else None for v in rows.values())], ", ".join(f"`{k}` string" for k in rows)), path, mode=mode)
 
@@ -126,7 +136,7 @@ def export_report(parts: Mapping[str, DataFrame], folder: str, formats: tuple[st
             try:
                 WRITERS[kind](table, path)
                 lines.append((name, kind, path, "ok", None))
-            except Exception as e:  # noqa: BLE001 - one failing part must not stop the others
+            except (AnalysisException, ValueError) as e:  # a part that cannot be written must not stop the others
                 lines.append((name, kind, path, "failed", str(e)[:500]))
     manifest = spark.createDataFrame(lines, "part string, format string, path string, status string, error string")
     manifest.write.mode("overwrite").json(f"{folder}/manifest")
