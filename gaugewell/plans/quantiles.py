@@ -20,8 +20,8 @@ from gaugewell.plans.joins import join_groups
 
 ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
-DIRECT_ROWS = 500_000
-DIRECT_CELLS = 4_000_000
+DIRECT_ROWS = 100_000
+DIRECT_CELLS = 1_000_000
 MAX_PASSES = 8
 
 
