@@ -11,6 +11,7 @@ which lets inflected forms of a known stem count.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -26,6 +27,7 @@ from gaugewell.llm.labels import labelled_sample
 SENTENCE = re.compile(r"[^.!?\n]*[^\W\d_][^.!?\n]*[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST = 3
+MEMO = 1 << 16
 PREFIXES = (3, 4, 5, 6)
 
 
@@ -38,29 +40,39 @@ class ToxicityModel:
 
     def __init__(self, weights: dict[str, float], bias: float, threshold: float = 0.3):
         self.weights, self.bias, self.threshold = weights, bias, threshold
-        self.starts = {f[: SHORTEST] if len(f.rstrip("$")) >= SHORTEST else f.rstrip("$") for f in weights}
-
-    def known(self, text: str) -> dict[str, float]:
-        """Weight of each word of ``text`` that has one."""
-        words = [w for w in set(WORD.findall(text)) if w[:SHORTEST] in self.starts]
-        return {w: x for w in sorted(words) if (x := math.fsum(self.weights.get(f, 0.0) for f in word_features(w)))}
+        self.memo: dict[str, float] = {}
+        starts = sorted({f.rstrip("$")[:SHORTEST] for f in weights})
+        # words that may have a weight; a start shorter than SHORTEST is a whole word
+        self.known = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, starts)) + r")[^\W\d_]*" if starts else r"(?!)")
+
+    def __getstate__(self):
+        return self.__dict__ | {"memo": {}}
+
+    def word(self, word: str) -> float:
+        got = self.memo.get(word)
+        if got is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            got = self.memo[word] = math.fsum(self.weights.get(f, 0.0) for f in word_features(word))
+        return got
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, z) of each sentence with words; every distinct word counts once."""
-        known = self.known(text.lower())
-        out = []
-        for m in SENTENCE.finditer(text):
-            z = self.bias
-            if known:
-                z += math.fsum(known[w] for w in set(WORD.findall(m[0].lower())) if w in known)
-            out.append((m.start(), m.end(), z))
-        return out
+        spans = [(m.start(), m.end()) for m in SENTENCE.finditer(text)]
+        return [(a, b, self.bias + math.fsum(map(self.word, set(self.known.findall(text[a:b].lower()))))) for a, b in spans]
 
     def score(self, text: str) -> float:
+        """Noisy-or of :meth:`sentences`, in which those without weighted words are only counted."""
         low = text.lower()
-        if not self.known(low):
+        hits = [(m.start(), m[0]) for m in self.known.finditer(low) if self.word(m[0])]
+        if not hits:
             return 0.0 - math.expm1(-len(SENTENCE.findall(low)) * _softplus(self.bias))
-        return 0.0 - math.expm1(-math.fsum(_softplus(z) for _, _, z in self.sentences(text)))
+        starts = [m.start() for m in SENTENCE.finditer(low)]
+        words: dict[int, set[str]] = {}
+        for at, word in hits:
+            words.setdefault(bisect.bisect_right(starts, at), set()).add(word)
+        total = math.fsum(_softplus(self.bias + math.fsum(map(self.word, w))) for w in words.values())
+        return 0.0 - math.expm1(-total - (len(starts) - len(words)) * _softplus(self.bias))
 
 
 def _softplus(z: float) -> float:
