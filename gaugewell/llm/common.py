@@ -13,7 +13,7 @@ from gaugewell.session import cut_lineage, scratch_path, shared_folder, shuffle_
 __all__ = ["cut_lineage", "join_totals", "label_hash", "map_batches", "packed", "salted_join", "scratch_path", "shared_folder", "shuffle_partitions", "stored"]
 
 #: A key is hot if it holds over 1/SHARE of all rows and at least HOT_ROWS: never over SHARE keys.
-SHARE, HOT_ROWS = 1000, 10_000
+SHARE, HOT_ROWS = 1000, 2_000
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
