@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.session import cut_lineage, scratch_path, shared_folder, shuffle_partitions
 
-__all__ = ["cut_lineage", "join_totals", "label_hash", "map_batches", "packed", "salted_join", "scratch_path", "shared_folder", "shuffle_partitions", "stored"]
+__all__ = ["cut_lineage", "join_totals", "label_hash", "low_hash", "map_batches", "packed", "salted_join", "scratch_path", "shared_folder", "shuffle_partitions", "stored"]
 
 #: A key is hot if it holds over 1/SHARE of all rows and at least HOT_ROWS: never over SHARE keys.
 SHARE, HOT_ROWS = 1000, 2_000
@@ -48,6 +49,12 @@ def label_hash(column: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def low_hash(column: Column, wanted: int, total: int) -> Column:
+    """Whether a hash is among about the ``wanted`` smallest of ``total`` (somewhat more, all if there are no more): a filter, no sort."""
+    share = (wanted + 10 * math.sqrt(wanted) + 10) / max(total, 1)
+    return F.lit(True) if share >= 1 else column <= F.lit(int(-(2**63) + share * 2**64))
+
+
 def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], size: str, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``totals``, which has one row for each key and says in ``size`` how many rows hold it.
 

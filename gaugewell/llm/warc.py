@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.common import cut_lineage, join_totals, map_batches, scratch_path
+from gaugewell.llm.common import cut_lineage, join_totals, low_hash, map_batches, scratch_path
 
 MAGIC = 0x184D2A5D  # skippable frame of a dictionary
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard's name space of URLs
@@ -119,8 +119,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     typed = _typed(pages, id_col, url_col, payload_col, least_bytes)
     chosen = pages.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"))
     chosen = chosen.filter(F.octet_length("payload") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("id", "url"))
-    last = chosen.select("h").distinct().orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
-    chosen = chosen.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("id").alias("id"), F.first("url").alias("url"), F.first("payload").alias("payload"))
+    chosen = chosen.filter(low_hash(F.col("h"), SAMPLE_RECORDS, pages.count()))
+    chosen = chosen.groupBy("h").agg(F.first("id").alias("id"), F.first("url").alias("url"), F.first("payload").alias("payload")).orderBy("h").limit(SAMPLE_RECORDS)
     samples = [record(r["id"], r["url"], body := r["payload"].encode(), digest(body), None, False, date) for r in chosen.collect()]
     dictionary = spark.sparkContext.broadcast(train_dictionary(samples))
 
