@@ -32,7 +32,7 @@ MIN_WORDS, SIMILARITY = 13, 0.8
 BLOCK_WORDS = 1 << 19  # of the benchmark in one pass: about 50 MB of hashes
 SEGMENT, OVERLAP = 2048, 64  # a longer benchmark text is cut into overlapping parts
 CHUNK = 1 << 20  # corpus words hashed at once
-CACHE = 1 << 19
+CACHE = 1 << 18
 BITMAP_BITS = 24
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
