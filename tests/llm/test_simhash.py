@@ -153,3 +153,38 @@ def test_dropping_odd_rows(odd, none):
     assert [r["doc_id"] for r in kept if r["text"] == "a b c d e"] == [1]
     assert kept[0].asDict().keys() == dict.fromkeys(odd.columns).keys()
     assert drop_near_duplicates(none).collect() == []
+
+
+def _alike(rng, kind, likeness, n):
+    """A text of n own words and a copy with about that similarity of its five words, changed in one block or at scattered places."""
+    base = [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    extra = [f"y{rng.randrange(10**9)}" for _ in range(n)]
+    more = int((n - 4) * (1 - likeness) / likeness)
+    if kind == "appended":
+        return base, base + extra[:more]
+    if kind == "truncated":
+        return base, base[: -int((n - 4) * (1 - likeness))]
+    if kind == "replaced":
+        gone = max(1, int((n - 4) * (1 - likeness) / (1 + likeness)) - 4)
+        at = rng.randrange(5, n - gone - 5)
+        return base, base[:at] + extra[:gone] + base[at + gone :]
+    copy = list(base)
+    for at in rng.sample(range(n), max(1, int(n * (1 - likeness) / (1 + likeness) / 5))):
+        copy[at] = extra[at]
+    return base, copy
+
+
+def test_nearly_all_similar_pairs_meet_and_are_linked(spark):
+    rng = random.Random(11)
+    rows, wanted = [], set()
+    for kind in ("appended", "truncated", "replaced", "scattered"):
+        for likeness in (0.8, 0.83, 0.86, 0.9):
+            for k in range(60):
+                a, b = (" ".join(w).encode() for w in _alike(rng, kind, likeness, 100 + 15 * k))
+                x, y = set(simhash.shingles(a, 5)), set(simhash.shingles(b, 5))
+                if len(x & y) >= 0.8 * len(x | y):
+                    wanted.add(len(rows) + 1)
+                rows += [(len(rows), a.decode()), (len(rows) + 1, b.decode())]
+    kept = {r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(wanted) > 900 and len(wanted & kept) <= 0.01 * len(wanted)
+    assert kept | wanted == {i for i, _ in rows}
