@@ -188,3 +188,29 @@ def test_nearly_all_similar_pairs_meet_and_are_linked(spark):
     kept = {r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert len(wanted) > 900 and len(wanted & kept) <= 0.01 * len(wanted)
     assert kept | wanted == {i for i, _ in rows}
+
+
+def test_repeated_lines_link_nothing(spark):
+    rng = random.Random(12)
+    line = " ".join(f"licence{i}" for i in range(10))
+    rows = [(i, " ".join([f"z{rng.randrange(10**9)}" for _ in range(200)] + [line] * (10 + i))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in drop_near_duplicates(df).collect()} == set(range(30))
+
+
+def test_sets_in_blocks_link_the_same(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"v{i}" for i in range(200)]
+    rows = [(i, " ".join(_near(base, 0.015, rng))) for i in range(80)]
+    sets = [{*simhash.shingles(t.encode(), 5)} for _, t in rows]
+    links = [(i, j) for i in range(80) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicate_groups(df)
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert {r["id"]: r["owner"] for r in got.collect()} == label
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 8)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert {r["id"]: r["owner"] for r in simhash.near_duplicate_groups(df).collect()} == label
