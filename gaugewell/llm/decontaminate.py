@@ -1,8 +1,10 @@
 """Benchmark passages in training text, found by spaced-seed hashing.
 
 A mask names the word positions that count in a window; the others may differ.
-The three masks below find every passage of 13 words with up to two replaced
-words.  Hashes of all windows of the benchmark are joined with those of all
+The four masks below find every passage of 11 to 25 words with a fifth of them
+replaced (rounded down), so every longer one too: it can be cut into passages
+of 13 to 25 words, one of which has the share of equal words.  An item shorter
+than the masks is cut into one part more than words may be replaced.  Hashes of all windows of the benchmark are joined with those of all
 windows of the corpus inside the scan: a bitmap throws out nearly all windows,
 a binary search settles the rest.  Each hit fixes how the two texts lie against
 each other; around it the words are compared, and the longest stretch with the
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm.common import cut_lineage, map_batches
 
-#: Fixed masks: weight 7, every 13 words with two replaced ones contain a hit.
-MASKS = ("11110111", "1100101111", "10111001011")
+#: Fixed masks: weight 6, proved by enumeration in the tests.
+MASKS = ("1110111", "111001011", "110100111", "11010001011")
 MIN_WORDS, SIMILARITY = 13, 0.8
 BLOCK_WORDS = 1 << 19  # of the benchmark in one pass: about 50 MB of hashes
 SEGMENT, OVERLAP = 2048, 64  # a longer benchmark text is cut into overlapping parts
@@ -60,6 +62,12 @@ def _positions(masks: tuple[str, ...]) -> list[list[int]]:
     return [[i for i, c in enumerate(m) if c == "1"] for m in masks]
 
 
+def short_parts(n: int, share: float) -> list[list[int]]:
+    """Positions of the parts of an item of ``n`` words, one of which stays whole if the item has the share of equal words."""
+    cuts = np.linspace(0, n, min(n, math.floor(n * (1 - share) + 1e-9) + 1) + 1).round().astype(int).tolist()
+    return [list(range(a, b)) for a, b in zip(cuts, cuts[1:])]
+
+
 def window_hashes(words: np.ndarray, positions: list[int], number: int) -> np.ndarray:
     """A hash for each window; ``number`` keeps masks apart."""
     n = len(words) - positions[-1]
@@ -77,14 +85,15 @@ def window_hashes(words: np.ndarray, positions: list[int], number: int) -> np.nd
 class Block:
     """Hashes and words of one part of the benchmark; travels as a broadcast."""
 
-    def __init__(self, items: list[tuple], masks: tuple[str, ...]):
+    def __init__(self, items: list[tuple], masks: tuple[str, ...], share: float = SIMILARITY):
         self.ids = [i for i, _, _ in items]
         self.starts = [s for _, s, _ in items]
         self.words = [np.frombuffer(w, np.uint64) for _, _, w in items]
         span = max(map(len, masks))
         short = sorted({len(w) for w in self.words if 0 < len(w) < span})
-        self.masks = _positions(masks) + [list(range(n)) for n in short]
-        own = [None] * len(masks) + short
+        parts = [(n, part) for n in short for part in short_parts(n, share)]
+        self.masks = _positions(masks) + [part for _, part in parts]
+        own = [None] * len(masks) + [n for n, _ in parts]
         hashes, item, place = [], [], []
         for k, (positions, exact) in enumerate(zip(self.masks, own)):
             for i, w in enumerate(self.words):
@@ -168,7 +177,7 @@ def overlaps(block: Block, texts: list[str], min_words: int, share: float) -> It
                 doc += 1
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...], block_words: int) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...], block_words: int, share: float = SIMILARITY) -> Iterator[Block]:
     """The benchmark's words in blocks of about ``block_words`` at most."""
     kind = benchmark.schema[id_col].dataType.simpleString()
 
@@ -190,7 +199,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, masks: tuple[str, .
     count = max(1, math.ceil(2 * total / block_words))
     for b in range(count):
         of_block = parts.filter(F.pmod(F.xxhash64("words"), F.lit(count)) == b).orderBy("item", "start", "words")
-        yield Block([(r["item"], r["start"], bytes(r["words"])) for r in of_block.collect()], masks)
+        yield Block([(r["item"], r["start"], bytes(r["words"])) for r in of_block.collect()], masks, share)
 
 
 def find_overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -198,8 +207,7 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     Words are runs of ``\w``, lower-cased; ``start`` counts them from 0.  An
     overlap has at least ``min_words`` words (all words of a shorter item) and
-    ``similarity`` of them equal, none inserted or left out.  Items shorter
-    than the masks are found where they occur unchanged.  Null or empty texts
+    ``similarity`` of them equal, none inserted or left out.  Null or empty texts
     overlap with nothing; null ids are passed on; repeated rows and items are
     reported repeated and once; other columns are ignored.
     """
@@ -208,7 +216,7 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = f"id {kind}, item {item_kind}, start long, words long, equal_words long, item_start long"
     found = None
-    for block in blocks(benchmark, item_col, item_text, masks, block_words):
+    for block in blocks(benchmark, item_col, item_text, masks, block_words, similarity):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
@@ -226,7 +234,7 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``df`` whose text overlaps with no item (as in :func:`find_overlaps`), with all their columns."""
     place = df.columns.index(text_col)
-    for block in blocks(benchmark, item_col, item_text, masks, block_words):
+    for block in blocks(benchmark, item_col, item_text, masks, block_words, similarity):
         held = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, held=held):

@@ -1,9 +1,10 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 
-from gaugewell.llm.decontaminate import MASKS, drop_contaminated, find_overlaps, longest_stretch, window_hashes
+from gaugewell.llm.decontaminate import MASKS, drop_contaminated, find_overlaps, longest_stretch, short_parts, window_hashes
 
 RNG = random.Random(4)
 ITEMS = [(i, " ".join(f"q{RNG.randrange(400)}" for _ in range(n))) for i, n in enumerate((40, 20, 13, 8, 3))]
@@ -88,3 +89,25 @@ def test_odd_rows(odd, none, bench, spark):
     assert sorted(map(repr, drop_contaminated(odd, bench).collect())) == sorted(map(repr, odd.collect()))
     assert find_overlaps(none, bench).collect() == []
     assert find_overlaps(odd, bench.filter("false")).collect() == []
+
+
+def test_every_fifth_word_may_be_replaced():
+    """All patterns of floor(n / 5) replaced words; 26 words or more can be cut into passages of 13 to 25."""
+    spans = [(int(m[::-1], 2), len(m)) for m in MASKS]
+    for n in range(11, 26):
+        windows = [bits << at for bits, size in spans for at in range(n - size + 1)]
+        for places in itertools.combinations(range(n), n // 5):
+            replaced = sum(1 << p for p in places)
+            assert any(not w & replaced for w in windows), (n, places)
+    for n in range(1, 11):
+        for places in itertools.combinations(range(n), n // 5):
+            assert any(not set(part) & set(places) for part in short_parts(n, 0.8)), (n, places)
+
+
+def test_overlaps_the_old_masks_missed(spark):
+    rng = random.Random(3)
+    items = [(n, " ".join(f"r{rng.randrange(10**6)}" for _ in range(n))) for n in (15, 11, 10, 9)]
+    places = {15: {2, 4, 12}, 11: {3, 6}, 10: {2, 6}, 9: {4}}
+    rows = [(n, doc(changed(t, places[n]))) for n, t in items]
+    found = find_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["words"], r["equal_words"]) for r in found) == [(n, n, n, n - len(places[n])) for n in (9, 10, 11, 15)]
