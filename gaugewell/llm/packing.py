@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -30,27 +31,46 @@ from gaugewell.llm.common import cut_lineage, map_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_SPACE = re.compile(r"\s+")
+RUN = 100_000  # characters of white space; tiktoken stops at a million
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """text → token ids as little-endian unsigned 32-bit numbers, by the tokenizers file at ``path``.
 
-    Strings of special tokens in a text are ordinary text.  A plain byte-level
-    BPE file whose ids follow its merges has the same ids in tiktoken, which is
-    several times as fast; any other file is run by tokenizers itself.
+    Strings of added tokens in a text are these tokens if ``added``, else
+    ordinary text.  A plain byte-level BPE file whose ids follow its merges has
+    the same ids in tiktoken, which is several times as fast; any other file,
+    texts with added tokens and texts with very long runs of white space are
+    run by tokenizers itself.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     ranks = _ranks(spec)
+
+    @lru_cache(maxsize=1)
+    def tokenizer():
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(path)
+        if not added:
+            found.encode_special_tokens = True
+        return found
+
+    whole = lambda text: tokenizer().encode(text, add_special_tokens=False).ids
+    ordinary = whole
     if ranks:
         import tiktoken
 
-        ordinary = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    else:
-        from tokenizers import Tokenizer
+        fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        tokens = [t["content"] for t in spec.get("added_tokens", [])] if added else []
+
+        def ordinary(text):
+            if any(t in text for t in tokens) or len(text) >= RUN and any(m.end() - m.start() >= RUN for m in _SPACE.finditer(text)):
+                return whole(text)
+            return fast(text)
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        ordinary = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     return lambda text: np.asarray(array("I", ordinary(text)), "<u4").tobytes()
 
 

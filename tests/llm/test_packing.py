@@ -113,3 +113,9 @@ def test_documents_round_trip(spark, sf):
 def test_odd_rows(odd, none):
     _check(odd, 16)
     assert pack(none, PATH).collect() == []
+
+
+@pytest.mark.parametrize("text", ["a" + "\n" * 2_000_000 + "b", " " * 2_000_000 + "word  " + "\t" * 150_000], ids=["lines", "spaces"])
+def test_very_long_white_space(text):
+    wanted = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(PATH)(text), "<u4").tolist() == wanted
