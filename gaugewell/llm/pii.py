@@ -32,7 +32,7 @@ CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w+.])(?<!\d[ .-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w]|[ .-]?\d)|(?<![\w+])\+\d{8,15}(?!\w)")
-SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)(\s*[=:]\s*[\"']?)([A-Za-z0-9+/_=-]{8,})")
+SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)(\s*[=:]\s*[\"']?)((?=[+/_=-]*[A-Za-z0-9])[A-Za-z0-9+/_=-]{8,})")
 #: Titles, and the gender they give a name.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Señorita": "f", "Г-н": "m", "Господин": "m", "Г-жа": "f", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
@@ -43,6 +43,7 @@ SCRIPTS = {
     "CYRILLIC": ("бвгдзклмнпрст", "аеиоу", ("н", "а"), ("ов", "ова")),
     "GREEK": ("βγδζθκλμνπρστ", "αειου", ("ος", "α"), ("ης", "η")),
 }
+NARROW_ATTEMPTS = 16  # then forms get longer, one character each time so many have failed again
 ATTEMPT_ROWS = 100_000  # exceptions that are broadcast; more are joined
 
 
@@ -79,7 +80,7 @@ def _shape(text: str, s: Stream) -> str:
 def _digits(form: str, new: str) -> str:
     """The digits of ``form`` replaced in order."""
     it = iter(new)
-    return "".join(next(it) if c.isdigit() else c for c in form)
+    return "".join([next(it) if c.isdigit() else c for c in form] + [*it])
 
 
 def luhn_ok(digits: str) -> bool:
@@ -109,21 +110,24 @@ def _cased(new: str, form: str) -> str:
 def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
     """The normal form of the replacement of an entity in normal form."""
     s = Stream(key, kind, norm, attempt)
+    wider = attempt // NARROW_ATTEMPTS
     if kind == "email":
         local, _, domain = norm.partition("@")
         *labels, top = domain.split(".")
         d = Stream(key, "domain", domain)  # one domain stays one domain
-        return f"{_shape(local, s)}@{'.'.join(_shape(x, d) for x in labels)}.{top}"
+        return f"{_shape(local + 'x' * wider, s)}@{'.'.join(_shape(x, d) for x in labels)}.{top}"
     if kind == "ip":
         first = int(norm.split(".")[0])
         private = first in (10, 127) or norm.startswith("192.168.")
+        if private and wider:  # any private address, then any
+            private, norm = wider == 1, "10.0.0.0"
         keep = norm.split(".")[: 2 if norm.startswith("192.168.") else 1] if private else [str([x for x in range(1, 224) if x not in (10, 127, 169, 172, 192)][s.below(218)])]
         return ".".join([*keep, *(str(s.below(256)) for _ in range(4 - len(keep)))])
     if kind == "card":
-        body = norm[0] + "".join(str(s.below(10)) for _ in norm[2:])
+        body = norm[0] + "".join(str(s.below(10)) for _ in norm[2:] + "0" * wider)
         return next(body + str(c) for c in range(10) if luhn_ok(body + str(c)))
     if kind == "iban":
-        body = _shape(norm[4:], s)
+        body = _shape(norm[4:] + "0" * wider, s)
         check = 98 - int("".join(str(int(c, 36)) for c in body + norm[:2] + "00")) % 97
         return f"{norm[:2]}{check:02d}{body}"
     if kind in ("phone", "ssn"):
@@ -131,7 +135,7 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
         digits = norm.lstrip("+")
         keep = digits[: max(0, len(digits) - 10)] if plus else ""
         rest = digits[len(keep) :]
-        return "+" * plus + keep + str(1 + s.below(9)) + "".join(str(s.below(10)) for _ in rest[1:]) if rest else norm
+        return "+" * plus + keep + str(1 + s.below(9)) + "".join(str(s.below(10)) for _ in rest[1:] + "0" * wider) if rest else norm
     if kind in ("given-m", "given-f", "surname-m", "surname-f"):
         script = script_of(norm)
         consonants, vowels, given, family = SCRIPTS[script]
@@ -140,8 +144,8 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
         return stem + consonants[s.below(len(consonants))] + ending
     if kind == "secret" and (m := re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", norm)):
         digits = "0123456789ABCDEF" if m[0] != m[0].lower() else "0123456789abcdef"
-        return "".join(digits[s.below(16)] for _ in norm)
-    return _shape(norm, s)
+        return "".join(digits[s.below(16)] for _ in norm + "0" * wider)
+    return _shape(norm + "x" * wider, s)
 
 
 def _people(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -209,7 +213,7 @@ def rendered(kind: str, form: str, new: str) -> str:
         return _digits(form, new.lstrip("+"))
     if kind == "iban":
         it = iter(new)
-        return "".join(c if c == " " else next(it) for c in form)
+        return "".join([c if c == " " else next(it) for c in form] + [*it])
     if kind.startswith(("given", "surname")):
         return _cased(new, form)
     return new

@@ -81,3 +81,24 @@ def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"], 0) for r in odd.collect()]
     assert sorted(map(tuple, pseudonymise(odd, KEY).collect()), key=repr) == sorted(rows, key=repr)
     assert pseudonymise(none, KEY).collect() == []
+
+
+def test_blanks_are_no_secrets_and_small_spaces_of_forms_end(spark):
+    blanks = ["Password: ____________", "Secret: --------", "token = ++++====", "api_key: ////////"]
+    rows = [*enumerate(blanks), *((10 + i, f"pwd: -------{i} and {i}@1.com and 192.168.0.{i}") for i in range(10)), (30, "Password: ____abc1")]
+    found = pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
+    got = {r["doc_id"]: (r["text"], r["entities"]) for r in found}
+    assert [got[i] for i in range(4)] == [(t, 0) for t in blanks] and got[30][1] == 1 and "abc1" not in got[30][0]
+    assert all(got[10 + i][1] == 3 for i in range(10)) and len({t for t, _ in got.values()}) == len(rows)
+
+
+def test_all_forms_taken(spark):
+    """Each one-digit form of these secrets is a real one; a private block and other kinds get wider forms too."""
+    rows = [("secret", f"-------{i}") for i in range(10)]
+    made = assign(spark.createDataFrame(rows, "kind string, norm string"), KEY)
+    forms = [(r["kind"], r["new"]) for r in made.collect()]
+    assert len(forms) == len(set(forms)) == len(rows) and not set(rows) & set(forms)
+    assert surrogate("ip", "192.168.3.4", 16, KEY).startswith("10.") and not surrogate("ip", "10.1.2.3", 32, KEY).startswith("10.")
+    for kind, norm in (("phone", "5551234567"), ("ssn", "123456789"), ("email", "a@b.de")):
+        assert len(surrogate(kind, norm, 16, KEY)) == len(norm) + 1
+    assert luhn_ok(surrogate("card", "4111111111111111", 16, KEY)) and pii.rendered("ssn", "123-45-6789", "1112223334") == "111-22-23334"
