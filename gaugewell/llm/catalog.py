@@ -64,10 +64,11 @@ from documents window w as (partition by coalesce(text, ''))
 def op5_perspectives(load):
     from pyspark.sql import functions as F
 
-    from gaugewell.llm.chat_format import rotate
+    from gaugewell.llm.chat_format import LAST, TURNS, rotate, whole_parts
 
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
-    return rotate(load("conversations")).select("conv_id", "participant", "part", F.col("turns").cast("long").alias("turns"), "text", F.when(F.size("mask") > 0, mask).alias("mask"))
+    part = F.when(F.col("part") < LAST // TURNS, F.col("part")).alias("part")  # null turns are in no numbered part
+    return whole_parts(rotate(load("conversations"))).select("conv_id", "participant", part, F.col("turns").cast("long").alias("turns"), "text", F.when(F.size("mask") > 0, mask).alias("mask"))
 
 
 @query("op6_warc", OP6_SQL)

@@ -86,3 +86,17 @@ def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: st
     made = pairs.withColumn("pieces", pieces)
     spoken = F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"], F.lit("\n"))), "")
     return made.select(F.col("conv").alias(conv), "participant", "part", "own", "slice", F.size("all").alias("turns"), spoken.alias("text"), F.aggregate("pieces", start, step, lambda done: done["mask"]).alias("mask"))
+
+
+def whole_parts(pieces: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """What :func:`rotate` gives with one row for each conv, participant and part: pieces in the order of own and slice, masks counted in the whole text."""
+    ordered = F.sort_array(F.collect_list(F.struct("own", "slice", "turns", "text", "mask")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
+
+    def step(done: Column, p: Column) -> Column:
+        moved = F.transform(p["mask"], lambda m: F.struct((m["start"] + done["at"]).alias("start"), (m["end"] + done["at"]).alias("end")))
+        return F.struct((done["at"] + F.length(p["text"])).alias("at"), F.concat(done["mask"], moved).alias("mask"))
+
+    joined = pieces.groupBy(F.col(f"`{conv}`"), "participant", "part").agg(F.sum("turns").alias("turns"), ordered.alias("pieces"))
+    text = F.array_join(F.col("pieces.text"), "")
+    return joined.select(F.col(f"`{conv}`"), "participant", "part", "turns", text.alias("text"), F.aggregate("pieces", start, step, lambda done: done["mask"]).alias("mask"))

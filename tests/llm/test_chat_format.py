@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from gaugewell.llm import chat_format, common
+from gaugewell.llm.catalog import ORACLES, QUERIES
 from gaugewell.llm.chat_format import END, LAST, rotate
 
 RNG = random.Random(6)
@@ -56,3 +57,17 @@ def test_column_functions_only(spark):
     df = spark.createDataFrame([("c", 1, "u", "x")], "conv_id string, turn int, role string, text string")
     plan = rotate(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and rotate(df).collect()[0]["text"] == "<|assistant|>\nx<|end|>\n"
+
+
+def test_query_agrees_with_its_sql_on_crowded_parts(spark, tmp_path):
+    """Over 1024 rows in a part, among them rows of one turn and null turns: one row for each participant and part."""
+    import duckdb
+
+    rows = [(1, i % 64, ("user", "assistant", "Ann")[i % 3], f"text {i}") for i in range(1500)]
+    rows += [(2, 7, ("user", "assistant")[i % 2], f"tie {i}") for i in range(2500)] + [(3, None, ("user", "system")[i % 2], f"null {i}") for i in range(1200)] + [(4, 70, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op5_perspectives"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2])
+    assert sorted(map(tuple, got), key=key) == sorted(con.execute(ORACLES["op5_perspectives"]).fetchall(), key=key)
