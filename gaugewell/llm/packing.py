@@ -246,7 +246,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added=True)
         seen = [0] * (length + 1)
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("id", "piece", "start", "length", "crc", "local", "task", "ids")}
@@ -271,7 +271,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     """One row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A document is its token ids and ``end_id``; only one longer than ``length``
-    is cut, all its pieces but the first being full.  Null and empty texts are
+    is cut, all its pieces but the first being full.  The string of an added
+    token in a text is that token, as tokenizers has it.  Null and empty texts are
     one piece of one token.  Null and repeated ids are packed like others;
     other columns are ignored; no rows give no rows.
     """

@@ -119,3 +119,10 @@ def test_odd_rows(odd, none):
 def test_very_long_white_space(text):
     wanted = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(packing.encoder(PATH)(text), "<u4").tolist() == wanted
+
+
+def test_added_tokens_are_those_of_the_call(spark):
+    text = "one<|endoftext|> two  <|endoftext|>"
+    ids = [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 0]
+    row = pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, with_ids=True).collect()[0]
+    assert np.frombuffer(bytes(row["ids"]), "<u4").tolist() == ids and ids.count(50256) == 2
