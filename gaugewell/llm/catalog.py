@@ -60,6 +60,93 @@ from documents window w as (partition by coalesce(text, ''))
 """
 
 
+#: The crc32 of text as a DuckDB macro: a table of 256 remainders, then one step for each byte (plain bytes in hex).
+CRC_SQL = """
+crc_table as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end)) as tab)
+"""
+
+
+def _crc(text: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::int + 1, 2))::bigint)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(tab[(xor(c, b) % 256 + 1)::int], c // 256)))"
+
+
+OP11_SQL = f"""
+with {CRC_SQL},
+t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+o as (select *, row_number() over (partition by c order by turn nulls first, md5(length(role) || ':' || role || text)) as p from t),
+n as (select c, count(*) as n, {_crc("c::varchar")} % 6 as h from o, crc_table group by c, tab),
+r as (select n.c, b.p, b.role, b.text from n join o b on b.c = n.c - n.c % 100 and b.p <= n.h
+      union all select n.c, n.h + o.p, o.role, o.text from n join o on o.c = n.c and o.p > n.h),
+q as (select c, row_number() over (partition by c order by p) as d, role, text from r),
+l as (select n.c, coalesce(max(d), 0) as len from n left join q on q.c = n.c group by n.c),
+x as (select a.c, a.d, md5(string_agg(length(b.role) || ':' || length(b.text) || ':' || b.role || b.text, '' order by b.d)) as k, any_value(length(a.text)) as size
+      from q a join q b on a.c = b.c and b.d <= a.d group by a.c, a.d
+      union all select c, 0, '', 0 from n),
+y as (select x.*, p.k as pk, len from x join l on l.c = x.c left join x p on p.c = x.c and p.d = x.d - 1),
+nodes as (select d, k, any_value(pk) as pk, min(c) as conv_id, count(*) as n, (count(*) - 1) * any_value(size) as save,
+            sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where len = d), '')) as ends from y group by d, k),
+kids as (select d - 1 as d, pk as k, count(*) as n from nodes where d > 0 group by all),
+full_nodes as (select nodes.*, coalesce(kids.n, 0) as n_children, par.conv_id as parent from nodes left join kids using (d, k) left join nodes par on par.d = nodes.d - 1 and par.k = nodes.pk),
+under as (select distinct a.d, a.k, b.d as bd, b.k as bk from y a join y b on a.c = b.c and b.d >= a.d)
+select f.conv_id, f.d as depth, f.parent as parent_conv_id, f.n as n_convs, f.n_children,
+       count(*) filter (where g.n_children = 0) as n_leaves, sum(g.save)::bigint as saved_tokens, f.ends as ends_sha256
+from full_nodes f join under u on u.d = f.d and u.k = f.k join full_nodes g on g.d = u.bd and g.k = u.bk
+group by all
+"""
+
+OP12_SQL = f"""
+with recursive {CRC_SQL},
+runs as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+c as (select doc_id, run, count(*) as n from runs where length(run) >= 6 group by all),
+h as (select run, n, {_crc("(coalesce(doc_id::varchar, '') || ':' || run)")} as h from c, crc_table),
+s as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from h),
+w as (select word, sum(n)::bigint as n from s where length(word) >= 6 group by word having sum(n) >= 5),
+g as (select word, n, unnest(range(1, length(word) + 1))::int as i from w),
+holes as (select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as b from g),
+near as (select x.word, y.word as near, y.n as m from holes x join holes y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+         union select x.word, y.word, y.n from holes x join w y on x.a || x.b = y.word
+         union select y.word, x.word, x.n from holes x join w y on x.a || x.b = y.word),
+best as (select word, count(*) as n_near, arg_min(struct_pack(near, m), struct_pack(x := -m, y := near)) as b from near group by word),
+forms as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when b.m >= 5 * w.n then b.near end as form, case when b.m >= 5 * w.n then b.m end as form_n from w left join best using (word)),
+hops as (select word, word as root from forms union select hops.word, f.form from hops join forms f on f.word = hops.root where f.form is not null)
+select forms.word, forms.form, hops.root, forms.n, forms.n_near, forms.form_n
+from forms join hops on hops.word = forms.word join forms last on last.word = hops.root and last.form is null
+"""
+
+OP13_SQL = """
+with l as (select rid, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+           from (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents)),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+o as (select key, max(doc_id) as best from (select distinct key, doc_id from k where length(key) >= 40) group by key having count(*) >= 5),
+m as (select k.*, best is not null and doc_id is distinct from best as gone from k left join o using (key))
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from m group by rid
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(load):
+    from gaugewell.llm.prefix_trie import shared_head_trie
+
+    return shared_head_trie(load("conversations"))
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12_spelling_variants(load):
+    from gaugewell.llm.spelling import spelling_variants
+
+    return spelling_variants(load("documents"), typo_every=199)
+
+
+@query("op13_line_dedup", OP13_SQL)
+def op13_line_dedup(load):
+    from gaugewell.llm.line_dedup import mark_lines
+
+    return mark_lines(load("documents"))
+
+
 @query("op5_perspectives", OP5_SQL)
 def op5_perspectives(load):
     from pyspark.sql import functions as F

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from gaugewell.session import cut_lineage, scratch_path, shared_folder, shuffle_partitions
 
-__all__ = ["cut_lineage", "join_totals", "label_hash", "low_hash", "map_batches", "packed", "salted_join", "scratch_path", "shared_folder", "shuffle_partitions", "stored"]
+__all__ = ["cut_lineage", "hot_keys", "join_totals", "label_hash", "low_hash", "map_batches", "packed", "row_key", "salted_join", "scratch_path", "shared_folder", "shuffle_partitions"]
 
-#: A key is hot if it holds over 1/SHARE of all rows and at least HOT_ROWS: never over SHARE keys.
-SHARE, HOT_ROWS = 1000, 2_000
+#: A key is hot if it holds over 1/SHARE of all rows, HOT_ROWS and two even partitions: never over SHARE keys.
+SHARE, HOT_ROWS = 1000, 256
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
@@ -37,11 +37,10 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it again: computed once, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """md5 of id and text; rows that repeat both share it."""
+    ident, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), ident), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))).cast("binary")))
 
 
 def label_hash(column: Column, folds: int) -> Column:
@@ -55,18 +54,26 @@ def low_hash(column: Column, wanted: int, total: int) -> Column:
     return F.lit(True) if share >= 1 else column <= F.lit(int(-(2**63) + share * 2**64))
 
 
+def hot_keys(rows: DataFrame, totals: DataFrame, keys: Sequence[str], size: str) -> DataFrame | None:
+    """The keys of ``totals`` (one row for each key) whose ``size`` rows fill more than twice an even partition, None if there are none.
+
+    They hold over 1/SHARE of all rows as well, so there are at most SHARE.
+    """
+    every, largest = totals.agg(F.sum(size), F.max(size)).first()
+    least = max(HOT_ROWS, 2 * (every or 0) // shuffle_partitions(rows), (every or 0) // SHARE)
+    return totals.filter(F.col(size) > least).select(*keys) if (largest or 0) > least else None
+
+
 def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], size: str, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``totals``, which has one row for each key and says in ``size`` how many rows hold it.
 
-    Keys are not null.  A key that holds over 1/1000 of the rows (so at most
-    1000 keys, the bound of what is broadcast) is dealt over all partitions:
-    its row of ``totals`` is repeated for each salt, its rows take a salt by
-    their place in their partition.
+    Keys are not null.  The hot ones (at most 1000, the bound of what is
+    broadcast) are dealt over all partitions: their row of ``totals`` is
+    repeated for each salt, their rows take a salt by their place in their
+    partition.
     """
-    every, largest = totals.agg(F.sum(size), F.max(size)).first()
-    if (largest or 0) < HOT_ROWS or largest * SHARE <= every:
-        return rows.join(totals, list(keys), how)
-    return salted_join(rows, totals, keys, totals.filter((F.col(size) >= HOT_ROWS) & (F.col(size) * SHARE > F.lit(every))).select(*keys), how)
+    hot = hot_keys(rows, totals, keys, size)
+    return rows.join(totals, list(keys), how) if hot is None else salted_join(rows, totals, keys, hot, how)
 
 
 def salted_join(rows: DataFrame, other: DataFrame, keys: Sequence[str], hot: DataFrame, how: str = "inner") -> DataFrame:

@@ -23,8 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.common import cut_lineage, map_batches
-from gaugewell.llm.simhash import row_key
+from gaugewell.llm.common import cut_lineage, map_batches, row_key
 
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9_.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")
 IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")

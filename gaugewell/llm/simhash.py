@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.common import cut_lineage, join_totals, map_batches, packed
+from gaugewell.llm.common import cut_lineage, join_totals, map_batches, packed, row_key
 from gaugewell.llm.components import components
 
 GENERATOR = 0b110001110101  # x^11+x^10+x^6+x^5+x^4+x^2+1
@@ -476,12 +476,6 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return join_totals(placed, owners, ["component"], "n")
 
 
-def row_key(df: DataFrame, id_col: str, text_col: str):
-    """md5 of id and text; rows that repeat both share it."""
-    ident, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
-    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), ident), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))).cast("binary")))
-
-
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of near-duplicates, with all columns: that of the smallest id.
 
