@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -107,8 +108,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+def _value(letter: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """A hash of each dimension: the nth (from 0) of a letter; its upper bits choose the part."""
+    return _mixed((letter.astype(np.uint64) << np.uint64(32)) + nth.astype(np.uint64) + np.uint64(1))
+
+
+def _part(value: np.ndarray, parts: int) -> np.ndarray:
+    return (value >> np.uint64(40)) % np.uint64(parts)
+
+
+@lru_cache(maxsize=1 << 16)
+def part_of(letter: str, nth: int, parts: int = PARTS) -> int:
+    return int(_part(_value(np.array([ord(letter)]), np.array([nth])), parts)[0])
+
+
 def signatures(words: list[str], parts: int = PARTS, distance: int = DISTANCE) -> np.ndarray:
-    """A row of C(parts, distance) signatures for each word."""
+    """A row of C(parts, distance) signatures for each word; the low byte is the number of the choice."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     letters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
     owner = np.repeat(np.arange(len(words)), lengths)
@@ -118,15 +133,16 @@ def signatures(words: list[str], parts: int = PARTS, distance: int = DISTANCE) -
     new = np.ones(len(letters), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (letters[1:] != letters[:-1])
     nth = place - np.maximum.accumulate(np.where(new, place, 0))
-    value = _mixed((letters.astype(np.uint64) << np.uint64(32)) + nth.astype(np.uint64) + np.uint64(1))
+    value = _value(letters, nth)
     sums = np.zeros((len(words), parts), np.uint64)
-    np.add.at(sums, (owner, (value >> np.uint64(40)) % np.uint64(parts)), _mixed(value))
+    np.add.at(sums, (owner, _part(value, parts)), _mixed(value))
     left_out = list(combinations(range(parts), distance))
     out = np.empty((len(words), len(left_out)), np.uint64)
     mixed = _mixed(sums + np.arange(1, parts + 1, dtype=np.uint64) * MIX)
     start = np.arange(1, len(left_out) + 1, dtype=np.uint64) * MIX
     for i, gone in enumerate(left_out):
-        out[:, i] = _mixed(start[i] + mixed[:, [p for p in range(parts) if p not in gone]].sum(axis=1, dtype=np.uint64))
+        total = _mixed(start[i] + mixed[:, [p for p in range(parts) if p not in gone]].sum(axis=1, dtype=np.uint64))
+        out[:, i] = total & ~np.uint64(0xFF) | np.uint64(i)
     return out.view(np.int64)
 
 
@@ -139,86 +155,144 @@ def _emit_signatures(batches):
             yield {"sig": found.reshape(-1), "word": [w for w in part for _ in range(found.shape[1])], "n": np.repeat(batch.column(1).to_numpy()[at : at + 2_000], found.shape[1])}
 
 
-def gap_digests(word: str) -> np.ndarray:
-    """A digest of the word itself, then of the word without each code point in turn: in linear time, equal for equal strings."""
-    letters = _mixed(np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
-    n = len(letters)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, MIX, np.uint64))))
-        head = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * powers[:n])))  # weight by place
-        tail = np.concatenate((np.cumsum((letters * powers[:n])[::-1])[::-1], np.zeros(1, np.uint64)))
-        inverse = np.uint64(pow(int(MIX), -1, 1 << 64))
-        without = head[:n] + tail[1:] * inverse  # later letters move one place forward
-        return _mixed(np.concatenate((head[-1:], without)) * MIX + np.concatenate((np.full(1, n, np.uint64), np.full(n, max(n - 1, 0), np.uint64))))
+class Gaps:
+    """Digests of words without one code point, of many words at once: equal for equal strings."""
+
+    INVERSE = np.uint64(pow(int(MIX), -1, 1 << 64))
+
+    def __init__(self, words: list[str]):
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        letters = _mixed(np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
+        ends = np.cumsum(self.lengths)
+        starts = ends - self.lengths
+        self.owner = np.repeat(np.arange(len(words)), self.lengths)
+        self.place = np.arange(len(letters)) - starts[self.owner]
+        powers = np.cumprod(np.full(int(self.lengths.max(initial=0)) + 1, MIX, np.uint64))
+        weight = letters * powers[self.place]  # by place
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(weight)))
+        total = sums[ends] - sums[starts]
+        head = sums[:-1] - sums[starts][self.owner]
+        rest = head + (total[self.owner] - head - weight) * self.INVERSE  # later letters move one place forward
+        #: of the word; of the word without the letter; and of that with the place it had
+        self.whole = _mixed(total + _mixed(self.lengths.astype(np.uint64)))
+        self.without = _mixed(rest + _mixed((self.lengths[self.owner] - 1).astype(np.uint64)))
+        self.replaced = _mixed(self.without ^ (self.place + 1).astype(np.uint64) * MIX)
 
 
 def one_apart(a: str, b: str) -> bool:
     """Whether exactly one code point is inserted, deleted or replaced between the two."""
+    return changed_letters(a, b) is not None
+
+
+def changed_letters(a: str, b: str) -> list[tuple[str, int]] | None:
+    """The one or two dimensions (letter, which of its kind) in which near words differ at most, None if they are not near."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1 or a == b:
-        return False
+        return None
     same, most = 0, len(a)
     while same < most and a[same] == b[same]:
         same += 1
-    return a[same + 1 :] == b[same + 1 :] if len(a) == len(b) else a[same:] == b[same + 1 :]
-
-
-def near_in_run(words: list[str]) -> set[tuple[str, str]]:
-    """The near pairs (smaller word first) among ``words``: those that share a digest, verified."""
-    words = sorted(set(words))
-    if len(words) <= 8:
-        return {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if one_apart(a, b)}
-    digests = [gap_digests(w) for w in words]
-    values, owner = np.concatenate(digests), np.repeat(np.arange(len(words)), [len(d) for d in digests])
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
-    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(values)]))
-    links = set()
-    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-        some = sorted({words[i] for i in owner[a:b].tolist()})
-        links |= {(x, y) for i, x in enumerate(some) for y in some[i + 1 :] if (x, y) not in links and one_apart(x, y)}
-    return links
+    if len(a) < len(b):
+        return [(b[same], b.count(b[same]) - 1)] if a[same:] == b[same + 1 :] else None
+    if a[same + 1 :] != b[same + 1 :]:
+        return None
+    x, y = a[same], b[same]
+    return [(x, a.count(x) - 1), (y, b.count(y) - 1)]
+
+
+def _first_choices(parts: int = PARTS, distance: int = DISTANCE) -> dict[tuple[int, ...], int]:
+    """The first choice that leaves out all of some parts (sorted)."""
+    found: dict[tuple[int, ...], int] = {}
+    for i, gone in enumerate(combinations(range(parts), distance)):
+        for size in range(distance + 1):
+            for some in combinations(gone, size):
+                found.setdefault(some, i)
+    return found
+
+
+def near_in_runs(words: list[str], run: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (i, j) of near words of the same run; ``run`` numbers the runs, no run repeats a word."""
+    if not words:
+        return []
+    gaps = Gaps(words)
+    salt = _mixed(run.astype(np.uint64) + np.uint64(1))
+    pairs: list[tuple[int, int]] = []
+    replaced = gaps.replaced ^ salt[gaps.owner]
+    inside = np.sort(replaced)
+    often = inside[1:][inside[1:] == inside[:-1]]
+    if len(often):
+        at = np.flatnonzero(np.isin(replaced, often))
+        at = at[np.argsort(replaced[at], kind="stable")]
+        cuts = np.flatnonzero(replaced[at][1:] != replaced[at][:-1]) + 1
+        for group in np.split(gaps.owner[at], cuts):
+            some = group.tolist()
+            pairs += [(x, y) for n, y in enumerate(some) for x in some[:n]]
+    whole = gaps.whole ^ salt
+    order = np.argsort(whole)
+    without = gaps.without ^ salt[gaps.owner]
+    place = np.minimum(np.searchsorted(whole[order], without), len(words) - 1)
+    hit = np.flatnonzero(whole[order][place] == without)
+    pairs += set(zip(order[place[hit]].tolist(), gaps.owner[hit].tolist()))
+    return [(i, j) for i, j in pairs if run[i] == run[j] and one_apart(words[i], words[j])]
 
 
 def _links(limit: int):
-    """Runs of equal signatures to near pairs, each from both sides: (word, n, near, near_n); words of a run over the limit come without a near word."""
+    """Rows (sig, word, n) sorted by sig to near pairs, each from both sides: (word, n, near, near_n); words of a run over the limit come without a near word.
+
+    A pair meets under several signatures and comes out under the first.
+    """
+    first = _first_choices()
 
     def run(batches):
-        now, counts, letters, over = None, {}, 0, False
-        out: dict[str, list] = {c: [] for c in ("word", "n", "near", "near_n")}
-
-        def put(*row):
-            for column, value in zip(out.values(), row):
-                column.append(value)
-
-        def close():
-            if len(counts) > 1:
-                for a, b in near_in_run(list(counts)):
-                    put(a, counts[a], b, counts[b])
-                    put(b, counts[b], a, counts[a])
-
-        for key, piece in runs_of(batches, "sig"):
-            if key != now:
-                close()
-                now, counts, letters, over = key, {}, 0, False
-            counts |= zip(piece["word"], piece["n"])
-            letters += sum(map(len, piece["word"]))
-            if over or letters > limit and len(counts) > 1:
-                over = True
-                for word, n in counts.items():
-                    put(word, n, None, None)
-                counts = {}
-            if len(out["word"]) > 50_000:
-                yield out
-                out = {c: [] for c in out}
-        close()
-        yield out
+        sigs, words, counts = np.empty(0, np.int64), [], []  # the run that may go on
+        over = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                sigs = np.concatenate((sigs, batch.column(0).to_numpy()))
+                words, counts = words + batch.column(1).to_pylist(), counts + batch.column(2).to_pylist()
+            starts = np.concatenate(([0], np.flatnonzero(sigs[1:] != sigs[:-1]) + 1)) if len(sigs) else np.empty(0, np.int64)
+            sizes = np.diff(np.concatenate((starts, [len(sigs)])))
+            letters = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+            total = letters[starts + sizes] - letters[starts]
+            out: dict[str, list] = {c: [] for c in ("word", "n", "near", "near_n")}
+            open_run = batch is not None and len(starts) > 0
+            take: list[int] = []
+            number: list[int] = []
+            for k in np.flatnonzero((sizes > 1) | (sigs[starts] == over if over is not None else False) | (np.arange(len(starts)) == len(starts) - 1)).tolist():
+                a, size = int(starts[k]), int(sizes[k])
+                last = open_run and k == len(starts) - 1
+                if sigs[a] == over or (total[k] > limit and size > 1):
+                    over = sigs[a]
+                    for i in range(a, a + size):
+                        out["word"].append(words[i])
+                        out["n"].append(counts[i])
+                    if last:
+                        open_run = False
+                elif not last and size > 1:
+                    take += range(a, a + size)
+                    number += [k] * size
+            out["near"], out["near_n"] = [None] * len(out["word"]), [None] * len(out["word"])
+            some = [words[i] for i in take]
+            for i, j in near_in_runs(some, np.array(number, np.int64)):
+                a, b = some[i], some[j]
+                gone = tuple(sorted({part_of(*d) for d in changed_letters(a, b)}))
+                if first[gone] == int(sigs[take[i]]) & 0xFF:
+                    n, m = counts[take[i]], counts[take[j]]
+                    for column, pair in zip(out.values(), ((a, b), (n, m), (b, a), (m, n))):
+                        column += pair
+            yield out
+            keep = int(starts[-1]) if open_run else len(sigs)
+            sigs, words, counts = sigs[keep:], words[keep:], counts[keep:]
 
     return run
 
 
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
 REPLACED, WHOLE, WITHOUT = 0, 1, 2
 
 
@@ -226,10 +300,10 @@ def _gap_rows(batches):
     """(id, word) to (key, kind, id): a key for each place and the rest of the word, for the word, and for each rest."""
     for batch in batches:
         for i in range(batch.num_rows):
-            ident, digests = batch.column(0)[i].as_py(), gap_digests(batch.column(1)[i].as_py())
-            place = np.arange(1, len(digests), dtype=np.uint64) * MIX
-            keys = np.concatenate((_mixed(digests[1:] ^ place), _mixed(digests[:1] + MIX), np.unique(_mixed(digests[1:] + MIX)))).view(np.int64)
-            kinds = np.repeat(np.array([REPLACED, WHOLE, WITHOUT], np.int32), (len(place), 1, len(keys) - len(place) - 1))
+            ident, gaps = batch.column(0)[i].as_py(), Gaps([batch.column(1)[i].as_py()])
+            without = np.unique(gaps.without)
+            keys = np.concatenate((gaps.replaced, gaps.whole, without)).view(np.int64)
+            kinds = np.repeat(np.array([REPLACED, WHOLE, WITHOUT], np.int32), (len(gaps.replaced), 1, len(without)))
             for at in range(0, len(keys), 1 << 14):
                 part = slice(at, at + (1 << 14))
                 yield {"key": keys[part], "kind": kinds[part], "id": [ident] * len(keys[part])}
@@ -287,9 +361,7 @@ def near_words(words: DataFrame, run_letters: int = RUN_LETTERS) -> DataFrame:
     found = cut_lineage(map_batches(rows.repartition("sig").sortWithinPartitions("sig"), _links(run_letters), LINK))
     links = found.filter("near is not null")
     crowded = found.filter("near is null").select("word", "n").distinct()
-    if not crowded.isEmpty():
-        links = links.unionByName(_by_gaps(crowded))
-    return links.distinct()
+    return links if crowded.isEmpty() else links.unionByName(_by_gaps(crowded)).distinct()
 
 
 def spelling_groups(words: DataFrame, ratio: int = RATIO, run_letters: int = RUN_LETTERS) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gaugewell.llm.spelling import gap_digests, near_in_run, near_words, one_apart, runs_in, signatures, spelling_groups, spelling_variants, vocabulary
+from gaugewell.llm.spelling import Gaps, near_in_runs, near_words, one_apart, runs_in, signatures, spelling_groups, spelling_variants, vocabulary
 
 LETTERS = st.text("abcéÿ", max_size=7)
 
@@ -53,7 +53,10 @@ def test_near_words_share_a_signature_and_a_digest(a, data):
     b = a[:at] + ("" if how == 0 else c if how == 1 else c + a[at]) + a[at + 1 :]
     sigs = signatures([a, b])
     assert (sigs[0] == sigs[1]).any()
-    assert set(gap_digests(a).tolist()) & set(gap_digests(b).tolist())
+    both = near_in_runs([a, b, b, a], np.array([0, 0, 1, 2])) if b else None
+    assert both is None or (a == b or set(both) & {(0, 1), (1, 0)}) and len(set(both)) <= 1
+    if how == 1:
+        assert Gaps([a]).replaced[at] == Gaps([b]).replaced[at]
     assert signatures([b]).tolist() == [sigs[1].tolist()]
 
 
@@ -61,7 +64,10 @@ def test_near_words_share_a_signature_and_a_digest(a, data):
 @given(st.sets(LETTERS.filter(bool), min_size=9, max_size=40))
 def test_runs_find_all_near_pairs(words):
     words = sorted(words)
-    assert near_in_run(words) == {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if edits(a, b) == 1}
+    runs = np.arange(len(words)) % 2
+    want = {(a, b) for i, a in enumerate(words) for j, b in enumerate(words) if i < j and i % 2 == j % 2 and edits(a, b) == 1}
+    got = [tuple(sorted((words[i], words[j]))) for i, j in near_in_runs(words, runs)]
+    assert set(got) == want and len(got) == len(want)
 
 
 @pytest.mark.parametrize("limit", [200_000, 40, 2])
