@@ -5,17 +5,24 @@ byte strings of its rows into a Patricia trie whose terminal nodes hold the
 owner's identifier and a count.  The same trie runs before the shuffle, so a
 text that a third of all rows share leaves each map task once.
 
-A trie over its memory limit spills by subtree: before the shuffle the heaviest
-subtree is handed on as it is (the other side adds it up), after it the subtree
-goes to a file of the task, later rows below that node are appended, and the
-file gets a trie of its own at the end.
+A trie over its memory limit spills by subtree: the deepest node that holds
+over half the limit, or else the root's heaviest children.  Before the shuffle
+the subtree is handed on as it is (the other side adds it up), after it the
+subtree goes to a file of the task and leaves a stub, to whose file later rows
+below it are appended.  At the end each file gets a trie of its own that begins
+where the stub ended, one after the other; its prefix is longer than that of
+the trie it came from, so the files come to an end.  Rows and texts that went
+in are compared with those that come out.
 """
 
 from __future__ import annotations
 
+import os
 import pickle
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +30,15 @@ from pyspark.sql import functions as F
 from gaugewell.llm.common import cut_lineage, join_totals, map_batches, packed
 
 NODE_BYTES = 300  # of a node besides its label
+HELD_BYTES = 1 << 14  # of a spill file's records before they are written
 EMIT_ROWS, EMIT_BYTES = 5_000, 16 << 20
 
 
 class Node:
-    __slots__ = ("best", "children", "file", "label", "size", "ties")
+    __slots__ = ("best", "children", "label", "size", "spill", "ties")
 
     def __init__(self, label: bytes):
-        self.label, self.children, self.file = label, {}, None
+        self.label, self.children, self.spill = label, {}, None
         self.best, self.size, self.ties = None, 0, 0
 
     def merge(self, best, size: int, ties: int, first: Callable) -> None:
@@ -43,97 +51,162 @@ class Node:
         self.size += size
 
 
+class Spill:
+    """A file of records (text, best, size, ties) whose texts share their first ``skip`` bytes; it is open only while it is written to or read."""
+
+    def __init__(self, folder: str, skip: int):
+        self.path, self.skip, self.held = os.path.join(folder, uuid.uuid4().hex), skip, bytearray()
+
+    def put(self, record: tuple) -> None:
+        self.held += pickle.dumps(record)
+        if len(self.held) > HELD_BYTES:
+            self.flush()
+
+    def flush(self) -> None:
+        with open(self.path, "ab") as file:
+            file.write(self.held)
+        self.held = bytearray()
+
+    def take(self) -> Iterator[tuple]:
+        """All records; the file goes."""
+        self.flush()
+        with open(self.path, "rb") as file:
+            os.unlink(self.path)
+            while True:
+                try:
+                    yield pickle.load(file)
+                except EOFError:
+                    return
+
+
 class Trie:
-    """Owners of byte strings.  ``spill(node, records)`` takes a subtree's terminals when the limit is reached."""
+    """Owners of byte strings that begin with ``prefix``, which is not stored.
 
-    def __init__(self, limit: int, first: Callable, to_file: bool):
-        self.root, self.weight, self.limit, self.first, self.to_file = Node(b""), 0, limit, first, to_file
-        self.files: list = []
+    ``evict`` writes subtrees to files in ``folder``, or yields their records
+    if there is none.
+    """
+
+    def __init__(self, limit: int, first: Callable, folder: str | None, prefix: bytes = b""):
+        self.root, self.limit, self.first, self.folder, self.prefix = Node(b""), limit, first, folder, prefix
+        self.weight = self.texts = 0  # of what is held in memory
+        self.spills: list[Spill] = []
 
     def add(self, text: bytes, best, size: int = 1, ties: int = 1) -> None:
-        node, at, end = self.root, 0, len(text)
+        node, at, end = self.root, len(self.prefix), len(text)
         while at < end:
-            if node.file is not None:
-                break
             child = node.children.get(text[at])
             if child is None:
                 child = node.children[text[at]] = Node(text[at:])
                 self.weight += end - at + NODE_BYTES
-                node, at = child, end
+                node = child
                 break
             if not text.startswith(child.label, at):
                 shared = _shared(child.label, text, at)
                 middle = Node(child.label[:shared])
                 child.label = child.label[shared:]
                 middle.children[child.label[0]] = child
+                self.weight += NODE_BYTES + (shared if child.spill else 0)  # a stub weighs nothing, what is cut off it does
                 node.children[text[at]] = child = middle
-                self.weight += NODE_BYTES
+            elif child.spill is not None:
+                child.spill.put((text, best, size, ties))
+                return
             at += len(child.label)
             node = child
-        if node.file is not None:
-            pickle.dump((text, best, size, ties), node.file)
-        else:
-            node.merge(best, size, ties, self.first)
+        self.texts += node.size == 0
+        node.merge(best, size, ties, self.first)
 
     def overfull(self) -> bool:
-        """A trie of one node is not cut further, however long its text."""
-        return self.weight > self.limit and (len(self.root.children) > 1 or any(c.children for c in self.root.children.values()))
+        """One text is not cut further, however long it is."""
+        return self.weight > self.limit and self.texts > 1
 
     def evict(self) -> Iterator[tuple]:
-        """Spills the heaviest subtree of at most half the weight (or the heaviest leaf); yields its records if they are to be handed on."""
+        """Spills subtrees until the trie is within its limit or holds one text."""
+        while self.overfull():
+            yield from self._evict_heaviest()
+
+    def _evict_heaviest(self) -> Iterator[tuple]:
         weights: dict[int, int] = {}
         for node, _, done in _walk(self.root, b""):
             if done:
-                weights[id(node)] = len(node.label) + NODE_BYTES + sum(weights[id(c)] for c in node.children.values())
-        node, prefix = self.root, b""
-        if all(c.file is not None for c in node.children.values()):
-            return
-        while live := [c for c in node.children.values() if c.file is None]:
-            heavy = max(live, key=lambda c: weights[id(c)])
-            parent, node = node, heavy
-            if weights[id(node)] <= max(self.limit // 2, 1) or not node.children:
+                weights[id(node)] = 0 if node.spill else len(node.label) + NODE_BYTES + sum(weights[id(c)] for c in node.children.values())
+
+        def live(node):
+            return sorted((c for c in node.children.values() if c.spill is None), key=lambda c: -weights[id(c)])
+
+        parent, node, before = None, self.root, self.prefix
+        while (below := live(node)) and weights[id(below[0])] > self.limit // 2:
+            before = before + node.label
+            parent, node = node, below[0]
+        victims = [node] if parent else live(self.root)
+        for victim in victims:
+            if self.weight <= self.limit // 2:
                 break
-            prefix += node.label
-        self.weight -= weights[id(node)]
-        records = ((text, n.best, n.size, n.ties) for n, text, done in _walk(node, prefix) if not done and n.size)
-        if not self.to_file:
-            yield from records
-            if parent.children.get(node.label[0]) is node:
-                del parent.children[node.label[0]]
+            self.weight -= weights[id(victim)]
+            yield from self._spill(parent or self.root, victim, before)
+
+    def _spill(self, parent: Node, victim: Node, before: bytes) -> Iterator[tuple]:
+        old, stub = [], None
+        if self.folder is not None:
+            stub = Node(victim.label if victim.children else victim.label[:1])
+            stub.spill = Spill(self.folder, len(before) + len(stub.label))
+        for n, text, done in _walk(victim, before):
+            if not done and n.spill is not None:
+                old.append(n.spill)
+            elif not done and n.size:
+                self.texts -= 1
+                record = (text, n.best, n.size, n.ties)
+                if stub is None:
+                    yield record
+                else:
+                    stub.spill.put(record)
+        if stub is None:
+            del parent.children[victim.label[0]]
             return
-        file = tempfile.TemporaryFile()
-        for record in records:
-            pickle.dump(record, file)
-        for n, _, done in _walk(node, prefix):
-            if not done and n.file is not None:
-                n.file.seek(0)
-                for record in _records(n.file):
-                    pickle.dump(record, file)
-                self.files.remove(n.file)
-        node.children, node.file, node.best, node.size, node.ties = {}, file, None, 0, 0
-        self.weight += len(node.label) + NODE_BYTES
-        self.files.append(file)
+        for spill in old:
+            self.spills.remove(spill)
+            for record in spill.take():
+                stub.spill.put(record)
+        parent.children[victim.label[0]] = stub
+        self.spills.append(stub.spill)
 
     def terminals(self) -> Iterator[tuple]:
-        for node, text, done in _walk(self.root, b""):
+        for node, text, done in _walk(self.root, self.prefix):
             if not done and node.size:
                 yield text, node.best, node.size, node.ties
 
     def drain(self) -> Iterator[tuple]:
-        """All owners, those of spilled subtrees last, each from a trie of its own."""
+        """All owners; spilled subtrees come after, each from a trie of its own that may spill again."""
         yield from self.terminals()
-        self.root, self.weight = Node(b""), 0
-        for file in self.files:
-            file.seek(0)
-            part = Trie(self.limit, self.first, True)
-            for record in _records(file):
+        pending, self.root = self.spills, Node(b"")
+        self.spills, self.weight, self.texts = [], 0, 0
+        while pending:
+            spill, part = pending.pop(), None
+            for record in spill.take():
+                part = part or Trie(self.limit, self.first, self.folder, record[0][: spill.skip])
                 part.add(*record)
                 if part.overfull():
                     for _ in part.evict():
                         pass
-            file.close()
-            yield from part.drain()
-        self.files = []
+            if part is not None:
+                yield from part.terminals()
+                pending += part.spills
+
+
+class Ledger:
+    """Rows and texts that went into tries, less those that came out."""
+
+    def __init__(self):
+        self.rows = self.digest = 0
+
+    def count(self, text: bytes, size: int) -> None:
+        import xxhash
+
+        self.rows += size
+        self.digest += size * xxhash.xxh3_64_intdigest(text)
+
+    def close(self) -> None:
+        if self.rows or self.digest:
+            raise RuntimeError(f"a trie lost rows or texts: {self.rows} rows, digest {self.digest}")
 
 
 def _walk(top: Node, prefix: bytes) -> Iterator[tuple[Node, bytes, bool]]:
@@ -150,14 +223,6 @@ def _walk(top: Node, prefix: bytes) -> Iterator[tuple[Node, bytes, bool]]:
         stack += [(c, text, False) for c in node.children.values()]
 
 
-def _records(file) -> Iterator[tuple]:
-    while True:
-        try:
-            yield pickle.load(file)
-        except EOFError:
-            return
-
-
 def _shared(label: bytes, text: bytes, at: int) -> int:
     """Length of the common start of ``label`` and ``text[at:]``, which is not all of ``label``."""
     low, high = 0, min(len(label), len(text) - at)
@@ -180,12 +245,13 @@ def _trie_pass(keep: str, limit: int, merged: bool) -> Callable:
     def run(batches):
         import hashlib
 
-        trie = Trie(limit, _first(keep), merged)
+        ledger = Ledger()
 
         def out(records):
             rows: list[tuple] = []
             weight = 0
             for text, best, size, ties in records:
+                ledger.count(text, -size)
                 rows.append((len(text), hashlib.sha256(text).digest(), None if merged else text, best, size, ties))
                 weight += len(text)
                 if len(rows) >= EMIT_ROWS or weight >= EMIT_BYTES:
@@ -194,14 +260,18 @@ def _trie_pass(keep: str, limit: int, merged: bool) -> Callable:
             if rows:
                 yield dict(zip(("length", "sha", "text", "best", "size", "ties"), map(list, zip(*rows))))
 
-        for batch in batches:
-            columns = batch.to_pydict()
-            counts = zip(columns["size"], columns["ties"]) if merged else ((1, 1) for _ in columns["best"])
-            for text, best, (size, ties) in zip(columns["text"], columns["best"], counts):
-                trie.add(text, best, size, ties)
-                if trie.overfull():
-                    yield from out(trie.evict())
-        yield from out(trie.drain())
+        with tempfile.TemporaryDirectory() if merged else nullcontext() as folder:
+            trie = Trie(limit, _first(keep), folder)
+            for batch in batches:
+                columns = batch.to_pydict()
+                counts = zip(columns["size"], columns["ties"]) if merged else ((1, 1) for _ in columns["best"])
+                for text, best, (size, ties) in zip(columns["text"], columns["best"], counts):
+                    ledger.count(text, size)
+                    trie.add(text, best, size, ties)
+                    if trie.overfull():
+                        yield from out(trie.evict())
+            yield from out(trie.drain())
+        ledger.close()
 
     return run
 

@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+import tempfile
 from collections import defaultdict
 
 import pytest
@@ -26,15 +28,23 @@ def marked(df, **kw):
     return sorted(map(tuple, mark_duplicates(df, **kw).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=repr)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.binary(max_size=6).map(lambda b: bytes(x % 3 for x in b) * 3), st.one_of(st.none(), st.integers(0, 9))), max_size=60), st.sampled_from([200, 700, 1 << 20]), st.booleans())
-def test_trie_owns_like_a_dictionary(rows, limit, to_file):
-    trie, handed = Trie(limit, min, to_file), []
+def through(rows, limit, folder, first=min):
+    """What a trie hands on, and whether its weight stays what its nodes weigh."""
+    trie, handed = Trie(limit, first, folder), []
     for text, ident in rows:
         trie.add(text, ident)
         if trie.overfull():
             handed += trie.evict()
-    handed += trie.drain()
+            assert trie.weight <= limit or trie.texts < 2
+    return trie, handed + list(trie.drain())
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.tuples(st.binary(max_size=6).map(lambda b: bytes(x % 3 for x in b) * 3), st.one_of(st.none(), st.integers(0, 9))), max_size=60), st.sampled_from([200, 700, 1500, 1 << 20]), st.booleans())
+def test_trie_owns_like_a_dictionary(rows, limit, to_file):
+    with tempfile.TemporaryDirectory() as folder:
+        _, handed = through(rows, limit, folder if to_file else None)
+        assert os.listdir(folder) == []
     owned = defaultdict(lambda: [None, 0, 0])
     for text, best, size, ties in handed:
         o = owned[text]
@@ -54,19 +64,50 @@ def test_trie_owns_like_a_dictionary(rows, limit, to_file):
     assert len(owned) == len(wanted)
 
 
-def test_large_subtrees_go_to_files():
-    rng = random.Random(3)
-    texts = [bytes(rng.choices(b"abcdef", k=rng.randint(1, 400))) for _ in range(3000)]
-    trie = Trie(20_000, max, True)
-    for i, t in enumerate(texts + texts[:500]):
-        trie.add(t, i)
-        while trie.overfull():
-            list(trie.evict())
-            if trie.weight <= trie.limit:
-                break
-            break
-    assert trie.files
-    assert {(t, b, n) for t, b, n, _ in trie.drain()} == {(t, max(i for i, x in enumerate(texts + texts[:500]) if x == t), (texts + texts[:500]).count(t)) for t in set(texts)}
+def tails(n, size, seed):
+    rng = random.Random(seed)
+    return [b"common header " + rng.randbytes(size) for _ in range(n)]
+
+
+@pytest.mark.parametrize(
+    "texts",
+    [
+        [bytes(random.Random(i).choices(b"abcdef", k=random.Random(i).randint(1, 400))) for i in range(3000)],
+        [b"common header ", *tails(300, 2000, 1)] * 4,
+        [b"a" * n for n in range(700)],
+        [b"x" * 30_000 + t for t in tails(40, 500, 2)] * 3 + [b"x" * 30_000],
+        [b"y" * 100_000, b"y" * 100_001, b"y" * 99_999, b"z"] * 5,
+    ],
+)
+def test_spilled_tries_come_to_an_end(tmp_path, texts):
+    trie, handed = through([(t, i) for i, t in enumerate(texts)], 20_000, str(tmp_path), max)
+    assert len(handed) == len(set(texts))
+    assert {(t, b, n) for t, b, n, _ in handed} == {(t, max(i for i, x in enumerate(texts) if x == t), texts.count(t)) for t in set(texts)}
+    assert os.listdir(tmp_path) == []
+
+
+def test_spilling_reads_each_row_a_few_times(tmp_path, monkeypatch):
+    written = []
+    put = exact_dedup.Spill.put
+    monkeypatch.setattr(exact_dedup.Spill, "put", lambda self, record: (written.append(1), put(self, record)))
+    rows = [(t, i) for i, t in enumerate(tails(3000, 200, 5))]
+    through(rows, 60_000, str(tmp_path))  # 1.5 MB of nodes
+    assert len(rows) / 2 < len(written) < 4 * len(rows)
+
+
+def test_lost_rows_are_an_error():
+    ledger = exact_dedup.Ledger()
+    ledger.count(b"a", 2)
+    ledger.count(b"a", -1)
+    ledger.count(b"b", -1)
+    with pytest.raises(RuntimeError):
+        ledger.close()
+
+
+def test_a_task_that_spills_equals_the_brute_force(spark):
+    texts = [f"shared beginning of a text {i % 7} " + "".join(random.Random(i % 900).choices("abcdefg ", k=300)) for i in range(2000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert marked(df, keep="largest", memory_bytes=50_000) == brute(list(enumerate(texts)))
 
 
 @pytest.mark.parametrize("memory", [128 << 20, 2000])
