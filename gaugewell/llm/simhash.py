@@ -15,17 +15,10 @@ of equal keys and verifies the members of a run against each other while they
 are few; a run that grows beyond ``run_limit`` is passed on unread, and its
 members are linked through the words within one bit of them, of which no word
 has more than bits + 1 owners.
-
-Near-duplicates of whole documents are decided by their sets of shingles.
-Candidates share a Golay key within the radius or one of the bands of their
-MinHash values, whose chance to meet depends on the similarity alone, wherever
-the texts differ.  Each connected lot of candidates is compared set by set, in
-blocks of a bounded size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
@@ -51,39 +44,29 @@ def shingles(raw: bytes, size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends - 1)[size - 1 :].tolist())]
 
 
-def fingerprint(raw: bytes, size: int, seed: int = 42, lanes: int = 1, distinct: bool = False) -> bytes:
-    """64 bits for each lane: a bit is set if it is in over half the hashes of the shingles, or of the distinct ones.
-
-    The first lane takes XXH64 itself, each further one a mix of the lane before.
-    """
+def fingerprint(raw: bytes, size: int, seed: int = 42) -> bytes:
+    """64 bits: a bit is set if it is in over half the hashes of the shingles, repeats included."""
     import xxhash
 
     parts = shingles(raw, size)
-    if distinct:
-        parts = list(set(parts))
     digest = partial(xxhash.xxh64_digest, seed=seed)
-    counts = np.zeros((lanes, 64), np.int64)
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(parts), SLICE):
-        hashes = np.frombuffer(b"".join(map(digest, parts[at : at + SLICE])), ">u8").astype(np.uint64)
-        for lane in range(lanes):
-            if lane:
-                hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-                hashes ^= hashes >> np.uint64(29)
-            bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
-            counts[lane] += bits.sum(axis=0, dtype=np.uint16)
+        hashes = np.frombuffer(b"".join(map(digest, parts[at : at + SLICE])), np.uint8)
+        counts += np.unpackbits(hashes).reshape(-1, 64).sum(axis=0, dtype=np.uint16)
     return np.packbits(2 * counts > len(parts)).tobytes()
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int, seed: int) -> DataFrame:
-    """id, fp (big-endian bytes) of every row; null and empty texts have all bits zero."""
+    """id, row_key, fp (big-endian bytes) of every row; null and empty texts have all bits zero."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            yield {"id": batch.column(0), "fp": [fingerprint(t, size, seed) for t in batch.column(1).to_pylist()]}
+            yield {"id": batch.column(0), "row_key": batch.column(1), "fp": [fingerprint(t, size, seed) for t in batch.column(2).to_pylist()]}
 
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
-    return map_batches(rows, run, f"id {kind}, fp binary")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), row_key(df, id_col, text_col).alias("row_key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
+    return map_batches(rows, run, f"id {kind}, row_key binary, fp binary")
 
 
 @lru_cache(maxsize=1)
@@ -236,7 +219,7 @@ def _midpoints(batches):
 def link_fingerprints(prints: DataFrame, radius: int = 2, segments: int | None = None, run_limit: int = 256) -> DataFrame:
     """Links (a, b) of distinct fingerprints (column fp) whose components are those of all pairs within ``radius`` bits (2 at most)."""
     if radius not in (0, 2):
-        raise ValueError("the exact way for crowded keys is for radius 2; wider ones go through similar_fingerprints")
+        raise ValueError("the exact way for crowded keys is for radius 2")
     found = cut_lineage(_run_links(map_batches(prints.select("fp"), _emit_keys(segments or radius + 1), "key long, fp binary"), radius, run_limit))
     links = found.filter("b is not null").select("a", "b")
     crowded = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
@@ -256,7 +239,7 @@ def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     count as smallest where a whole component has no other id.  Repeated rows
     come out repeated; other columns are ignored; no rows give no rows.
     """
-    prints = cut_lineage(fingerprints(df, id_col, text_col, size, seed))
+    prints = cut_lineage(fingerprints(df, id_col, text_col, size, seed).select("id", "fp"))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     roots = cut_lineage(components(link_fingerprints(nodes, radius, run_limit=run_limit)))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -265,229 +248,24 @@ def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return join_totals(prints, named, ["fp"], "n").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-SEARCH_SEGMENTS = 16
-#: Near-duplicates of whole documents: Jaccard similarity of the sets of five words.
-SHINGLE, SIMILARITY = 5, 0.8
-MISSED = 0.001  # share of pairs of just that similarity that meet in no band
-BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 19  # compared with each other in a task
-
-
-def bits_apart(similarity: float, bits: int, z: float = 1.28) -> int:
-    """Differing bits that nine of ten pairs of a Jaccard similarity do not exceed.
-
-    Of equally long shingle lists the expected share is the angle's of a half
-    turn, and bits differ independently.
-    """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + z * np.sqrt(bits * share * (1 - share)))
-
-
-def similar_fingerprints(prints: DataFrame, radius: int, segments: int = SEARCH_SEGMENTS, run_limit: int = 1024) -> DataFrame:
-    """Links (a, b) of fingerprints fp within ``radius`` bits that share a Golay key of their search fingerprints.
-
-    Runs of equal keys over the limit are compared in blocks: each member is
-    dealt to the pairs of blocks it belongs to, so all of them meet in tasks of
-    a bounded size.
-    """
-
-    def emit(batches):
-        for batch in batches:
-            search, decide = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if search:
-                row, key = golay_keys(_matrix(search), segments)
-                for at in range(0, len(row), 1 << 18):
-                    yield {"key": key[at : at + (1 << 18)], "fp": [decide[r] for r in row[at : at + (1 << 18)].tolist()]}
-
-    keys = map_batches(prints.select("search", "fp").distinct(), emit, "key long, fp binary")
-    found = cut_lineage(_run_links(keys, radius, run_limit))
-    links = found.filter("b is not null").select("a", "b")
-    crowded = found.filter("b is null").select("key", F.col("a").alias("fp")).distinct()
-    sizes = cut_lineage(crowded.groupBy("key").agg(F.count("*").alias("n")))
-    if sizes.isEmpty():
-        return links
-    blocks = F.ceil(F.col("n") * 2 / run_limit)
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    dealt = join_totals(crowded, sizes, ["key"], "n").withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    return links.unionByName(_run_links(pairs, radius, 1 << 30).filter("b is not null").select("a", "b"))
-
-
-def set_hashes(raw: bytes, size: int = SHINGLE) -> np.ndarray:
-    """XXH64 of each distinct shingle, sorted."""
-    import xxhash
-
-    return np.unique(np.frombuffer(b"".join(map(partial(xxhash.xxh64_digest, seed=1), set(shingles(raw, size)))), ">u8").astype(np.uint64))
-
-
-def band_shape(similarity: float) -> tuple[int, int]:
-    """(values in a band, bands): of pairs of that similarity a share of ``MISSED`` at most meets in no band."""
-    if similarity >= 1:
-        return 1, 1
-    values = min(16, max(1, round(math.log(0.25) / math.log(similarity))))
-    return values, math.ceil(math.log(MISSED) / math.log1p(-(similarity**values)))
-
-
-def band_keys(sets: list[np.ndarray], values: int, bands: int) -> np.ndarray:
-    """A row of ``bands`` keys for each set (none may be empty): the band's smallest hashes under ``values`` permutations."""
-    joined, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    keys = np.empty((len(sets), bands), np.uint64)
-    rng = np.random.default_rng(7)
-    for band in range(bands):
-        key = np.full(len(sets), band, np.uint64)
-        for a, c in zip(rng.integers(1 << 62, 1 << 63, values, np.uint64), rng.integers(0, 1 << 63, values, np.uint64)):
-            least = np.minimum.reduceat(joined * (a | np.uint64(1)) + c, starts)
-            key = (key ^ key >> np.uint64(29) ^ least) * np.uint64(0x9E3779B97F4A7C15)
-        keys[:, band] = key
-    return keys.view(np.int64)
-
-
-def _sketches(values: int, bands: int) -> Callable:
-    """id, row_key, text to the set's digest, size and bands (packed), and the three-word fingerprint of distinct shingles."""
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42, radius: int = 2, run_limit: int = 256) -> DataFrame:
+    """One row of each group of ``fingerprint_groups``, with all columns: that of the smallest id.
 
-    def run(batches):
-        import xxhash
-
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            at = 0
-            while at < len(texts):
-                first, sets, total = at, [], 0
-                while at < len(texts) and total < SLICE * 8:
-                    sets.append(set_hashes(texts[at]))
-                    total += len(sets[-1])
-                    at += 1
-                full = [s for s in sets if len(s)]
-                keys = iter(band_keys(full, values, bands) if full else ())
-                yield {
-                    "id": batch.column(0).slice(first, at - first),
-                    "row_key": batch.column(1).slice(first, at - first),
-                    "node": [xxhash.xxh128_digest(s.tobytes()) for s in sets],
-                    "size": [len(s) for s in sets],
-                    "bands": [next(keys).tobytes() if len(s) else b"" for s in sets],
-                    "short": [fingerprint(t, 3, distinct=True) for t in texts[first:at]],
-                }
-
-    return run
-
-
-def _band_rows(batches):
-    for batch in batches:
-        nodes, bands = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keys = [np.frombuffer(b, np.int64) for b in bands]
-        yield {"key": np.concatenate([np.empty(0, np.int64), *keys]), "node": [n for n, k in zip(nodes, keys) for _ in range(len(k))]}
-
-
-def _deal_sets(batches):
-    """A set goes to each pair of blocks its own block is in; blocks of a root are dealt by the node."""
-    import xxhash
-
-    for batch in batches:
-        out: dict[str, list] = {c: [] for c in ("key", "own", "node", "hashes")}
-        total = 0
-        for root, node, blocks, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            hashes = set_hashes(text).tobytes()
-            own = xxhash.xxh64_intdigest(node, seed=3) % blocks
-            for other in range(blocks):
-                key = xxhash.xxh64_intdigest(root + min(own, other).to_bytes(8, "big") + max(own, other).to_bytes(8, "big")) - (1 << 63)
-                for column, value in zip(out.values(), (key, own, node, hashes)):
-                    column.append(value)
-                total += len(hashes)
-                if total > 1 << 23:
-                    yield out
-                    out, total = {c: [] for c in out}, 0
-        yield out
-
-
-def similar_sets(members: list[tuple[int, bytes, np.ndarray]], similarity: float) -> list[tuple[bytes, bytes]]:
-    """Links of (block, node, sorted hashes) with the components of all pairs of that similarity; of two blocks only pairs across."""
-    members = sorted({n: (len(h), b, n, h) for b, n, h in members}.values(), key=lambda m: m[:3])
-    across = len({b for _, b, _, _ in members}) > 1
-    label, links = list(range(len(members))), []
-
-    def root(x):
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
-
-    for i, (size, block, node, hashes) in enumerate(members):
-        mine = i
-        for j in range(i - 1, -1, -1):
-            less, other_block, other, other_hashes = members[j]
-            if less < similarity * size - 1e-9:
-                break
-            if across and block == other_block or (his := root(j)) == mine:
-                continue
-            both = len(np.intersect1d(hashes, other_hashes, assume_unique=True))
-            if both and both >= similarity * (size + less - both) - 1e-9:
-                links.append((node, other))
-                label[mine] = mine = his
-    return links
-
-
-def _verify(similarity: float) -> Callable:
-    def run(batches):
-        now, members = None, []
-
-        def close():
-            links = similar_sets(members, similarity)
-            return {"a": [a for a, _ in links], "b": [b for _, b in links]}
-
-        for key, piece in runs_of(batches, "key"):
-            if key != now:
-                yield close()
-                now, members = key, []
-            members += [(o, n, np.frombuffer(h, np.uint64)) for o, n, h in zip(piece["own"], piece["node"], piece["hashes"])]
-        yield close()
-
-    return run
-
-
-def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """id, row_key (md5 of id and text), component, owner (smallest id), rows (with that id and text) of every row.
-
-    Two documents belong together when the Jaccard similarity of their sets of
-    five words is ``similarity`` or more; groups are the components of these
-    pairs.  Documents without words are one group.
+    Of several rows with that id the one whose id and text have the smallest
+    digest stays, repeated rows leave one; a group without ids keeps the
+    smallest digest.  Null and empty texts are one group.  An empty table
+    stays empty.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), row_key(df, id_col, text_col).alias("row_key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("t"))
-    prints = cut_lineage(map_batches(rows, _sketches(*band_shape(similarity)), f"id {kind}, row_key binary, node binary, size int, bands binary, short binary"))
-    nodes = cut_lineage(prints.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("short").alias("short"), F.count("*").alias("n")))
-    sets = nodes.filter("size > 0")
-    keys = map_batches(sets.select("node", "bands"), _band_rows, "key long, node binary")
-    shared = cut_lineage(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1"))
-    wide = join_totals(keys, shared, ["key"], "n").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    narrow = link_fingerprints(sets.select(F.col("short").alias("fp")).distinct())
-    both = sets.select(F.col("node").alias("a"), F.col("short").alias("b"))
-    lots = cut_lineage(components(wide.unionByName(narrow).unionByName(both)))
-    placed = cut_lineage(sets.join(lots, "node").select("root", "node", "row_key", "size", "n"))
-    sums = cut_lineage(placed.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("size").alias("shingles")).filter("nodes > 1"))
-    blocks = F.ceil(F.greatest(F.col("nodes") * 2 / BLOCK_NODES, F.col("shingles") * 2 / BLOCK_SHINGLES)).cast("long")
-    members = cut_lineage(join_totals(placed, sums, ["root"], "nodes").select("root", "node", "row_key", "n", F.least("nodes", blocks).alias("blocks")))
-    texts = join_totals(rows.select("row_key", "t"), members, ["row_key"], "n").select("root", "node", "blocks", "t")
-    dealt = map_batches(texts, _deal_sets, "key long, own long, node binary, hashes binary")
-    links = map_batches(dealt.repartition("key").sortWithinPartitions("key"), _verify(similarity), "a binary, b binary")
-    roots = cut_lineage(components(cut_lineage(links)))
-    named = cut_lineage(nodes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    placed = cut_lineage(join_totals(prints.select("id", "row_key", "node"), named, ["node"], "n").select("id", "row_key", F.col("root").alias("component")))
-    owners = cut_lineage(placed.groupBy("component").agg(F.min("id").alias("owner"), F.count("*").alias("n")))
-    return join_totals(placed, owners, ["component"], "n")
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group of near-duplicates, with all columns: that of the smallest id.
-
-    Of several rows with that id the one whose text has the smallest digest
-    stays, repeated rows leave one; a group without ids keeps the smallest
-    digest.  Null and empty texts are one group.  An empty table stays empty.
-    """
-    groups = near_duplicate_groups(df, id_col, text_col, similarity)
-    candidates = groups.filter(F.col("id").eqNullSafe(F.col("owner"))).groupBy("component").agg(F.min("row_key").alias("row_key"), F.count("*").alias("n"))
-    chosen = cut_lineage(candidates)
+    prints = cut_lineage(fingerprints(df, id_col, text_col, size, seed))
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row_key").alias("row_key"))
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min(first).alias("first")))
+    roots = components(link_fingerprints(nodes, radius, run_limit=run_limit))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row_key")
+    copies = prints.groupBy("row_key").agg(F.count("*").alias("n"))
+    chosen = cut_lineage(chosen.join(copies, "row_key"))
     rows = df.select(packed(df).alias("row"), row_key(df, id_col, text_col).alias("row_key"))
-    kept = rows.join(chosen.select("row_key", "n"), "row_key")
+    kept = join_totals(rows, chosen, ["row_key"], "n")
     if chosen.filter("n > 1").isEmpty():
         return kept.select("row.*")
     several = kept.filter("n > 1").groupBy("row_key").agg(F.first("row").alias("row"))
