@@ -109,15 +109,23 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
 
 
 def _tree_samples(rows: DataFrame, key: Sequence[str], trees: int, size: int, seed: int) -> DataFrame:
-    """About ``size`` rows per tree, drawn for each tree by its own key hash, so reruns draw the same rows.
+    """About ``size`` rows per tree, drawn for each tree independently by key hashes, so reruns draw the same rows.
 
-    One filter keeps the trees that draw a row, so only drawn rows are repeated.
+    One hash says, by the binomial distribution, how many trees draw a row:
+    nearly all rows of a large table stop there.  The others choose their trees
+    by a hash for each.
     """
     share = min(1.0, size / max(rows.count(), 1))
-    base = F.xxhash64(*[quoted(k) for k in key], F.lit(seed))
-    draw = lambda tree: F.pmod(F.xxhash64(F.col("_h"), tree), F.lit(1 << 52)) / float(1 << 52) < F.lit(share)
-    drawn = rows.withColumn("_h", base).withColumn("_trees", F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), draw))
-    return drawn.where(F.size("_trees") > 0).withColumn("tree", F.explode("_trees")).drop("_h", "_trees")
+    at_most, term = [], (1.0 - share) ** trees
+    for k in range(trees):  # P(at most k of the trees)
+        at_most.append(term + (at_most[-1] if at_most else 0.0))
+        term *= (trees - k) / (k + 1) * share / (1.0 - share) if share < 1.0 else 0.0
+    hashed = rows.withColumn("_h", F.xxhash64(*[quoted(k) for k in key], F.lit(seed)))
+    uniform = F.pmod("_h", F.lit(1 << 52)) / float(1 << 52)
+    drawn = hashed.where(uniform >= F.lit(at_most[0]))
+    some = F.size(F.filter(F.array(*[F.lit(p) for p in at_most]), lambda p: p <= uniform))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(F.col("_h"), t).alias("h"), t.alias("t"))))
+    return drawn.withColumn("tree", F.explode(F.slice(order, F.lit(1), some)["t"])).drop("_h")
 
 
 def fit_forest(rows: DataFrame, key: Sequence[str], cols: Sequence[str], trees: int, size: int, seed: int) -> list[np.ndarray]:
