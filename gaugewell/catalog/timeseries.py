@@ -210,6 +210,46 @@ def arima_residuals(load):
     return fc.residuals(fc.arima(hourly(load))[1]).select("event_type", "idx", "fitted", "resid")
 
 
+_HOLT = f"""with recursive {HOURLY},
+ b as (select event_type, -1::bigint as idx, max(value) filter (idx = 0) as level, max(value) filter (idx = 1) - max(value) filter (idx = 0) as slope, null::double as fitted, null::double as resid from s group by 1),
+ f as (select * from b union all
+       select event_type, idx, base + 0.3 * e, slope + 0.03 * e, base, e from (select s.event_type, s.idx::bigint as idx, f.level + f.slope as base, f.slope, s.value - f.level - f.slope as e from f join s on s.event_type = f.event_type and s.idx = f.idx + 1))"""
+
+
+@query("smoothing_at_parameters", f"{_HOLT} select event_type, idx, case when idx >= 2 then {r('fitted', 4)} end as fitted, case when idx >= 2 then {r('resid', 4)} end as resid from f where idx >= 0")
+def smoothing_at_parameters(load):
+    """Level weight 0.3, slope weight 0.1 on every row."""
+    got = fc.residuals(fc.at(hourly(load), fc.Smoothing(), [0.3, 0.1]))
+    return _rounded(got.select("event_type", "idx", "fitted", "resid"), 4)
+
+
+_ARMA = f"""with recursive {HOURLY},
+ u as (select event_type, idx::bigint as idx, value, value - 5 - 0.4 * coalesce(lag(value) over (partition by event_type order by idx) - 5, 0) as u from s),
+ f as (select event_type, idx, value, u as resid from u where idx = 0 union all
+       select u.event_type, u.idx, u.value, u.u + 0.7 * f.resid from f join u on u.event_type = f.event_type and u.idx = f.idx + 1)"""
+
+
+@query("arma_at_parameters", f"{_ARMA} select event_type, idx, case when idx >= 1 then {r('value - resid', 4)} end as fitted, case when idx >= 1 then {r('resid', 4)} end as resid from f")
+def arma_at_parameters(load):
+    """phi 0.4, theta -0.7 and mean 5 on every row."""
+    got = fc.residuals(fc.at(hourly(load), fc.Arima((1, 0, 1)), [0.4, -0.7, 5.0]))
+    return _rounded(got.select("event_type", "idx", "fitted", "resid"), 4)
+
+
+_SEASONAL = f"""with recursive {HOURLY},
+ g as (select event_type, avg(value) filter (idx < 24) as a, avg(value) filter (idx between 24 and 47) as b, list(value order by idx) filter (idx < 24) as head from s where n >= 49 group by 1),
+ f as (select event_type, -1::bigint as idx, a as level, (b - a) / 24 as slope, list_transform(head, lambda x: x - a) as around, null::double as resid from g union all
+       select event_type, idx, base + 0.2 * e, slope + 0.01 * e, list_concat(around[2:], [around[1] + 0.1 * e]), e
+       from (select s.event_type, s.idx::bigint as idx, f.level + f.slope as base, f.slope, around, s.value - f.level - f.slope - around[1] as e from f join s on s.event_type = f.event_type and s.idx = f.idx + 1))"""
+
+
+@query("seasonal_smoothing_errors", f"{_SEASONAL} select event_type, count(*) as m, {r('sum(resid * resid)', 3)} as sse, {r('avg(abs(resid))', 6)} as mae from f where idx >= 48 group by 1")
+def seasonal_smoothing_errors(load):
+    """Sums over all rows at level, slope and season weights 0.2, 0.05 and 0.1, period 24."""
+    fitted = fc.at(hourly(load), fc.Smoothing(True, "add", 24), [0.2, 0.05, 0.1])
+    return fitted.table.select("event_type", "m", F.round("sse", 3).alias("sse"), F.round("mae", 6).alias("mae"))
+
+
 @query("sarima_forecast")
 def sarima_forecast(load):
     return fc.sarima(hourly(load), 24, period=24)[0]

@@ -2,9 +2,9 @@
 
 All models are fitted for all series together by damped Gauss–Newton on the
 conditional sum of squares: each pass computes residuals and a numeric Jacobian
-on overlapping blocks, sums the normal equations per series, and updates the
-small parameter table.  A block's recursion warms up on the rows before it, so
-the series length is not bounded by one task.
+block by block, sums the normal equations per series, and updates the small
+parameter table.  Blocks run from their true states (``plans/recursion.py``),
+so the series length is not bounded by one task.
 """
 
 from __future__ import annotations
@@ -22,14 +22,12 @@ from pyspark.sql import functions as F
 from gaugewell.functions import tails
 from gaugewell.functions.columns import nz
 from gaugewell.operators.series import decompose_stl, seasonal_period
-from gaugewell.plans.blocks import block_apply, per_series, series_keys
+from gaugewell.plans.blocks import per_series, series_keys
+from gaugewell.plans.joins import null_safe_join
+from gaugewell.plans.recursion import block_runs, packed
 from gaugewell.session import cut_lineage
 
-#: Rows a block's recursion runs on before its own: at the slowest decay the
-#: search allows (level weight 1e-4) a start is forgotten to 1e-13.
-WARM = 300_000
 ROUNDS = 15
-FORECAST = "step int, forecast double, lower double, upper double"
 
 
 @dataclass(frozen=True)
@@ -76,9 +74,7 @@ class Arima:
     def skip(self) -> int:
         return self.lost + self.order[0] + self.seasonal[0] * self.period
 
-    @property
-    def reach(self) -> int:
-        return self.skip + self.order[2] + self.seasonal[2] * self.period + max(WARM, 6_000 * self.period)
+    affine = True
 
     def polynomials(self, theta: Sequence[float]) -> tuple[np.ndarray, np.ndarray, float]:
         """Coefficients of w_{t−i} (i ≥ 1) and e_{t−j} (j ≥ 1), and the constant (mean of w)."""
@@ -98,31 +94,44 @@ class Arima:
             w = w[self.period :] - w[: -self.period]
         return w
 
-    def errors(self, y: np.ndarray, theta: Sequence[float]) -> np.ndarray:
-        """One-step errors aligned with y (the lost rows are zero)."""
-        a, b, c = self.polynomials(theta)
+    def inputs(self, y: np.ndarray, theta: Sequence[float], halo: int) -> np.ndarray:
+        """What the autoregressive side leaves of each row past the halo; differences and lags before the series' start are zero."""
+        a, _, c = self.polynomials(theta)
         w = self.differences(y) - c
         u = w.copy()
         for i in np.flatnonzero(a):
             lag = i + 1
             u[lag:] -= a[i] * w[:-lag]
-        e = u
+        return np.r_[np.zeros(len(y) - len(u)), u][halo:]
+
+    def first_state(self, y: np.ndarray, theta: Sequence[float]) -> np.ndarray:
+        return np.zeros(self.order[2] + self.seasonal[2] * self.period)
+
+    def steps(self, inputs: np.ndarray, state: np.ndarray, theta: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        """The state holds the last errors, the latest one last."""
+        _, b, _ = self.polynomials(theta)
+        d, rows = len(state), len(inputs)
         lags = [(int(j) + 1, float(b[j])) for j in np.flatnonzero(b)]
-        if lags:
-            run = u.tolist()
-            for t in range(len(run)):
-                v = run[t]
+        if not lags:
+            return inputs, np.vstack((state, inputs))[rows:]
+        if inputs.shape[1] == 1:
+            run = state[:, 0].tolist()
+            for t, v in enumerate(inputs[:, 0].tolist(), d):
                 for lag, coef in lags:
-                    if t >= lag:
-                        v -= coef * run[t - lag]
-                run[t] = v
-            e = np.array(run)
-        return np.r_[np.zeros(len(y) - len(e)), e]
-
-    def ahead(self, y: np.ndarray, theta: Sequence[float], steps: int) -> tuple[np.ndarray, np.ndarray]:
-        """Mean forecasts and variance factors."""
+                    v -= coef * run[t - lag]
+                run.append(v)
+            e = np.array(run)[:, None]
+        else:
+            e = np.vstack((state, inputs))
+            for t in range(d, d + rows):
+                for lag, coef in lags:
+                    e[t] -= coef * e[t - lag]
+        return e[d:], e[rows:]
+
+    def ahead(self, y: np.ndarray, errors: np.ndarray, state: np.ndarray, n: int, theta: Sequence[float], steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean forecasts and variance factors, from the last values and errors."""
         a, b, c = self.polynomials(theta)
-        e = self.errors(y, theta).tolist()
+        e = errors.tolist()
         full = _differenced(a, self.order[1], self.seasonal[1], self.period)
         gain = c * (1.0 - a.sum())
         past, out = y.tolist(), []
@@ -188,8 +197,8 @@ class Smoothing:
         return 2 * self.period if self.season else 2
 
     @property
-    def reach(self) -> int:
-        return self.skip + max(WARM, 6_000 * self.period)
+    def affine(self) -> bool:
+        return self.season != "mul"
 
     def _unpack(self, theta: Sequence[float]) -> tuple[float, float, float, float]:
         it = iter(theta)
@@ -198,50 +207,71 @@ class Smoothing:
         gamma = next(it) if self.season else 0.0
         return alpha, beta, gamma, next(it) if self.damped else 1.0
 
-    def run(self, y: np.ndarray, theta: Sequence[float]) -> tuple[np.ndarray, float, float, list[float]]:
-        """Errors and the final level, trend and season."""
+    def inputs(self, y: np.ndarray, theta: Sequence[float], halo: int) -> np.ndarray:
+        return y[halo:]
+
+    def first_state(self, y: np.ndarray, theta: Sequence[float]) -> np.ndarray:
+        """Level, slope and one season (that of row t at t modulo the period) from the first rows."""
+        s = self.period if self.season else 0
+        if not s:
+            return np.array([y[0], y[1] - y[0] if self.trend and len(y) > 1 else 0.0])
+        first, second = y[:s].mean(), y[s : 2 * s].mean() if len(y) >= 2 * s else y[:s].mean()
+        head = np.r_[y[:s], np.full(max(0, s - len(y)), first)]
+        around = head / first if self.season == "mul" and first else head - first
+        return np.r_[first, (second - first) / s if self.trend else 0.0, around]
+
+    def steps(self, inputs: np.ndarray, state: np.ndarray, theta: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        alpha, beta, gamma, phi = self._unpack(theta)
+        s = self.period if self.season else 0
+        if inputs.shape[1] == 1:
+            return self._one(inputs[:, 0], state[:, 0], theta)
+        level, slope, around = state[0], state[1], state[2:].copy()
+        errors = np.empty_like(inputs)
+        for t, v in enumerate(inputs):
+            base = level + phi * slope
+            e = v - base - around[t % s] if s else v - base
+            errors[t] = e
+            level = base + alpha * e
+            if self.trend:
+                slope = phi * slope + beta * alpha * e
+            if s:
+                around[t % s] += gamma * e
+        return errors, np.vstack((level, slope, around))
+
+    def _one(self, y: np.ndarray, state: np.ndarray, theta: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        """One stretch in plain numbers; the multiplicative season divides."""
         alpha, beta, gamma, phi = self._unpack(theta)
         s = self.period if self.season else 0
         mul = self.season == "mul"
-        if s:
-            first, second = y[:s].mean(), y[s : 2 * s].mean() if len(y) >= 2 * s else y[:s].mean()
-            level, slope = float(first), float((second - first) / s) if self.trend else 0.0
-            around = [(v / first if mul and first else v - first) for v in y[:s].tolist()]
-        else:
-            level, slope, around = float(y[0]), float(y[1] - y[0]) if self.trend and len(y) > 1 else 0.0, []
+        level, slope, *around = state.tolist()
         errors = []
         for t, v in enumerate(y.tolist()):
             base = level + phi * slope
-            if s:
-                now = around[t % s]
-                guess = base * now if mul else base + now
-            else:
-                guess = base
-            e = v - guess
-            errors.append(e)
             if mul:
+                now = around[t % s]
+                errors.append(v - base * now)
                 new = alpha * (v / now if now else v) + (1 - alpha) * base
                 around[t % s] = gamma * (v / base if base else 1.0) + (1 - gamma) * now
             else:
+                e = v - base - around[t % s] if s else v - base
+                errors.append(e)
                 new = base + alpha * e
                 if s:
-                    around[t % s] = now + gamma * e
+                    around[t % s] += gamma * e
             slope = phi * slope + beta * (new - base) if self.trend else 0.0
             level = new
-        return np.array(errors), level, slope, around
+        return np.array(errors)[:, None], np.array([level, slope, *around])[:, None]
 
-    def errors(self, y: np.ndarray, theta: Sequence[float]) -> np.ndarray:
-        return self.run(y, theta)[0]
-
-    def ahead(self, y: np.ndarray, theta: Sequence[float], steps: int) -> tuple[np.ndarray, np.ndarray]:
+    def ahead(self, y: np.ndarray, errors: np.ndarray, state: np.ndarray, n: int, theta: Sequence[float], steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean forecasts and variance factors, from the state after the last of ``n`` rows."""
         alpha, beta, gamma, phi = self._unpack(theta)
-        _, level, slope, around = self.run(y, theta)
+        level, slope, *around = state.tolist()
         out, damp, var, total = [], 0.0, [], 1.0
         s = self.period if self.season else 0
         for h in range(1, steps + 1):
             damp += phi**h
             base = level + damp * slope
-            now = around[(len(y) + h - 1) % s] if s else 0.0
+            now = around[(n + h - 1) % s] if s else 0.0
             out.append(base * now if self.season == "mul" else base + now)
             var.append(total)
             c = alpha * (1 + beta * damp) + (gamma * (1 - alpha) if s and h % s == 0 else 0.0)
@@ -251,52 +281,55 @@ class Smoothing:
 
 @dataclass
 class Fitted:
-    """Model, parameter table (keys…, series, theta, sse, m, aic, bic, mse) and the series it was fitted on."""
+    """Model, parameter table (keys…, series, theta, sse, m, aic, bic, mse), the series it was fitted on and their blocks."""
 
     model: Arima | Smoothing
     table: DataFrame
     series: DataFrame
+    blocks: DataFrame
     extra: dict = field(default_factory=dict)
 
 
-def _normal_equations(model, y: np.ndarray, idx: np.ndarray, first: int, last: int, theta: np.ndarray) -> np.ndarray:
-    """[m, SSE, Σ|e|, J'e, J'J] over the core rows past the model's start-up."""
-    pick = np.arange(first, last)
-    pick = pick[idx[pick] >= model.skip]
-    k = len(theta)
-    e = model.errors(y, theta)[pick]
-    jac = np.empty((len(pick), k))
-    scale = float(np.std(y)) or 1.0
-    for j in range(k):
-        h = 1e-5 * (scale if isinstance(model, Arima) and model.has_constant and j == k - 1 else 1.0)
-        moved = theta.copy()
-        moved[j] += h
-        jac[:, j] = (model.errors(y, moved)[pick] - e) / h
-    return np.r_[len(pick), e @ e, np.abs(e).sum(), jac.T @ e, (jac.T @ jac).ravel()]
+def _counted(model, row: dict, y: np.ndarray) -> slice:
+    """The rows of a block past the model's start-up, as places among its errors."""
+    return slice(max(0, model.skip - int(row["first"])), len(y) - int(row["halo"]))
 
 
-def fit(series: DataFrame, model: Arima | Smoothing, rounds: int = ROUNDS) -> Fitted:
+def fit(series: DataFrame, model: Arima | Smoothing, rounds: int = ROUNDS, size: int | None = None) -> Fitted:
     keys = series_keys(series)
     k = len(model.start)
     low, high = (np.array(v) for v in model.limits)
     long_enough = series.where(F.col("n") >= model.skip + k + 3)
+    blocks = packed(long_enough, model.skip, model.period, size)
     begin = F.array(*[F.lit(float(v)) for v in model.start])
+    ends = long_enough.groupBy(*keys).agg(
+        F.first("mean").alias("mean"), F.first("n").alias("n"), F.max_by("value", "idx").alias("z"), F.min_by("value", "idx").alias("a"), F.stddev_pop("value").alias("sd")
+    )
     if isinstance(model, Arima) and model.has_constant:
-        ends = long_enough.groupBy(*keys).agg(
-            F.first("mean").alias("mean"), F.first("n").alias("n"), F.max_by("value", "idx").alias("z"), F.min_by("value", "idx").alias("a")
-        )
         guess = F.col("mean") if model.lost == 0 else (F.col("z") - F.col("a")) / (F.col("n") - 1)
-        level = guess if model.lost <= 1 else F.lit(0.0)
-        state = ends.select(*keys, F.concat(F.slice(begin, 1, k - 1), F.array(level)).alias("trial"))
-    else:
-        state = long_enough.select(*keys).distinct().select(*keys, begin.alias("trial"))
-    state = state.select(*keys, "trial", F.col("trial").alias("best"), F.array().cast("array<double>").alias("stats"), F.lit(0.1).alias("lam"), F.lit(False).alias("done"))
-    state = cut_lineage(_screened(long_enough, state, model, schema_of_state()))
-
-    def evaluate(rows: pd.DataFrame, first: int, last: int) -> pd.DataFrame:
-        theta = np.asarray(rows["trial"].iloc[0], dtype=float)
-        v = _normal_equations(model, rows["value"].to_numpy(dtype=float), rows["idx"].to_numpy(), first, last, theta)
-        return pd.DataFrame({"v": [np.nan_to_num(v, nan=1e300, posinf=1e300, neginf=-1e300).tolist()]})
+        begin = F.concat(F.slice(begin, 1, k - 1), F.array(guess if model.lost <= 1 else F.lit(0.0)))
+    free = [isinstance(model, Arima) and model.has_constant and j == k - 1 for j in range(k)]
+    scale = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
+    state = ends.select(*keys, begin.alias("trial"), scale.alias("scale"))
+    state = state.select(*keys, "trial", "scale", F.col("trial").alias("best"), F.array().cast("array<double>").alias("stats"), F.lit(0.1).alias("lam"), F.lit(False).alias("done"))
+    schema = "trial array<double>, scale double, best array<double>, stats array<double>, lam double, done boolean"
+    state = cut_lineage(_screened(blocks, cut_lineage(state), model, schema))
+
+    def shifts(row: dict) -> list[float]:
+        return [1e-5 * (float(row["scale"]) if f else 1.0) for f in free]
+
+    def variants(row: dict) -> list[np.ndarray]:
+        theta = np.asarray(row["trial"], dtype=float)
+        return [theta] + [theta + h * np.eye(k)[j] for j, h in enumerate(shifts(row))]
+
+    def evaluate(row: dict, y: np.ndarray, runs) -> dict:
+        """m, SSE, Σ|e|, J'e, J'J."""
+        own = _counted(model, row, y)
+        e = runs[0][0][own]
+        jac = np.column_stack([(moved[own] - e) / h for (moved, _, _), h in zip(runs[1:], shifts(row))])
+        with np.errstate(all="ignore"):
+            v = np.r_[len(e), e @ e, np.abs(e).sum(), jac.T @ e, (jac.T @ jac).ravel()]
+        return {"v": np.nan_to_num(v, nan=1e300, posinf=1e300, neginf=-1e300).tolist()}
 
     def update(row: pd.Series) -> dict:
         got = np.asarray(row["v"], dtype=float)
@@ -313,20 +346,18 @@ def fit(series: DataFrame, model: Arima | Smoothing, rounds: int = ROUNDS) -> Fi
         grad, hess = old[3 : 3 + k], old[3 + k :].reshape(k, k)
         damp = hess + lam * np.diag(np.maximum(np.diag(hess), 1e-12))
         move = np.linalg.lstsq(damp, -grad, rcond=None)[0]
-        free = np.isfinite(high)
-        move = np.where(free, np.clip(move, -0.4, 0.4), move)
+        bounded = np.isfinite(high)
+        move = np.where(bounded, np.clip(move, -0.4, 0.4), move)
         nxt = np.clip(best + move, low, high)
         small = bool(np.all(np.abs(nxt - best) <= 1e-7 * (1 + np.abs(best))))
-        return {"trial": nxt.tolist(), "best": best.tolist(), "stats": old.tolist(), "lam": lam, "done": bool(settled or small or lam >= 1e9)}
+        return {"trial": nxt.tolist(), "scale": row["scale"], "best": best.tolist(), "stats": old.tolist(), "lam": lam, "done": bool(settled or small or lam >= 1e9)}
 
-    schema = schema_of_state()
     finished = None
     for _ in range(rounds):
         live = state.where("not done")
-        marked = long_enough.join(live.select(*keys, "trial"), keys)
-        ordered = marked.select(*keys, *[c for c in marked.columns if c not in keys])
-        sums = _sum_vectors(block_apply(ordered, model.reach, 0, evaluate, "v array<double>"), keys)
-        state = cut_lineage(per_series(live.join(sums, keys), update, schema, keys))
+        params = live.select(*keys, "trial", "scale")
+        sums = _sum_vectors(block_runs(model, blocks, params, variants, evaluate, "v array<double>"), keys)
+        state = cut_lineage(per_series(null_safe_join(live, sums, keys), update, schema, keys))
         ready = state.where("done")
         finished = ready if finished is None else finished.unionByName(ready)
         if state.where("not done").isEmpty():
@@ -339,39 +370,49 @@ def fit(series: DataFrame, model: Arima | Smoothing, rounds: int = ROUNDS) -> Fi
         *keys, F.col("best").alias("theta"), m.cast("long").alias("m"), sse.alias("sse"), (F.col("stats")[2] / nz(m)).alias("mae"),
         (sse / nz(m)).alias("mse"), (2.0 * (k + 1) - 2 * loglik).alias("aic"), (F.log(m) * (k + 1) - 2 * loglik).alias("bic"),
     )
-    return Fitted(model, cut_lineage(table), long_enough)
+    return Fitted(model, cut_lineage(table), long_enough, blocks)
+
+
+def at(series: DataFrame, model: Arima | Smoothing, theta: Sequence[float], size: int | None = None) -> Fitted:
+    """The model with given parameters on every series long enough for it; no search."""
+    keys = series_keys(series)
+    long_enough = series.where(F.col("n") > model.skip)
+    blocks = packed(long_enough, model.skip, model.period, size)
+    params = long_enough.select(*keys).distinct().withColumn("theta", F.array(*[F.lit(float(v)) for v in theta]))
+
+    def squares(row: dict, y: np.ndarray, runs) -> dict:
+        e = runs[0][0][_counted(model, row, y)]
+        return {"v": [float(len(e)), float(e @ e), float(np.abs(e).sum())]}
 
+    sums = _sum_vectors(block_runs(model, blocks, params, _theta, squares, "v array<double>"), keys)
+    v = F.col("v")
+    table = null_safe_join(params, sums, keys).select(*keys, "theta", v[0].cast("long").alias("m"), v[1].alias("sse"), (v[2] / nz(v[0])).alias("mae"), (v[1] / nz(v[0])).alias("mse"))
+    return Fitted(model, cut_lineage(table), long_enough, blocks)
 
-def schema_of_state() -> str:
-    return "trial array<double>, best array<double>, stats array<double>, lam double, done boolean"
 
+def _theta(row: dict) -> list[np.ndarray]:
+    return [np.asarray(row["theta"], dtype=float)]
 
-def _screened(series: DataFrame, state: DataFrame, model, schema: str) -> DataFrame:
+
+def _screened(blocks: DataFrame, state: DataFrame, model, schema: str) -> DataFrame:
     """Every series starts from the candidate with the smallest sum of squares (one pass for all)."""
-    keys = series_keys(series)
+    keys = [c for c in state.columns if c not in ("trial", "scale", "best", "stats", "lam", "done")]
     options = model.candidates
-    joined = series.join(state.select(*keys, "trial"), keys)
-    ordered = joined.select(*keys, *[c for c in joined.columns if c not in keys])
-
-    def whole(option, trial) -> np.ndarray:
-        return np.r_[option, np.asarray(trial, dtype=float)[len(option) :]]
-
-    def squares(rows: pd.DataFrame, first: int, last: int) -> pd.DataFrame:
-        y = rows["value"].to_numpy(dtype=float)
-        pick = np.arange(first, last)
-        pick = pick[rows["idx"].to_numpy()[pick] >= model.skip]
-        got = []
-        for o in options:
-            e = model.errors(y, whole(o, rows["trial"].iloc[0]))[pick]
-            got.append(float(e @ e))
-        return pd.DataFrame({"v": [np.nan_to_num(got, nan=1e300, posinf=1e300).tolist()]})
+
+    def variants(row: dict) -> list[np.ndarray]:
+        return [np.r_[o, np.asarray(row["trial"], dtype=float)[len(o) :]] for o in options]
+
+    def squares(row: dict, y: np.ndarray, runs) -> dict:
+        own = _counted(model, row, y)
+        with np.errstate(all="ignore"):
+            return {"v": np.nan_to_num([float(e[own] @ e[own]) for e, _, _ in runs], nan=1e300, posinf=1e300).tolist()}
 
     def choose(row: pd.Series) -> dict:
-        best = whole(options[int(np.argmin(row["v"]))], row["trial"]).tolist()
-        return {"trial": best, "best": best, "stats": [], "lam": 0.1, "done": False}
+        best = variants(row)[int(np.argmin(row["v"]))].tolist()
+        return {"trial": best, "scale": row["scale"], "best": best, "stats": [], "lam": 0.1, "done": False}
 
-    sums = _sum_vectors(block_apply(ordered, model.reach, 0, squares, "v array<double>"), keys)
-    return per_series(state.join(sums, keys), choose, schema, keys)
+    sums = _sum_vectors(block_runs(model, blocks, state.select(*keys, "trial"), variants, squares, "v array<double>"), keys)
+    return per_series(null_safe_join(state, sums, keys), choose, schema, keys)
 
 
 def _sum_vectors(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -379,45 +420,36 @@ def _sum_vectors(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return flat.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).withColumn("v", F.col("v.x"))
 
 
-def _with_theta(f: Fitted) -> DataFrame:
-    keys = series_keys(f.series)
-    joined = f.series.join(f.table.select(*keys, "theta", "mse"), keys)
-    return joined.select(*keys, *[c for c in joined.columns if c not in keys])
-
-
 def predict(f: Fitted, steps: int = 12, alpha: float = 0.05) -> DataFrame:
     """Forecasts with intervals from the block that holds the series' last row."""
-    model = f.model
+    model, keys = f.model, series_keys(f.series)
     z = tails.normal_ppf(1 - alpha / 2)
 
-    def last_block(rows: pd.DataFrame, first: int, last: int) -> pd.DataFrame | None:
-        if rows["idx"].iloc[last - 1] != rows["n"].iloc[0] - 1:
+    def last_block(row: dict, y: np.ndarray, runs) -> dict | None:
+        errors, start, end = runs[0]
+        if row["first"] + len(errors) < row["n"]:
             return None
-        y = rows["value"].to_numpy(dtype=float)[:last]
-        mean, var = model.ahead(y, np.asarray(rows["theta"].iloc[0], dtype=float), steps)
-        half = z * np.sqrt(float(rows["mse"].iloc[0]) * var)
-        return pd.DataFrame({"step": np.arange(1, steps + 1, dtype="int32"), "forecast": mean, "lower": mean - half, "upper": mean + half})
+        known = np.r_[start, errors] if isinstance(model, Arima) else errors
+        mean, var = model.ahead(y, known, end, int(row["n"]), np.asarray(row["theta"], dtype=float), steps)
+        half = z * np.sqrt(float(row["mse"]) * var)
+        return {"v": [[float(m), float(m - h), float(m + h)] for m, h in zip(mean, half)]}
 
-    # Only rows the last block can need are shuffled.
-    near = _with_theta(f).where(F.col("idx") >= F.col("n") - (50_000 + 2 * model.reach + 8 * model.reach))
-    return block_apply(near, model.reach, 0, last_block, FORECAST)
+    params = f.table.select(*keys, "theta", "mse")
+    rows = block_runs(model, f.blocks, params, _theta, last_block, "v array<array<double>>")
+    return rows.select(*keys, F.posexplode("v").alias("at", "x")).select(*keys, (F.col("at") + 1).alias("step"), F.col("x")[0].alias("forecast"), F.col("x")[1].alias("lower"), F.col("x")[2].alias("upper"))
 
 
 def residuals(f: Fitted) -> DataFrame:
     """Rows with their one-step fit and error (null during the model's start-up)."""
-    model = f.model
-
-    def each(rows: pd.DataFrame, first: int, last: int) -> pd.DataFrame:
-        y = rows["value"].to_numpy(dtype=float)
-        e = model.errors(y, np.asarray(rows["theta"].iloc[0], dtype=float))[first:last]
-        out = rows[["t", "value", "idx"]].iloc[first:last].reset_index(drop=True)
-        known = out["idx"].to_numpy() >= model.skip
-        out["fitted"] = np.where(known, y[first:last] - e, np.nan)
-        out["resid"] = np.where(known, e, np.nan)
-        return out
+    model, keys = f.model, series_keys(f.series)
+
+    def each(row: dict, y: np.ndarray, runs) -> dict:
+        return {"begin": int(row["first"]), "v": runs[0][0].tolist()}
 
-    kind = dict(f.series.dtypes)["t"]
-    return block_apply(_with_theta(f), model.reach, 0, each, f"t {kind}, value double, idx long, fitted double, resid double")
+    errors = block_runs(model, f.blocks, f.table.select(*keys, "theta"), _theta, each, "begin long, v array<double>")
+    errors = errors.select(*keys, "begin", F.posexplode("v").alias("at", "e")).select(*keys, (F.col("begin") + F.col("at")).alias("idx"), "e")
+    known = F.col("idx") >= model.skip
+    return null_safe_join(f.series, errors, [*keys, "idx"]).select(*keys, "t", "value", "idx", F.when(known, F.col("value") - F.col("e")).alias("fitted"), F.when(known, F.col("e")).alias("resid"))
 
 
 # ---- entry points ----------------------------------------------------------

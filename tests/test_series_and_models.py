@@ -123,6 +123,90 @@ def test_smoothing_follows_a_line_and_season(spark):
     assert np.abs(stl["forecast"] - want).max() < 2.0
 
 
+def plain_smoothing(y, alpha, beta, gamma, phi, s, mul=False):
+    """Level, slope and season row by row."""
+    first, second = (np.mean(y[:s]), np.mean(y[s : 2 * s])) if s else (y[0], y[1])
+    level, slope = first, (second - first) / (s or 1)
+    around = [v / first if mul else v - first for v in y[:s]]
+    out = []
+    for t, v in enumerate(y):
+        base, now = level + phi * slope, around[t % s] if s else 0.0
+        e = v - (base * now if mul else base + now)
+        out.append(e)
+        level = alpha * v / now + (1 - alpha) * base if mul else base + alpha * e
+        if s:
+            around[t % s] = gamma * v / base + (1 - gamma) * now if mul else now + gamma * e
+        slope = phi * slope + beta * (level - base)
+    return np.array(out)
+
+
+def plain_arima(y, ar, ma, sar, sma, s, d, big_d, c):
+    """Errors by the definition, nothing known before the first difference."""
+    w = np.diff(y, d)
+    for _ in range(big_d):
+        w = w[s:] - w[:-s]
+    w = w - c
+    left = np.convolve(np.r_[1, -np.array(ar)], np.r_[1, np.zeros(s - 1), -sar] if s else [1])
+    right = np.convolve(np.r_[1, np.array(ma)], np.r_[1, np.zeros(s - 1), sma] if s else [1])
+    e = []
+    for t in range(len(w)):
+        e.append(sum(k * w[t - i] for i, k in enumerate(left) if i <= t) - sum(k * e[t - j] for j, k in enumerate(right) if 0 < j <= t))
+    return np.r_[np.zeros(len(y) - len(e)), e]
+
+
+@pytest.mark.parametrize(
+    "model,theta",
+    [
+        (fc.Smoothing(), [1e-4, 1e-4]),
+        (fc.Smoothing(True, "add", 12, True), [1e-4, 1e-4, 1e-4, 0.98]),
+        (fc.Arima((1, 1, 1)), [0.5, -0.995]),
+        (fc.Arima((2, 0, 0)), [0.5, 0.2, 3.0]),
+        (fc.Arima((1, 0, 2), (1, 1, 1), 12), [0.3, 0.4, 0.3, 0.2, -0.9]),
+    ],
+)
+def test_blocks_run_from_their_true_states(spark, monkeypatch, model, theta):
+    from gaugewell.plans import recursion
+
+    monkeypatch.setattr(recursion, "FAN", 2)
+    size, n = 300, 3000
+    rng = np.random.default_rng(4)
+    y = 100 + 0.01 * np.arange(n) + 5 * np.sin(np.arange(n) * 2 * np.pi / 12) + rng.normal(size=n)
+    f = fc.at(series_of(spark, v=y), model, theta, size)
+    got = fc.residuals(f).toPandas().sort_values("idx")
+    if isinstance(model, fc.Smoothing):
+        alpha, beta, gamma, phi = model._unpack(theta)
+        want = plain_smoothing(y, alpha, beta, gamma, phi, model.period if model.season else 0)
+    else:
+        p, d, q = model.order
+        big = model.seasonal
+        c = theta[-1] if model.has_constant else 0.0
+        want = plain_arima(y, theta[:p], theta[p : p + q], *(theta[p + q : p + q + 2] if big[0] else (0.0, 0.0)), model.period, d, big[1], c)
+    known = got["idx"].to_numpy() >= model.skip
+    assert np.allclose(got["resid"][known], want[known], rtol=0, atol=1e-9) and got["resid"][~known].isna().all()
+    assert len(got) == n and np.isclose(f.table.first()["sse"], (want[known] ** 2).sum(), rtol=1e-9)
+    ahead = fc.predict(f, 5).orderBy("step").toPandas()
+    monkeypatch.undo()
+    once = fc.predict(fc.at(series_of(spark, v=y), model, theta), 5).orderBy("step").toPandas()
+    assert np.allclose(ahead[["forecast", "lower"]], once[["forecast", "lower"]], rtol=0, atol=1e-8)
+
+
+def test_multiplicative_season_sweeps_to_the_whole(spark):
+    rng = np.random.default_rng(6)
+    n = 1500
+    y = (50 + 0.02 * np.arange(n)) * (1 + 0.2 * np.sin(np.arange(n) * np.pi / 3)) + rng.normal(size=n)
+    model, theta = fc.Smoothing(True, "mul", 6), [0.01, 0.001, 0.02]
+    want = plain_smoothing(y, 0.01, 0.001, 0.02, 1.0, 6, True)
+    got = fc.residuals(fc.at(series_of(spark, v=y), model, theta, 240)).toPandas().sort_values("idx")
+    assert np.allclose(got["resid"][12:], want[12:], rtol=0, atol=1e-9)
+
+
+def test_fits_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(7)
+    s = series_of(spark, v=np.cumsum(rng.normal(size=900)) + 50, w=rng.normal(size=900) + 3)
+    whole, cut = (fc.fit(s, fc.Arima((1, 0, 1)), 3, size).table.toPandas().sort_values("series") for size in (None, 100))
+    assert np.allclose(whole["sse"], cut["sse"], rtol=1e-8) and np.allclose(whole["theta"].tolist(), cut["theta"].tolist(), atol=1e-6)
+
+
 # ---- models ----------------------------------------------------------------
 
 
