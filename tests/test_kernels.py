@@ -143,6 +143,18 @@ def test_concordance_exact_with_ties_and_hot_values(spark, buckets):
     assert got.ties_x == sum(a == b for a, b in itertools.combinations(x, 2))
 
 
+def test_crowded_buckets_are_cut_again(spark, monkeypatch):
+    """Tasks of at most 40 cells: three levels and more below the first grid, whatever the buckets there."""
+    rng = np.random.default_rng(12)
+    x = np.r_[rng.integers(0, 400, 1500), np.full(300, 7)].astype(float)
+    y = np.r_[rng.normal(size=1200).round(1), np.zeros(300), rng.integers(0, 3, 300) * 1e9]
+    want = int((np.sign(x[:, None] - x) * np.sign(y[:, None] - y)).sum()) // 2
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).repartition(3)
+    for buckets, per_task, fan in ((1, 40, 3), (3, 100, 32)):
+        monkeypatch.setattr(cc, "FAN", fan)
+        assert cc.concordance(df, "x", "y", buckets, per_task).score == want
+
+
 def test_signed_pairs_small():
     a, b = np.array([1.0, 2.0, 3.0, 3.0]), np.array([4.0, 1.0, 2.0, 2.0])
     w = np.array([1, 2, 1, 3])
