@@ -1,8 +1,10 @@
-"""Exact neighbour search by pivot cells and bounded tiles.
+"""Exact neighbour search by a tree of pivot cells and bounded tiles.
 
-Distinct points are assigned to their nearest pivot.  The triangle inequality
-tells which cells can hold a neighbour of a point, and the point is sent only
-there.  Cells are cut into chunks, so a tile (one member chunk against one
+Distinct points are assigned to their nearest pivot; a cell with too many of
+them gets pivots of its own, level by level, all crowded cells together.  The
+triangle inequality tells which cells can hold a neighbour of a point, and the
+point is sent only there and on to the cells below.  Only the first level's
+pivots are on the driver.  Cells are cut into chunks, so a tile (one member chunk against one
 query chunk) has bounded size however many points a cell holds, and a tile
 answers with its best k or with counts, never with all pairs.  Identical rows
 are collapsed to one point with a multiplicity beforehand.
@@ -20,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.functions.columns import num, quoted
+from gaugewell.plans.joins import join_groups
 from gaugewell.session import cut_lineage
 
 CHUNK = 4_000
-MAX_PIVOTS = 1_000
+MAX_PIVOTS = 1_000  # of the first level, and of a cell below
 ROWS_PER_PIVOT = 1_000
+SPLIT = 8_000  # points of a cell that is not split again
 
 
 @dataclass
@@ -36,6 +40,15 @@ class Cells:
     kth: np.ndarray  # distance within which the cell holds the wanted multiplicity
 
 
+@dataclass
+class Tree:
+    """Points with the path of their cell, the first level, and the cells below it."""
+
+    members: DataFrame  # pid, vec, mult, cell
+    top: Cells
+    nodes: DataFrame | None  # parent, cell, pivot, n, low, high, kth
+
+
 def points_of(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(vec, pid, mult): distinct vectors; ``pid`` is the smallest key among the copies."""
     vec = F.array(*[num(c) for c in columns])
@@ -90,57 +103,164 @@ def cell_stats(assigned: DataFrame, pivots: np.ndarray, k: int) -> Cells:
     return Cells(pivots, count, low, high, kth)
 
 
-def _routes(cells: Cells, radius: float | None, chunk: int) -> Callable[[np.ndarray], list[np.ndarray]]:
-    chunks = np.maximum(1, np.ceil(cells.count / chunk).astype(int))
-
-    def route(x: np.ndarray) -> list[np.ndarray]:
-        d = distances(x, cells.pivots)
-        if radius is None:
-            bound = (d + cells.kth).min(axis=1)
-        else:
-            bound = np.full(len(x), radius)
-        slack = 1e-9 * (1.0 + np.abs(d))
-        reach = (np.maximum(d - cells.high, cells.low - d) - slack <= bound[:, None]) & (cells.count > 0)
-        return [np.flatnonzero(r) for r in reach]
-
-    return route
-
-
-def tiles(queries: DataFrame, members: DataFrame, cells: Cells, radius: float | None, tile: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, chunk: int = CHUNK) -> DataFrame:
+def plant(points: DataFrame, k: int) -> Tree:
+    """The tree of the points; ``k`` neighbours are wanted (0 if searches go by radius)."""
+    pivots = choose_pivots(points)
+    assigned = cut_lineage(assign(points, pivots))
+    top = cell_stats(assigned, pivots, k)
+    members = assigned.select("pid", "vec", "mult", F.col("cell").cast("string").alias("cell"))
+    if not len(top.count) or top.count.max() <= SPLIT:
+        return Tree(members, top, None)
+    nodes, done, level = None, None, 0
+    while True:
+        sizes = cut_lineage(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT))
+        if sizes.isEmpty():
+            break
+        level += 1
+        ready = members.join(sizes, "cell", "left_anti")
+        done = ready if done is None else done.unionByName(ready)
+        lower, below = _split(join_groups(members, sizes, ["cell"]), k, level)
+        members = lower
+        nodes = below if nodes is None else nodes.unionByName(below)
+    return Tree(cut_lineage(members if done is None else done.unionByName(members)), top, None if nodes is None else cut_lineage(nodes))
+
+
+def _split(crowded: DataFrame, k: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """The members (pid, vec, mult, cell, n) of crowded cells in cells of their own pivots, and these cells."""
+    want = F.greatest(F.lit(2), F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / ROWS_PER_PIVOT)))
+    h = F.xxhash64("vec", F.lit(42 + level))
+    share = (want + 5 * F.sqrt(want) + 10) / F.col("n")
+    drawn = crowded.withColumns({"_h": h, "_want": want}).where(F.pmod("_h", F.lit(1 << 52)) / float(1 << 52) < share)
+    seat = F.row_number().over(Window.partitionBy("cell").orderBy("_h", "pid"))
+    pivots = cut_lineage(drawn.withColumn("sub", seat).where("sub <= _want").select("cell", "n", "sub", F.col("vec").alias("pivot")))
+    step = 8 * CHUNK
+    parts = F.ceil(F.col("n") / step).cast("int")
+    left = crowded.withColumn("part", F.pmod(F.xxhash64("pid", F.lit(level)), parts)).select("cell", "part", "pid", "vec", "mult")
+    right = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", "part", "sub", "pivot")
+    left, right = _fresh(left), _fresh(right)
+    kinds = dict(crowded.dtypes)
+
+    def nearest(_key, m: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(m):
+            return pd.DataFrame()
+        y, subs = _matrix(p["pivot"]), p["sub"].to_numpy()
+        seats, far = [], []
+        for at in range(0, len(m), 2_000):
+            d = distances(_matrix(m["vec"].iloc[at : at + 2_000]), y)
+            best = d.argmin(axis=1)
+            seats.append(subs[best])
+            far.append(d[np.arange(len(d)), best])
+        out = m[["pid", "vec", "mult"]].copy()
+        out["parent"] = m["cell"]
+        out["sub"], out["to_pivot"] = np.concatenate(seats), np.concatenate(far)
+        return out
+
+    keys = ["cell", "part"]
+    schema = f"pid {kinds['pid']}, vec array<double>, mult long, parent string, sub int, to_pivot double"
+    placed = cut_lineage(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema))
+    q = F.percentile_approx("to_pivot", F.array(*[F.lit(i / 64) for i in range(1, 65)]), 1000)
+    stats = placed.groupBy("parent", "sub").agg(F.count(F.lit(1)).alias("n"), F.min("to_pivot").alias("low"), F.max("to_pivot").alias("high"), q.alias("q"))
+    need = F.lit(float(k + 1)) / F.col("n") + F.lit(2e-3)
+    within = F.when(need <= 1.0, F.element_at("q", F.least(F.lit(64), F.ceil(need * 64).cast("int") + 1)))
+    kth = F.coalesce(within, F.when(F.col("n") >= k + 1, F.col("high")), F.lit(math.inf)) if k else F.lit(math.inf)
+    path = F.concat_ws("/", "parent", "sub")
+    named = stats.join(pivots.select(F.col("cell").alias("parent"), "sub", "pivot"), ["parent", "sub"])
+    return placed.select("pid", "vec", "mult", path.alias("cell")), named.select("parent", path.alias("cell"), "pivot", "n", "low", "high", kth.alias("kth"))
+
+
+def _fresh(df: DataFrame) -> DataFrame:
+    """Fresh names: both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _reach(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least distance of a cell's members, a little less for rounding."""
+    return np.maximum(np.maximum(d - high, low - d) - 1e-9 * (1.0 + np.abs(d)), 0.0)
+
+
+def _routed(queries: DataFrame, tree: Tree, radius: float | None, chunk: int) -> DataFrame:
+    """Queries with ``cell``, once for each lowest cell that can hold a wanted neighbour."""
+    top, columns = tree.top, queries.columns
+
+    @F.pandas_udf("bound double, cells array<struct<cell:int,reach:double>>")
+    def first(vec: pd.Series) -> pd.DataFrame:
+        if not len(vec) or not len(top.count):
+            return pd.DataFrame({"bound": np.zeros(len(vec)), "cells": [[] for _ in vec]})
+        d = distances(_matrix(vec), top.pivots)
+        bound = np.full(len(d), radius) if radius is not None else (d + top.kth).min(axis=1)
+        reach = _reach(d, top.low, top.high)
+        near = (reach <= bound[:, None]) & (top.count > 0)
+        cells = [[{"cell": int(c), "reach": float(r[c])} for c in np.flatnonzero(n)] for r, n in zip(reach, near)]
+        return pd.DataFrame({"bound": bound, "cells": cells})
+
+    rows = queries.withColumn("_f", first("vec")).select(*columns, F.col("_f.bound").alias("bound"), F.explode("_f.cells").alias("_c"))
+    rows = cut_lineage(rows.select(*columns, "bound", F.col("_c.cell").cast("string").alias("cell"), F.col("_c.reach").alias("reach")))
+    if tree.nodes is None:
+        return rows.drop("bound", "reach")
+    parents = cut_lineage(tree.nodes.select(F.col("parent").alias("cell")).distinct())
+    kinds = dict(queries.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", bound double, cell string, reach double"
+
+    def down(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame()
+        pivots, paths = _matrix(c["pivot"]), c["cell"].to_numpy()
+        low, high, kth = (c[n].to_numpy() for n in ("low", "high", "kth"))
+        out = []
+        for at in range(0, len(q), 1_000):
+            part = q.iloc[at : at + 1_000]
+            d = distances(_matrix(part["vec"]), pivots)
+            bound = part["bound"].to_numpy()
+            if radius is None:
+                bound = np.minimum(bound, (d + kth).min(axis=1))
+            reach = _reach(d, low, high)
+            at_row, at_cell = np.nonzero(reach <= bound[:, None])
+            found = part[columns].iloc[at_row].copy()
+            found["bound"], found["cell"], found["reach"] = bound[at_row], paths[at_cell], reach[at_row, at_cell]
+            out.append(found)
+        return pd.concat(out)
+
+    while True:
+        inner = cut_lineage(rows.join(parents, "cell", "left_semi"))
+        if inner.isEmpty():
+            return rows.drop("bound", "reach")
+        load = inner.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+        load = cut_lineage(load)
+        left = join_groups(inner, load, ["cell"]).withColumn("part", F.pmod(F.xxhash64("qid", F.lit(5)), F.col("parts"))).select(*columns, "bound", F.col("cell").alias("_at"), "part")
+        right = tree.nodes.join(load.withColumnRenamed("cell", "parent"), "parent").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = right.select(F.col("parent").alias("_at"), "part", "cell", "pivot", "low", "high", "kth")
+        left, right = _fresh(left), _fresh(right)
+        lower = left.groupBy("_at", "part").cogroup(right.groupBy("_at", "part")).applyInPandas(down, schema)
+        rows = cut_lineage(rows.join(parents, "cell", "left_anti").select(*columns, "bound", "cell", "reach").unionByName(lower))
+        if radius is None:  # the best bound any cell gave holds for all
+            best = rows.groupBy("qid").agg(F.min("bound").alias("_best"))
+            rows = cut_lineage(rows.join(best, "qid").where("reach <= _best").select(*columns, F.col("_best").alias("bound"), "cell", "reach"))
+
+
+def tiles(queries: DataFrame, tree: Tree, radius: float | None, tile: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, chunk: int = CHUNK) -> DataFrame:
     """Applies ``tile(queries, members)`` to every (query chunk, member chunk) that can matter.
 
-    ``queries`` need qid, vec; ``members`` the assigned points.  Chunk numbers
-    come from hashes of the ids and from the cells' counts.
+    ``queries`` need qid, vec.  Chunk numbers come from hashes of the ids and
+    from the cells' counts.
     """
-    route = _routes(cells, radius, chunk)
-    spark = queries.sparkSession
-
-    @F.pandas_udf("array<int>")
-    def targets(vec: pd.Series) -> pd.Series:
-        return pd.Series([r.astype("int32").tolist() for r in route(_matrix(vec))] if len(vec) else [], dtype=object)
-
-    routed = cut_lineage(queries.withColumn("cell", F.explode(targets("vec"))))
-    load = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.createDataFrame(
-        [(int(c), max(1, math.ceil(cells.count[c] / chunk)), max(1, math.ceil(load.get(c, 0) / chunk))) for c in range(len(cells.count)) if cells.count[c]],
-        "cell int, m_chunks int, q_chunks int",
-    )
+    routed = cut_lineage(_routed(queries, tree, radius, chunk))
+    held = tree.members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("m_chunks"))
+    load = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("q_chunks"))
+    plan = cut_lineage(held.join(load, "cell"))
     salt = F.lit(7)
     left = (
-        routed.join(F.broadcast(plan), "cell")
+        join_groups(routed, plan, ["cell"])
         .withColumn("qc", F.pmod(F.xxhash64("qid", salt), F.col("q_chunks")).cast("int"))
         .withColumn("mc", F.explode(F.sequence(F.lit(0), F.col("m_chunks") - 1)))
         .drop("m_chunks", "q_chunks")
     )
     right = (
-        members.join(F.broadcast(plan), "cell")
+        join_groups(tree.members, plan, ["cell"])
         .withColumn("mc", F.pmod(F.xxhash64("pid", salt), F.col("m_chunks")).cast("int"))
         .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)))
         .drop("m_chunks", "q_chunks")
     )
-    # Both sides may come from one table: fresh names keep the cogroup unambiguous.
-    left = left.select(*[F.col(c).alias(c) for c in left.columns])
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    left, right = _fresh(left), _fresh(right)
     keys = ["cell", "mc", "qc"]
 
     def run(_key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
@@ -157,9 +277,7 @@ def nearest_points(queries: DataFrame, points: DataFrame, k: int, id_type: str)
     ``queries``: qid, vec, and ``own`` = the pid to leave out (null keeps all).
     Lists are cut where the running multiplicity reaches k; ties by pid.
     """
-    pivots = choose_pivots(points)
-    members = cut_lineage(assign(points, pivots))
-    cells = cell_stats(members, pivots, k)
+    tree = plant(points, k)
 
     def tile(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         x, y = _matrix(q["vec"]), _matrix(m["vec"])
@@ -183,7 +301,7 @@ def nearest_points(queries: DataFrame, points: DataFrame, k: int, id_type: str)
         return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "pid": pid[seats], "distance": dist, "mult": mult[seats]})
 
     qtype = dict(queries.dtypes)["qid"]
-    found = tiles(queries, members, cells, None, tile, f"qid {qtype}, pid {id_type}, distance double, mult long")
+    found = tiles(queries, tree, None, tile, f"qid {qtype}, pid {id_type}, distance double, mult long")
     order = Window.partitionBy("qid").orderBy("distance", "pid")
     before = F.coalesce(F.sum("mult").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = found.withColumn("_b", before).where(F.col("_b") < k)

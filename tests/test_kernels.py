@@ -201,6 +201,34 @@ def test_neighbours_exact_with_copies(spark, monkeypatch):
         assert list(zip(have["pid"], have["mult"])) == want
 
 
+def test_crowded_cells_are_split_level_by_level(spark, monkeypatch):
+    from gaugewell.operators.cluster import dbscan_points
+    from gaugewell.plans import neighbors as nb
+
+    rng = np.random.default_rng(13)
+    x = np.r_[rng.normal(size=(250, 3)), rng.normal(size=(250, 3)) * 0.01 + 4, rng.uniform(-9, 9, (60, 3))]
+    pdf = pd.DataFrame(x, columns=list("abc"))
+    pdf["id"] = np.arange(len(x))
+    points = points_of(spark.createDataFrame(pdf).repartition(5), "id", ["a", "b", "c"]).cache()
+    q = points.where("pid % 7 = 0").select(F.col("pid").alias("qid"), "vec", F.col("pid").alias("own"))
+    for split, each, most in ((8_000, 1_000, 1_000), (60, 10, 4)):
+        monkeypatch.setattr(nb, "SPLIT", split)
+        monkeypatch.setattr(nb, "ROWS_PER_PIVOT", each)
+        monkeypatch.setattr(nb, "MAX_PIVOTS", most)
+        tree = nb.plant(points, 5)
+        cells = tree.members.groupBy("cell").count().toPandas()
+        assert cells["count"].sum() == len(x) and cells["count"].max() <= split
+        assert split > 100 or cells["cell"].str.count("/").max() >= 2
+        got = nearest_points(q, points, 5, "bigint").toPandas()
+        for i in range(0, len(x), 7):
+            d = np.linalg.norm(x - x[i], axis=1)
+            d[i] = np.inf
+            assert got[got["qid"] == i].sort_values("distance")["pid"].tolist() == np.argsort(d)[:5].tolist()
+        found = dbscan_points(points, 0.6, 4, "bigint").toPandas().set_index("pid")
+        d = np.linalg.norm(x[:, None] - x, axis=2) <= 0.6
+        assert (found["core"].sort_index().to_numpy() == (d.sum(axis=1) >= 4)).all()
+
+
 def test_knn_skips_itself(spark):
     df = spark.createDataFrame([(i, float(i), 0.0) for i in range(20)], "id long, a double, b double")
     got = knn(df, "id", ["a", "b"], 2).where("key = 0").toPandas()
