@@ -74,9 +74,14 @@ def box_selection(load):
     return chartdata.span_selection(load("orders"), {"o_totalprice": (100000.0, 200000.0), "o_orderdate": (dt.datetime(1996, 1, 1), dt.datetime(1998, 12, 31))}).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("density_curve")
+_DENSITY = """with q as (select count(value)::double as n, min(value) as lo, max(value) as hi, stddev_samp(value) * pow(count(value), -0.2) as h from events),
+ b as (select floor((value - lo) / (h / 32)) as bin, count(*) as c, avg(value) as centre from events, q where value is not null group by 1),
+ g as (select i * ((hi - lo + 2 * h) / 99) + lo - h as x from range(100) t(i), q)"""
+
+
+@query("density_curve", f"{_DENSITY} select {r('x', 4)} as x, {r('sum(c * exp(-0.5 * pow((x - centre) / h, 2))) / any_value(n * h * sqrt(2 * pi()))', 8)} as density from g, b, q group by x")
 def density_curve(load):
-    return chartdata.density(load("events"), "value")
+    return chartdata.density(load("events"), "value").select(tidy(F.col("x"), 4).alias("x"), tidy(F.col("density"), 8).alias("density"))
 
 
 def _pair_sql(a, b, bins=50):

@@ -97,6 +97,15 @@ def sample_exact_rows(load):
     return readers.sample_rows(load("lineitem"), 5_000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
+@query("sample_exact_counts", "select least(5000, count(*))::bigint as n, least(5000, count(*))::bigint as known from lineitem")
+def sample_exact_counts(load):
+    """Rows of the sample, and those that are rows of the table."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    got = readers.sample_rows(load("lineitem"), 5_000, key).select(*key)
+    known = got.join(load("lineitem").select(*key).distinct(), key, "left_semi")
+    return got.agg(F.count(F.lit(1)).alias("n")).crossJoin(known.agg(F.count(F.lit(1)).alias("known")))
+
+
 @query("sample_fraction")
 def sample_fraction(load):
     return readers.sample_fraction(load("lineitem"), 0.1)

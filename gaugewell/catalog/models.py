@@ -253,7 +253,7 @@ def dbscan_embeddings(load):
 
 @query("hierarchical")
 def hierarchical(load):
-    return cluster.hierarchical(embedding_columns(load, 8), "vec_id", E8, 3)
+    return cluster.hierarchical(embedding_columns(load, 64), "vec_id", E64, 3)
 
 
 @query("clustering_run")
@@ -324,7 +324,7 @@ def anomaly_lof(load):
 
 @query("anomaly_elliptic_envelope")
 def anomaly_elliptic_envelope(load):
-    return anomaly.elliptic_envelope(embedding_columns(load, 4), ["vec_id"], ["e0", "e1", "e2", "e3"])
+    return anomaly.elliptic_envelope(embedding_columns(load, 64), ["vec_id"], E64)
 
 
 _NOISE = f"with t as ({embedding_sql(3)}), n as (select a.vec_id i, count(*) c from t a join t b on {distance_sql(3)} <= 0.08 group by 1), c as (select t.* from t join n on n.i = t.vec_id where c >= 5)"

@@ -242,6 +242,17 @@ def correlation_significance(load):
     return _rounded(correlate.significance(correlate.pearson(load("lineitem"), LINE)))
 
 
+def _t_sql(a, b):
+    c = f"corr({a}, {b})"
+    return f"select '{a}' as column_a, '{b}' as column_b, count(*)::bigint as n, {r(c)} as correlation, {r(f'{c} * sqrt((count(*) - 2) / (1 - {c} * {c}))', 4)} as t from lineitem"
+
+
+@query("correlation_t", " union all ".join(_t_sql(a, b) for i, a in enumerate(sorted(LINE)) for b in sorted(LINE)[i + 1 :]))
+def correlation_t(load):
+    out = correlate.significance(correlate.pearson(load("lineitem"), LINE))
+    return out.select("column_a", "column_b", F.col("n").cast("long").alias("n"), tidy(F.col("correlation"), 6).alias("correlation"), tidy(F.col("t"), 4).alias("t"))
+
+
 def _iqr_sql(c, table):
     return f"""select '{c}' as "column", count(*)::bigint as "count", sum(case when {c} < lo or {c} > hi then 1 else 0 end)::bigint as outlier_count,
     {r(f'100.0*sum(case when {c} < lo or {c} > hi then 1 else 0 end)/count(*)',5)} as outlier_percentage, {r('any_value(q1)',4)} as q1, {r('any_value(q3)',4)} as q3,

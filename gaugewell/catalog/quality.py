@@ -170,3 +170,15 @@ def issue_summary(load):
 @query("issue_filter", _ALL + " select rule, level, \"column\" from i where level = 'warning' and \"column\" = 'o_totalprice'")
 def issue_filter(load):
     return v.issues_for(_all_issues(load), "warning", "o_totalprice").select("rule", "level", "column")
+
+
+@query(
+    "column_names",
+    """with c as (select * from (values (0, 'n_nationkey'), (1, ' n_name'), (2, 'n_regionkey'), (3, 'n_regionkey'), (4, ' '), (5, 'rows_' || (select count(*) from nation))) t(position, name))
+    select position, name as "column", problem is null as ok, problem from (select *, case when trim(name) = '' then 'empty' when trim(name) <> name then 'surrounding blanks' when count(*) over (partition by name) > 1 then 'duplicate' end as problem from c)""",
+)
+def column_names(load):
+    """Names that a careless export of nation gives, the last one from its row count."""
+    nation = load("nation")
+    key, name, region = nation.columns[:3]
+    return v.column_name_issues([key, f" {name}", region, region, " ", f"rows_{nation.count()}"], nation.sparkSession)

@@ -166,9 +166,22 @@ def mahalanobis(load):
     return _rounded(d.select("vec_id", "distance_sq"), 5)
 
 
+_MARDIA = f"""with t as (select e0 as x, e1 as z from ({embedding_sql(2)})), c as (select count(*)::double as n, avg(x) as mx, avg(z) as mz, var_pop(x) as xx, var_pop(z) as zz, covar_pop(x, z) as xz from t),
+ w as (select x - mx as x, z - mz as z, xx, zz, xz, xx * zz - xz * xz as det, n from t, c),
+ g as (select pow((a.x * b.x * a.zz - (a.x * b.z + a.z * b.x) * a.xz + a.z * b.z * a.xx) / a.det, 3) as g from w a, w b),
+ k as (select avg(pow((x * x * zz - 2 * x * z * xz + z * z * xx) / det, 2)) as k, any_value(n) as n from w)"""
+
+
+@query("mardia_all_pairs", f"{_MARDIA} select 'skewness' as measure, n::bigint as n, {r('s', 5)} as value, {r('n * s / 6', 4)} as statistic from k, (select avg(g) as s from g) union all select 'kurtosis', n::bigint, {r('k', 5)}, {r('(k - 8) / sqrt(64 / n)', 4)} from k")
+def mardia_all_pairs(load):
+    """Two dimensions next to the n² pairs of the definition."""
+    out = multivar.mardia(embedding_columns(load, 2), ["e0", "e1"])
+    return out.select("measure", "n", tidy(F.col("value"), 5).alias("value"), tidy(F.col("statistic"), 4).alias("statistic"))
+
+
 @query("multivariate_normality")
 def multivariate_normality(load):
-    return multivar.mardia(embedding_columns(load, 5), [f"e{i}" for i in range(5)])
+    return multivar.mardia(embedding_columns(load, 64), [f"e{i}" for i in range(64)])
 
 
 @query(
@@ -203,6 +216,17 @@ def pca_covariance(load):
     return _rounded(table.drop("loadings"))
 
 
+_PC = f"""with t as (select vec_id, e0 as x, e1 as z from ({embedding_sql(2)})), c as (select avg(x) as mx, avg(z) as mz, var_samp(x) as xx, var_samp(z) as zz, covar_samp(x, z) as xz from t),
+ e as (select *, (xx + zz) / 2 + sqrt(pow((xx - zz) / 2, 2) + xz * xz) as top from c), v as (select mx, mz, xz / sqrt(xz * xz + pow(top - xx, 2)) as a, (top - xx) / sqrt(xz * xz + pow(top - xx, 2)) as b from e)"""
+
+
+@query("pca_score_sizes", f"{_PC} select vec_id, {r('abs((x - mx) * a + (z - mz) * b)', 5)} as pc1, {r('abs((z - mz) * a - (x - mx) * b)', 5)} as pc2 from t, v")
+def pca_score_sizes(load):
+    """Two dimensions, where the eigenvectors have a closed form; signs are free."""
+    out = multivar.pca_covariance(embedding_columns(load, 2), ["e0", "e1"])[1]
+    return out.select("vec_id", tidy(F.abs("pc1"), 5).alias("pc1"), tidy(F.abs("pc2"), 5).alias("pc2"))
+
+
 @query("pca_scores")
 def pca_scores(load):
-    return multivar.pca_covariance(embedding_columns(load, 8), [f"e{i}" for i in range(8)])[1].select("vec_id", "pc1", "pc2")
+    return multivar.pca_covariance(embedding_columns(load, 64), [f"e{i}" for i in range(64)])[1].select("vec_id", "pc1", "pc2")

@@ -121,7 +121,7 @@ def pca_wide(load):
 
 @query("factor_analysis")
 def factor_analysis(load):
-    return red.factor_analysis(embedding_columns(load, 8), E8, 2)[0]
+    return red.factor_analysis(embedding_columns(load, 64), E64, 2)[0]
 
 
 @query(
@@ -140,7 +140,7 @@ def fast_ica(load):
 
 @query("mds")
 def mds(load):
-    return red.mds(embedding_columns(load, 8), ["vec_id"], E8)
+    return red.mds(embedding_columns(load, 64), ["vec_id"], E64)
 
 
 @query("isomap")

@@ -221,6 +221,34 @@ def kendall_test(load):
     return h.kendall_test(load("lineitem"), "l_quantity", "l_extendedprice")
 
 
+_KENDALL = """with t as (select p_size as x, p_retailprice as y, row_number() over () as i from part), c as (select count(*)::double as n, count(*) * (count(*) - 1) / 2.0 as pairs from t),
+ s as (select sum(sign((a.x - b.x) * (a.y - b.y)))::double as s from t a join t b on a.i < b.i),
+ u as (select sum(k * (k - 1)) as a, sum(k * (k - 1) * (k - 2)) as b, sum(k * (k - 1) * (2 * k + 5)) as v from (select count(*)::double as k from t group by x)),
+ w as (select sum(k * (k - 1)) as a, sum(k * (k - 1) * (k - 2)) as b, sum(k * (k - 1) * (2 * k + 5)) as v from (select count(*)::double as k from t group by y)),
+ v as (select (n * (n - 1) * (2 * n + 5) - u.v - w.v) / 18 + u.a * w.a / (2 * n * (n - 1)) + u.b * w.b / (9 * n * (n - 1) * (n - 2)) as var from c, u, w)"""
+
+
+@query("kendall_all_pairs", f"{_KENDALL} select n::bigint as n, {r('s / (sqrt(pairs - u.a / 2) * sqrt(pairs - w.a / 2))')} as statistic, {r('s / sqrt(var)', 5)} as z from c, s, u, w, v")
+def kendall_all_pairs(load):
+    """The test's statistic next to a count over all pairs."""
+    out = h.kendall_test(load("part"), "p_size", "p_retailprice")
+    return out.select("n", tidy(F.col("statistic"), 6).alias("statistic"), tidy(F.col("z"), 5).alias("z"))
+
+
+_FISHER = """with t as (select count(*) filter (where p and q) as a, count(*) filter (where p and not q) as b, count(*) filter (where q and not p) as c, count(*) filter (where not p and not q) as d
+   from (select c_acctbal > 9000 as p, c_mktsegment = 'BUILDING' as q from customer)),
+ m as (select *, a + b as r1, c + d as r2, a + c as c1, a + b + c + d as n from t),
+ k as (select unnest(range(greatest(0, c1 - r2), least(r1, c1) + 1)) as x, * from m),
+ l as (select x, a, lgamma(r1 + 1) + lgamma(r2 + 1) + lgamma(c1 + 1) + lgamma(n - c1 + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(r1 - x + 1) - lgamma(c1 - x + 1) - lgamma(r2 - c1 + x + 1) as lp from k),
+ o as (select lp as seen from l where x = a)"""
+
+
+@query("fisher_exact_small", f"{_FISHER} select a, b, c, d, {r('a * d / (b * c)::double')} as statistic, {r('(select sum(exp(lp)) from l, o where lp <= seen + 1e-7)')} as p_value from t")
+def fisher_exact_small(load):
+    out = h.fisher_exact(load("customer"), F.col("c_acctbal") > 9000, F.col("c_mktsegment") == "BUILDING")
+    return out.select("a", "b", "c", "d", tidy(F.col("statistic"), 6).alias("statistic"), tidy(F.col("p_value"), 6).alias("p_value"))
+
+
 @query("adjusted_p_values")
 def adjusted_p_values(load):
     tests = h.t_test_one_sample(load("events"), "value", 10.0, by=["user_id"])

@@ -143,9 +143,14 @@ def seasonality_daily(load):
     return _rounded(ts.seasonality_flags(daily(load)).select("lag", "autocorrelation", "is_seasonal"))
 
 
-@query("seasonal_period")
+_PERIOD = f"""with {DAILY}, l as (select unnest(range(2, least(least(365, any_value(n) // 2) + 1, any_value(n) // 2)))::int as lag from s),
+ c as (select lag, abs(corr(a.value, b.value)) as size from l, s a join s b on true where b.idx = a.idx - lag group by lag),
+ w as (select arg_max(lag, size) as lag, max(size) as size from c)"""
+
+
+@query("seasonal_period", f"{_PERIOD} select 'total' as series, (select any_value(n) from s)::bigint as n, case when size > 0.3 then lag end as period, {r('size')} as strength from w")
 def seasonal_period(load):
-    return ts.seasonal_period(daily(load))
+    return _rounded(ts.seasonal_period(daily(load)))
 
 
 _ACF = "select {k}::integer as lag, sum(e * l)/any_value(g0) as acf from (select e, lag(e, {k}) over (order by idx) l, sum(e*e) over () g0 from (select idx, value - mean as e from s))"

@@ -15,7 +15,7 @@ from gaugewell.plans.ordering import with_position
 
 BINS = 30
 POINT_LIMIT = 10_000
-FINE_BINS = 4_096
+FINE_PER_WIDTH = 32  # bins of a kernel width
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = BINS) -> DataFrame:
@@ -111,15 +111,20 @@ def span_selection(df: DataFrame, bounds: Mapping[str, tuple]) -> DataFrame:
     return out
 
 
-def density(df: DataFrame, column: str, points: int = 100, bins: int = FINE_BINS) -> DataFrame:
-    """Gaussian kernel density on a grid, summed over fine bins instead of rows (Scott's bandwidth)."""
+def density(df: DataFrame, column: str, points: int = 100, per_width: int = FINE_PER_WIDTH) -> DataFrame:
+    """Gaussian kernel density on a grid (Scott's bandwidth), summed over fine bins instead of rows.
+
+    Bins are a fixed part of the kernel's width, however far single values lie
+    apart, and stand at their rows' mean; empty ones do not exist.
+    """
     x = num(column)
     n, lo, hi, dev = df.agg(F.count(x), F.min(x), F.max(x), F.stddev_samp(x)).first()
     spark = df.sparkSession
     if not n or not dev:
         return spark.createDataFrame([], "x double, density double")
     h = dev * n ** (-0.2)
-    counts = df.where(x.isNotNull()).groupBy(_bin(x, lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.avg(x).alias("centre"))
+    place = F.floor((x - F.lit(lo)) / F.lit(h / per_width))
+    counts = df.where(x.isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.avg(x).alias("centre"))
     step = (hi - lo + 2 * h) / (points - 1)
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i * F.lit(step) + F.lit(lo - h))
     z = (F.col("x") - F.col("centre")) / F.lit(h)

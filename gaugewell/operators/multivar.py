@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,21 +24,35 @@ def mahalanobis(df: DataFrame, columns: Sequence[str], m: Moments | None = None,
 
 
 def mardia(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mardia's skewness and kurtosis; skewness by p³ third moments instead of n² pairs."""
+    """Mardia's skewness and kurtosis; skewness by p³ third moments instead of n² pairs.
+
+    Tasks sum the moments of their rows as matrix products; the sums are added
+    up one slice of p² moments at a time, in two steps.
+    """
     rows = complete(df, columns)
     m = moments(rows, columns)
     p, n = len(columns), m.n
     values, vectors = np.linalg.eigh(m.cov_pop)
-    white = vectors / np.sqrt(values)
-    z = [linear_form(columns, white[:, i], -float(m.mean @ white[:, i])).alias(f"z{i}") for i in range(p)]
-    triples = list(combinations_with_replacement(range(p), 3))
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)), F.lit(0.0))
-    got = rows.select(*z).agg(*[F.avg(F.col(f"z{i}") * F.col(f"z{j}") * F.col(f"z{k}")) for i, j, k in triples], F.avg(d2 * d2)).first()
-    skew = 0.0
-    for t, v in zip(triples, got):
-        repeats = math.factorial(3) / math.prod(math.factorial(t.count(i)) for i in set(t))
-        skew += repeats * v * v
-    kurt = got[len(triples)]
+    white, mean = vectors / np.sqrt(values), np.asarray(m.mean)
+
+    def sums(batches):
+        third, fourth = np.zeros((p, p * p)), 0.0
+        for pdf in batches:
+            z = (pdf.to_numpy(dtype=float) - mean) @ white
+            for at in range(0, len(z), 1_000):
+                part = z[at : at + 1_000]
+                third += part.T @ (part[:, :, None] * part[:, None, :]).reshape(len(part), p * p)
+            fourth += float(((z**2).sum(axis=1) ** 2).sum())
+        yield pd.DataFrame({"i": range(p), "v": list(third), "k": [fourth] + [0.0] * (p - 1)})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"].iloc[:1].to_numpy(), "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)], "k": [pdf["k"].sum()]})
+
+    schema = "i int, v array<double>, k double"
+    parts = rows.select(*[num(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInPandas(sums, schema)
+    some = parts.groupBy("i", F.pmod(F.spark_partition_id(), F.lit(32))).applyInPandas(added, schema)
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / n) * (x / n))
+    skew, kurt = some.groupBy("i").applyInPandas(added, schema).agg(F.sum(square), F.sum("k") / n).first()
     dof = p * (p + 1) * (p + 2) / 6
     s_stat = n * skew / 6
     k_stat = (kurt - p * (p + 2)) / math.sqrt(8 * p * (p + 2) / n)

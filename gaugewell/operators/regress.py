@@ -287,8 +287,14 @@ def diagnostics(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
 
 
 def quadratic_form(columns: Sequence[str], centre: Sequence[float], matrix: np.ndarray) -> Column:
-    """(x − c)' M (x − c) as a column."""
+    """(x − c)' M (x − c) as a column; with many columns over arrays, so that the expression stays small."""
     d = [num(c) - F.lit(float(a)) for c, a in zip(columns, centre)]
+    if len(d) > 8:
+        row = lambda i: F.array(*[F.lit(float(v)) for v in matrix[i]])
+        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+        lines = F.array(*[row(i) for i in range(len(d))])
+        whole = F.transform(F.array(F.array(*d)), lambda x: dot(x, F.transform(lines, lambda line: dot(line, x))))
+        return whole[0]
     total = F.lit(0.0)
     for i in range(len(d)):
         for j in range(i, len(d)):
