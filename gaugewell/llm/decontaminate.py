@@ -82,6 +82,10 @@ def window_hashes(words: np.ndarray, positions: list[int], number: int) -> np.nd
     return total * MIX
 
 
+#: Windows of a text times places of the benchmark with one hash: beyond this they are taken as stretches.
+OFTEN = 256
+
+
 class Block:
     """Hashes and words of one part of the benchmark; travels as a broadcast."""
 
@@ -109,9 +113,9 @@ class Block:
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[self.hashes >> np.uint64(64 - BITMAP_BITS)] = True
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, offset of the item's first word in ``words``), each once."""
-        found = set()
+    def hits(self, words: np.ndarray) -> tuple[list[tuple[int, int]], set[tuple[int, int, int, int]]]:
+        """(item, offset of the item's first word in ``words``), each once, and for windows that often repeat (item, first offset, step, count)."""
+        found, ranges = set(), set()
         for k, positions in enumerate(self.masks):
             h = window_hashes(words, positions, k)
             at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - BITMAP_BITS)])
@@ -119,9 +123,41 @@ class Block:
                 continue
             low = np.searchsorted(self.hashes, h[at], "left")
             high = np.searchsorted(self.hashes, h[at], "right")
-            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+            at, low, high = at[high > low], low[high > low], high[high > low]
+            first, one, times = np.unique(low, return_index=True, return_counts=True)
+            often = first[times * (high[one] - first) > OFTEN]
+            many = np.isin(low, often)
+            for p, a, b in zip(at[~many].tolist(), low[~many].tolist(), high[~many].tolist()):
                 found.update(zip(self.item[a:b].tolist(), (p - self.place[a:b]).tolist()))
-        return sorted(found, key=lambda x: (x[1], x[0]))
+            for a in often.tolist():
+                here = at[low == a]
+                b = int(high[low == a][0])
+                for item in np.unique(self.item[a:b]).tolist():
+                    ranges |= {(item, *r) for r in offset_ranges(here, np.sort(self.place[a:b][self.item[a:b] == item]))}
+        return sorted(found, key=lambda x: (x[1], x[0])), ranges
+
+
+def progressions(places: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, step, count): sorted places as stretches of equal distances; neighbouring stretches share an end."""
+    if len(places) == 1:
+        return [(int(places[0]), 1, 1)]
+    gaps = np.diff(places.astype(np.int64))
+    cuts = np.concatenate(([0], np.flatnonzero(gaps[1:] != gaps[:-1]) + 1, [len(gaps)]))
+    return [(int(places[a]), int(gaps[a]), int(b - a + 1)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def offset_ranges(text: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(first, step, count): all differences of a place in the text and one in the item, as stretches."""
+    parts = progressions(item)
+    for p, p_step, p_count in progressions(text):
+        for q, q_step, q_count in parts:
+            if p_count == 1 or q_count == 1 or p_step == q_step:
+                step = p_step if p_count > 1 else q_step
+                yield p - q - step * (q_count - 1), step, p_count + q_count - 1
+            elif p_count <= q_count:
+                yield from ((p + p_step * i - q - q_step * (q_count - 1), q_step, q_count) for i in range(p_count))
+            else:
+                yield from ((p - q - q_step * j, p_step, p_count) for j in range(q_count))
 
 
 def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
@@ -159,12 +195,12 @@ def overlaps(block: Block, texts: list[str], min_words: int, share: float) -> It
             at += 1
         words = np.concatenate(parts)
         ends = np.cumsum(lengths)
-        seen = set()
-        for item, offset in block.hits(words):
+        seen, breaks = set(), {}
+
+        def verified(item: int, offset: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+            """What is new; a window may lie over two texts, each part is compared inside its own."""
             wanted = block.words[item]
-            # a window may lie over two texts: each part is compared inside its own
-            near = max(offset, 0)
-            doc = int(np.searchsorted(ends, near, "right"))
+            doc = int(np.searchsorted(ends, max(offset, 0), "right"))
             while doc < len(lengths) and ends[doc] - lengths[doc] < offset + len(wanted):
                 a, b = max(offset, ends[doc] - lengths[doc]), min(offset + len(wanted), ends[doc])
                 if b > a:
@@ -176,6 +212,32 @@ def overlaps(block: Block, texts: list[str], min_words: int, share: float) -> It
                         yield first + doc, item, int(a + x - (ends[doc] - lengths[doc])), y - x, int(equal[x:y].sum()), int(a + x - offset)
                 doc += 1
 
+        def repeats(item: int, offset: int, step: int) -> int:
+            """How many further steps show the same words of the same text."""
+            length = len(block.words[item])
+            doc = int(np.searchsorted(ends, max(offset, 0), "right"))
+            if offset < 0 or doc == len(lengths) or offset < ends[doc] - lengths[doc] or offset + length > ends[doc]:
+                return 0
+            if step not in breaks:
+                breaks[step] = np.flatnonzero(words[:-step] != words[step:])
+            k = int(np.searchsorted(breaks[step], offset))
+            end = min(int(breaks[step][k]) if k < len(breaks[step]) else len(words), int(ends[doc]) - step)
+            return max(0, (end - offset - length) // step + 1)
+
+        found, ranges = block.hits(words)
+        for item, offset in found:
+            yield from verified(item, offset)
+        for item, offset, step, count in sorted(ranges, key=lambda r: (r[1], r[0])):
+            i = 0
+            while i < count:
+                place = offset + i * step
+                got = list(verified(item, place))
+                yield from got
+                same = repeats(item, place, step)
+                covered = -(-max((g[3] for g in got), default=0) // step)
+                # the same words again: nothing new to compare, but a stretch that overlaps goes on behind itself
+                i += max(1, min(covered, same)) if got else same + 1
+
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...], block_words: int, share: float = SIMILARITY) -> Iterator[Block]:
     """The benchmark's words in blocks of about ``block_words`` at most."""
@@ -209,7 +271,8 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     overlap has at least ``min_words`` words (all words of a shorter item) and
     ``similarity`` of them equal, none inserted or left out.  Null or empty texts
     overlap with nothing; null ids are passed on; repeated rows and items are
-    reported repeated and once; other columns are ignored.
+    reported repeated and once; other columns are ignored.  Where text and item repeat the same words over and over,
+    overlaps that only shift along them come once per stretch.
     """
     spark = df.sparkSession
     kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()

@@ -111,3 +111,32 @@ def test_overlaps_the_old_masks_missed(spark):
     rows = [(n, doc(changed(t, places[n]))) for n, t in items]
     found = find_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"], r["words"], r["equal_words"]) for r in found) == [(n, n, n, n - len(places[n])) for n in (9, 10, 11, 15)]
+
+
+def test_repeated_words_are_taken_as_stretches():
+    import itertools
+    import random
+    import time
+
+    import numpy as np
+
+    from gaugewell.llm import decontaminate as dc
+
+    items = [("one", 0, dc.word_hashes("la " * 200).tobytes()), ("two", 0, dc.word_hashes("la da " * 40).tobytes()), ("few", 0, dc.word_hashes("la " * 12 + "x y z u v w " * 4).tobytes())]
+    block = dc.Block(items, dc.MASKS)
+    texts = ["la " * 1_000_000, "start " + "la da " * 3_000 + "end", "la " * 150 + "other words " + "la " * 300]
+    began = time.time()
+    got = list(dc.overlaps(block, texts, 13, 0.8))
+    assert time.time() - began < 30 and len(got) < 40_000
+    for text, item in ((0, 0), (1, 1), (2, 0)):
+        covered = np.zeros(len(texts[text].split()), bool)
+        for t, i, start, words, _, _ in got:
+            if (t, i) == (text, item):
+                covered[start : start + words] = True
+        assert covered.mean() > 0.9
+    # every offset is in some stretch, and none else
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = (np.array(sorted(rng.sample(range(40), rng.randint(1, 12)))) for _ in range(2))
+        offsets = {first + i * step for first, step, count in dc.offset_ranges(a, b) for i in range(count)}
+        assert offsets == {int(p - q) for p, q in itertools.product(a, b)}
