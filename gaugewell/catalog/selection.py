@@ -58,6 +58,24 @@ def mutual_information(load):
     return _rounded(select.mutual_information(embedding_columns(load, 4, True), "label", ["e0", "e1", "e2", "e3"], k=2))
 
 
+@query(
+    "knn_information",
+    f"""with x as (select vec_id, label, 'e' || i as feature, embedding[i + 1]::double as v from embeddings, range(64) t(i) where label is not null),
+      c as (select *, count(*) over (partition by feature, label) n from x),
+      near as (select a.feature, a.vec_id, a.v, a.n, list_sort(list(abs(a.v - b.v)))[least(3, a.n - 1)] as d
+        from c a join c b on a.feature = b.feature and a.label = b.label and a.vec_id <> b.vec_id group by a.feature, a.vec_id, a.v, a.n),
+      m as (select near.feature, near.vec_id, near.n, count(*) m from near join c on c.feature = near.feature and c.n > 1 and (abs(c.v - near.v) < near.d or c.v = near.v) group by near.feature, near.vec_id, near.n),
+      h as (select i, sum(case when i > 1 then 1::double / (i - 1) else 0 end) over (order by i) - 0.5772156649015329 as p from range(1, 1000001) t(i)),
+      s as (select feature, greatest(0, any_value(all_rows.p) + avg(hk.p) - avg(hn.p) - avg(hm.p)) as score
+        from m join h hm on hm.i = m.m join h hn on hn.i = m.n join h hk on hk.i = least(3, m.n - 1)
+        join h all_rows on all_rows.i = (select count(*) from c where n > 1 and feature = 'e0') group by feature),
+      k as (select *, row_number() over (order by score desc, feature) rk from s)
+      select feature, {r('score')} as score, rk::integer as "rank", rk <= 5 as selected from k""",
+)
+def knn_information(load):
+    return _rounded(select.knn_information(embedding_columns(load, 64, True), "label", E64, k=5))
+
+
 def _chi(c):
     return f"select '{c}' as feature, sum(s*s/nn)*sum(nn)/sum(s)-sum(s) as score from (select count(*)::double nn, sum({c}-lo+1e-6) s from t, (select min({c}) lo from t) group by label)"
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from gaugewell.functions import tails
 from gaugewell.functions.columns import correlation, impute_mean, melt, num, numeric_columns, nz, quoted, unfold
 from gaugewell.operators.hypothesis import anova
+from gaugewell.plans.joins import join_groups
 from gaugewell.plans.moments import moments
+from gaugewell.plans.ordering import halo_blocks, halo_window, running, with_position
 from gaugewell.plans.quantiles import wide_quantiles
-from gaugewell.session import held
+from gaugewell.session import cut_lineage, held
 
 CLASS_LIMIT = 10
 
@@ -69,7 +71,7 @@ def quantile_bin(c: str, edges: Sequence[float]) -> Column:
 
 
 def mutual_information(df: DataFrame, target: str, features: Sequence[str] | None = None, k: int = 10, bins: int = 10, task: str = "auto") -> DataFrame:
-    """Binned estimator Σ p log(p / (p_x p_y)) with quantile bins (a documented stand-in for kNN estimators)."""
+    """Binned estimator Σ p log(p / (p_x p_y)) with quantile bins (see ``knn_information`` for neighbours)."""
     cols = features_of(df, target, features)
     rows = impute_mean(df, cols).where(quoted(target).isNotNull())
     classes = is_classification(rows, target) if task == "auto" else task == "classification"
@@ -86,6 +88,48 @@ def mutual_information(df: DataFrame, target: str, features: Sequence[str] | Non
     return _ranked(tables.groupBy("feature").agg(F.greatest(F.sum(gain), F.lit(0.0)).alias("score")), k)
 
 
+def digamma(n: Column) -> Column:
+    """ψ of a positive number: ten steps up, then the asymptotic series."""
+    z = n.cast("double") + 10.0
+    q = 1.0 / (z * z)
+    return F.log(z) - 0.5 / z - q * (1 / 12.0 - q * (1 / 120.0 - q * (1 / 252.0 - q / 240.0))) - sum((1.0 / (n + F.lit(float(j))) for j in range(10)), F.lit(0.0))
+
+
+def knn_information(df: DataFrame, target: str, features: Sequence[str] | None = None, k: int = 10, neighbors: int = 3) -> DataFrame:
+    """Nearest-neighbour mutual information of numbers with a class target (Ross 2014), features side by side.
+
+    A row's radius is the distance to its ``neighbors``-th nearest value within
+    its class (the class's last one if it is smaller); rows of any class strictly
+    inside it are counted, and at radius zero the copies.  Classes of one row and
+    rows without a class are left out.  Values are ordered by the order kernel,
+    so neither a class nor a feature is gathered in a task.
+    """
+    cols = features_of(df, target, features)
+    rows = impute_mean(df, cols).where(quoted(target).isNotNull()).withColumn("_y", quoted(target).cast("string"))
+    sizes = rows.groupBy("_y").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    long = melt(join_groups(rows, sizes, ["_y"]), cols, keep=["_y", "_n"], name="feature", value="v")
+    series = ["feature", "_y"]
+    placed = halo_blocks(with_position(long, ["v"], series), "idx", neighbors, neighbors)
+    w = halo_window(series)
+    gaps = [F.col("v") - F.lag("v", j).over(w) for j in range(1, neighbors + 1)] + [F.lead("v", j).over(w) - F.col("v") for j in range(1, neighbors + 1)]
+    k_own = F.least(F.lit(neighbors), F.col("_n") - 1).cast("int")
+    near = placed.withColumn("_gaps", F.array(*gaps)).where("_core").withColumn("_k", k_own)
+    radius = F.element_at(F.array_sort(F.filter("_gaps", lambda g: g.isNotNull())), F.col("_k"))
+    points = cut_lineage(near.select(*series, "idx", "v", "_n", "_k", radius.alias("r")))
+
+    # Values and both ends of every radius in one order: 0 before the values equal to it, 2 after them.
+    inside = F.col("r") > 0
+    event = lambda at, rank, sign: F.struct(at.alias("at"), rank.cast("int").alias("rank"), F.lit(sign).alias("sign"))
+    low = event(F.col("v") - F.col("r"), F.when(inside, 2).otherwise(0), -1)
+    high = event(F.col("v") + F.col("r"), F.when(inside, 0).otherwise(2), 1)
+    events = points.select(*series, "idx", "_n", "_k", F.inline(F.array(event(F.col("v"), F.lit(1), 0), low, high)))
+    counted = running(events, ["at", "rank"], ["feature"], sums={"seen": (F.col("rank") == 1).cast("long")})
+    ends = counted.where("sign <> 0").groupBy(*series, "idx").agg(F.sum(F.col("seen") * F.col("sign")).alias("m"), F.first("_n").alias("_n"), F.first("_k").alias("_k"))
+    means = ends.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.avg(digamma(F.col(c))).alias(f"p{c}") for c in ("_k", "_n", "m")])
+    gain = digamma(F.col("n")) + F.col("p_k") - F.col("p_n") - F.col("pm")
+    return _ranked(means.select("feature", F.greatest(gain, F.lit(0.0)).alias("score")), k)
+
+
 def chi_square_score(df: DataFrame, target: str, features: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """Class sums of the columns shifted above zero against their expected share."""
     cols = features_of(df, target, features)
