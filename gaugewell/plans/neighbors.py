@@ -178,22 +178,27 @@ def _reach(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum(d - high, low - d) - 1e-9 * (1.0 + np.abs(d)), 0.0)
 
 
-def _routed(queries: DataFrame, tree: Tree, radius: float | None, chunk: int) -> DataFrame:
-    """Queries with ``cell``, once for each lowest cell that can hold a wanted neighbour."""
+def _routed(queries: DataFrame, tree: Tree, radius: float | str | None, chunk: int) -> DataFrame:
+    """Queries with ``cell``, once for each lowest cell that can hold a wanted neighbour.
+
+    ``radius`` is a distance, a column of distances, or nothing if the wanted
+    number of neighbours bounds the search.
+    """
     top, columns = tree.top, queries.columns
+    limit = F.col(radius) if isinstance(radius, str) else F.lit(radius).cast("double")
 
     @F.pandas_udf("bound double, cells array<struct<cell:int,reach:double>>")
-    def first(vec: pd.Series) -> pd.DataFrame:
+    def first(vec: pd.Series, limit: pd.Series) -> pd.DataFrame:
         if not len(vec) or not len(top.count):
             return pd.DataFrame({"bound": np.zeros(len(vec)), "cells": [[] for _ in vec]})
         d = distances(_matrix(vec), top.pivots)
-        bound = np.full(len(d), radius) if radius is not None else (d + top.kth).min(axis=1)
+        bound = limit.to_numpy(dtype=float) if radius is not None else (d + top.kth).min(axis=1)
         reach = _reach(d, top.low, top.high)
         near = (reach <= bound[:, None]) & (top.count > 0)
         cells = [[{"cell": int(c), "reach": float(r[c])} for c in np.flatnonzero(n)] for r, n in zip(reach, near)]
         return pd.DataFrame({"bound": bound, "cells": cells})
 
-    rows = queries.withColumn("_f", first("vec")).select(*columns, F.col("_f.bound").alias("bound"), F.explode("_f.cells").alias("_c"))
+    rows = queries.withColumn("_f", first("vec", limit)).select(*columns, F.col("_f.bound").alias("bound"), F.explode("_f.cells").alias("_c"))
     rows = cut_lineage(rows.select(*columns, "bound", F.col("_c.cell").cast("string").alias("cell"), F.col("_c.reach").alias("reach")))
     if tree.nodes is None:
         return rows.drop("bound", "reach")
@@ -237,7 +242,7 @@ def _routed(queries: DataFrame, tree: Tree, radius: float | None, chunk: int) ->
             rows = cut_lineage(rows.join(best, "qid").where("reach <= _best").select(*columns, F.col("_best").alias("bound"), "cell", "reach"))
 
 
-def tiles(queries: DataFrame, tree: Tree, radius: float | None, tile: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, chunk: int = CHUNK) -> DataFrame:
+def tiles(queries: DataFrame, tree: Tree, radius: float | str | None, tile: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, chunk: int = CHUNK) -> DataFrame:
     """Applies ``tile(queries, members)`` to every (query chunk, member chunk) that can matter.
 
     ``queries`` need qid, vec.  Chunk numbers come from hashes of the ids and
