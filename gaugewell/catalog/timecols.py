@@ -26,16 +26,8 @@ _MIXED = """with m as (select o_orderkey::varchar as o_orderkey, strftime(o_orde
   strftime(o_orderdate, '%m/%d/%Y') as us_day, o_orderpriority from orders),
  l as (select * from m unpivot include nulls (v for col in (o_orderkey, created_at, tagtime, birth_date, epoch, us_day, o_orderpriority)))"""
 
-_PATTERNS = [
-    ("iso_datetime", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?", "%Y-%m-%dT%H:%M:%S", 0.95, None),
-    ("standard_datetime", r"^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?", "%Y-%m-%d %H:%M:%S", 0.90, None),
-    ("date_only", r"^\d{4}-\d{2}-\d{2}", "%Y-%m-%d", 0.85, None),
-    ("timestamp_unix", r"^\d{10}$", "timestamp", 0.80, 4102444800),
-    ("timestamp_ms", r"^\d{13}$", "timestamp_ms", 0.80, 4102444800000),
-    ("custom", r"^\d{2}/\d{2}/\d{4}", "%m/%d/%Y", 0.75, None),
-    ("custom", r"^\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}:\d{2}", "%m/%d/%Y %H:%M:%S", 0.80, None),
-    ("custom", r"^\d{4}/\d{2}/\d{2}", "%Y/%m/%d", 0.75, None),
-]
+# Unix times also match as whole numbers up to these values.
+_TOPS = {"timestamp_unix": t.LAST_SECOND, "timestamp_ms": 1000 * t.LAST_SECOND}
 
 
 def _hit(regex, top):
@@ -44,8 +36,8 @@ def _hit(regex, top):
 
 
 _SCORES = _MIXED + ", s as (" + " union all ".join(
-    f"select col, {i} as no, '{kind}' as pattern, '{fmt}' as format, 1.0*count(case when v is not null and trim(v) <> '' and {_hit(regex, top)} then 1 end)/count(v) as ratio, {w} as weight from l group by col"
-    for i, (kind, regex, fmt, w, top) in enumerate(_PATTERNS)
+    f"select col, {i} as no, '{kind}' as pattern, '{fmt}' as format, 1.0*count(case when v is not null and trim(v) <> '' and {_hit('^' + regex, _TOPS.get(kind))} then 1 end)/count(v) as ratio, {w} as weight from l group by col"
+    for i, (kind, regex, fmt, w) in enumerate(t.VALUE_PATTERNS)
 ) + ")"
 
 

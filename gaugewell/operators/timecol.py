@@ -31,6 +31,8 @@ VALUE_PATTERNS = (
     ("custom", r"\d{4}/\d{2}/\d{2}", "%Y/%m/%d", 0.75),
 )
 LAST_SECOND = 4102444800  # 2100-01-01
+
+# Names, and formats in order of preference, of the preview detector.
 PREVIEW_NAMES = ("datetime", "timestamp", "time", "date", "tagtime")
 PREVIEW_FORMATS = (
     ("%Y-%m-%d %H:%M:%S", "yyyy-M-d H:m:s"),
@@ -41,6 +43,10 @@ PREVIEW_FORMATS = (
     ("%d-%m-%Y", "d-M-yyyy"),
     ("%m-%d-%Y", "M-d-yyyy"),
 )
+
+# Words in column names, and the passing score, of the quick detector.
+QUICK_TAGTIME = ("tagtime", "tag_time")
+QUICK_TIME = ("time", "date", "timestamp", "created", "updated", "modified")
 PASS_SCORE = 0.6
 
 
@@ -255,9 +261,9 @@ def quick_detect(df: DataFrame, sample_size: int | None = None, order: Sequence[
     rows = []
     for c in names:
         low = c.lower()
-        if "tagtime" in low or "tag_time" in low:
+        if any(k in low for k in QUICK_TAGTIME):
             rows.append((c, 0.8, "tagtime"))
-        elif any(k in low for k in ("time", "date", "timestamp", "created", "updated", "modified")):
+        elif any(k in low for k in QUICK_TIME):
             rows.append((c, 0.6, "datetime"))
         else:
             rows.append((c, 0.0, "unknown"))
