@@ -1,8 +1,11 @@
 """Work that must grow no faster than the rows."""
 
+import re
+
 import numpy as np
 import pandas as pd
 
+from gaugewell.catalog.shared import document_features
 from gaugewell.operators import clean
 from gaugewell.plans.ordering import running
 
@@ -32,3 +35,17 @@ def test_values_ahead_use_no_frame_computed_anew_for_every_row(spark):
         want = (want.reindex(ordered.index)[::-1].groupby(ordered["k"][::-1]).ffill() if keys else want.reindex(ordered.index)[::-1].ffill()).reindex(pdf.index)
         got = least.toPandas().set_index("id")["m"].astype(float).reindex(pdf["id"])
         np.testing.assert_allclose(got, want)
+
+
+def test_document_features_read_the_texts_once(spark, tmp_path):
+    texts = ["A1 b22\n\nC", "  lead AB\tÄÖ 3٣", "none", "\n", "X9" * 50, "tail \n"]
+    docs = [(i, t, len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels")
+    got = document_features(lambda table: spark.read.parquet(f"{tmp_path}/{table}"))
+    assert "text" not in _plan(got) and "parquet" not in _plan(got)  # a model's passes never reach the texts
+    for r in got.collect():
+        t = texts[r["doc_id"]]
+        assert r["n_words"] == len(re.split(r"[ \t\n\x0B\f\r]+", t)) and r["n_lines"] == t.count("\n") + 1
+        assert r["digit_share"] == len(re.findall("[0-9]", t)) / len(t) and r["upper_share"] == len(re.findall("[A-Z]", t)) / len(t)
+    assert got.count() == len(texts)
