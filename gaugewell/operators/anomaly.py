@@ -19,7 +19,7 @@ from gaugewell.plans.iterate import array_sum
 from gaugewell.plans.moments import moments
 from gaugewell.plans.neighbors import point_neighbors, points_of
 from gaugewell.plans.quantiles import wide_quantiles
-from gaugewell.session import cut_lineage, held, spread
+from gaugewell.session import ROWS_PER_TASK, cut_lineage, held, spread
 
 SEED = 42
 EPS = float(np.finfo(float).eps)
@@ -147,15 +147,18 @@ def fit_forest(rows: DataFrame, key: Sequence[str], cols: Sequence[str], trees:
 
 def forest_scores(x: np.ndarray, forest: list[np.ndarray], size: int) -> np.ndarray:
     total = np.zeros(len(x))
+    seat, flat = np.arange(len(x)) * x.shape[1], np.ascontiguousarray(x).ravel()
     for t in forest:
+        feature, cut, length = t[:, 0].astype(int), t[:, 1], t[:, 4]
+        leaf = feature < 0
+        feature, stay = np.where(leaf, 0, feature), np.arange(len(t))
+        # the node after each one: left, right; a leaf leads to itself
+        after = np.c_[np.where(leaf, stay, t[:, 2]), np.where(leaf, stay, t[:, 3])].astype(int).ravel()
         at = np.zeros(len(x), dtype=int)
-        f, cut, left, right, length = t[:, 0].astype(int), t[:, 1], t[:, 2].astype(int), t[:, 3].astype(int), t[:, 4]
-        while True:
-            inner = np.flatnonzero(f[at] >= 0)
-            if not len(inner):
-                break
-            here = at[inner]
-            at[inner] = np.where(x[inner, f[here]] < cut[here], left[here], right[here])
+        inner = not leaf[0]
+        while inner:
+            at = after[2 * at + ~(flat[seat + feature[at]] < cut[at])]
+            inner = not leaf[at].all()
         total += length[at]
     return 2.0 ** (-(total / max(len(forest), 1)) / max(average_path(size), EPS))
 
@@ -166,10 +169,10 @@ def isolation_forest(df: DataFrame, key: Sequence[str], columns: Sequence[str] |
     ``contamination=None`` flags scores over 0.5.
     """
     rows, cols = prepared(df, key, columns)
-    rows = spread(rows)
     n = rows.count()
     forest = fit_forest(rows, key, cols, trees, min(size, n), seed)
     used = min(size, n)
+    rows = spread(rows, ROWS_PER_TASK)
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -74,15 +75,22 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core before Python-heavy work.
+#: Rows of a task whose Python work is long for each row.
+ROWS_PER_TASK = 250_000
 
-    A large table already has them and is left alone; only an input of few
-    splits (counted without reading a column) is redistributed.
+
+def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """At least one partition per core before Python-heavy work, if wanted none far over ``rows_per_task`` rows.
+
+    A large table already has them and is left alone; only an input of few or
+    too large splits (counted without reading a column) is redistributed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    have = df.select(F.spark_partition_id().alias("p")).distinct().count()
-    return df if have >= cores else df.repartition(cores)
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    have, largest, rows = sizes.agg(F.count(F.lit(1)), F.max("n"), F.sum("n")).first()
+    if have >= cores and (rows_per_task is None or largest <= 2 * rows_per_task):
+        return df
+    return df.repartition(max(cores, math.ceil((rows or 0) / rows_per_task) if rows_per_task else 0))
 
 
 def shuffle_partitions(df: DataFrame) -> int:

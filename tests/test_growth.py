@@ -4,10 +4,12 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from gaugewell.catalog.shared import document_features
 from gaugewell.operators import clean
 from gaugewell.plans.ordering import running
+from gaugewell.session import spread
 
 
 def _plan(df):
@@ -49,3 +51,10 @@ def test_document_features_read_the_texts_once(spark, tmp_path):
         assert r["n_words"] == len(re.split(r"[ \t\n\x0B\f\r]+", t)) and r["n_lines"] == t.count("\n") + 1
         assert r["digit_share"] == len(re.findall("[0-9]", t)) / len(t) and r["upper_share"] == len(re.findall("[A-Z]", t)) / len(t)
     assert got.count() == len(texts)
+
+
+def test_python_work_is_dealt_out_by_rows(spark):
+    rows = spark.range(2_000).repartition(8)
+    sizes = [r["count"] for r in spread(rows, 50).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_000 and max(sizes) <= 100
+    assert spread(rows).rdd.getNumPartitions() == 8 and spread(rows, 500).rdd.getNumPartitions() == 8
