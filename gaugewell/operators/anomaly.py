@@ -243,6 +243,19 @@ def local_outlier_factor(df: DataFrame, key: str, columns: Sequence[str] | None
 # ---- elliptic envelope -----------------------------------------------------
 
 
+def _distance2(cols: Sequence[str], centre: np.ndarray, matrix: np.ndarray) -> Column:
+    """(x − c)' M (x − c); with many columns as one matrix product a batch."""
+    if len(cols) <= 8:
+        return quadratic_form(cols, centre, matrix)
+
+    @F.pandas_udf("double")
+    def product(x: pd.Series) -> pd.Series:
+        e = (np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, len(cols)))) - centre
+        return pd.Series(((e @ matrix) * e).sum(axis=1))
+
+    return product(F.array(*[num(c) for c in cols]))
+
+
 def elliptic_envelope(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, contamination: float = 0.1, support: float | None = None, max_steps: int = 30) -> DataFrame:
     """Mahalanobis² under a robust covariance from concentration steps.
 
@@ -260,15 +273,16 @@ def elliptic_envelope(df: DataFrame, key: Sequence[str], columns: Sequence[str]
     last = math.inf
     with held(rows.select(*[quoted(c) for c in cols])) as kept:
         for _ in range(max_steps):
-            d2 = quadratic_form(cols, centre, np.linalg.pinv(cov))
-            cut = wide_quantiles(kept, [d2], [share])[0][0]
-            m = moments(kept.where(d2 <= F.lit(cut)), cols)
+            # the quantile reads the distances several times: they are computed once a step
+            with held(kept.withColumn("_d2", _distance2(cols, centre, np.linalg.pinv(cov)))) as near:
+                cut = wide_quantiles(near, ["_d2"], [share])[0][0]
+                m = moments(near.where(F.col("_d2") <= F.lit(cut)), cols)
             centre, cov = m.mean, m.cov_pop
             det = float(np.linalg.slogdet(cov)[1])
             if not det < last - 1e-9:
                 break
             last = det
-    scored = rows.withColumn("score", quadratic_form(cols, centre, np.linalg.pinv(cov)))
+    scored = rows.withColumn("score", _distance2(cols, centre, np.linalg.pinv(cov)))
     return _by_threshold(scored.select(*[quoted(k) for k in key], "score"), key, contamination, None)
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugewell.catalog.shared import document_features
-from gaugewell.operators import clean
+from gaugewell.operators import anomaly, clean
 from gaugewell.plans.ordering import running
 from gaugewell.session import spread
 
@@ -58,3 +58,29 @@ def test_python_work_is_dealt_out_by_rows(spark):
     sizes = [r["count"] for r in spread(rows, 50).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 2_000 and max(sizes) <= 100
     assert spread(rows).rdd.getNumPartitions() == 8 and spread(rows, 500).rdd.getNumPartitions() == 8
+
+
+def test_envelope_distances_are_stored_before_their_quantile(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 10))
+    x[:20] += 9
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", *[f"c{j}" for j in range(10)]])
+    asked = []
+    real = anomaly.wide_quantiles
+    monkeypatch.setattr(anomaly, "wide_quantiles", lambda d, columns, probs, **k: asked.append((columns, d.is_cached)) or real(d, columns, probs, **k))
+    got = anomaly.elliptic_envelope(df, ["id"]).toPandas().set_index("id").sort_index()
+    steps = asked[2:-1]  # after medians and deviations, before the threshold
+    assert steps and all(isinstance(c, str) and cached for columns, cached in steps for c in columns)
+    centre, cov, last, h = np.median(x, axis=0), None, np.inf, int(np.ceil((300 + 11) / 2)) / 300
+    cov = np.diag((1.4826 * np.median(np.abs(x - centre), axis=0)) ** 2)
+    far = lambda: np.einsum("ij,jk,ik->i", x - centre, np.linalg.pinv(cov), x - centre)
+    for _ in range(30):
+        d = far()
+        near = x[d <= np.quantile(d, h)]
+        centre, cov = near.mean(axis=0), np.cov(near.T, bias=True)
+        det = np.linalg.slogdet(cov)[1]
+        if not det < last - 1e-9:
+            break
+        last = det
+    np.testing.assert_allclose(got["score"], far(), rtol=1e-6)
+    assert (got["label"][:20] == -1).all()
