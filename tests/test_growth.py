@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.catalog.shared import document_features
 from gaugewell.operators import anomaly, clean
+from gaugewell.plans.concordance import _grid_score
 from gaugewell.plans.ordering import running
 from gaugewell.session import spread
 
@@ -84,3 +85,13 @@ def test_envelope_distances_are_stored_before_their_quantile(spark, monkeypatch)
         last = det
     np.testing.assert_allclose(got["score"], far(), rtol=1e-6)
     assert (got["label"][:20] == -1).all()
+
+
+def test_grid_sums_use_no_frame_computed_anew_for_every_cell(spark):
+    rng = np.random.default_rng(9)
+    w = rng.integers(0, 4, (6, 8))
+    rows = [(0, float(i), float(j), int(w[i, j])) for i in range(6) for j in range(8) if w[i, j]]
+    scores = _grid_score(spark.createDataFrame(rows, "lane int, bx double, by double, w long"), 8, ["lane"])
+    assert "rowframe, 1, unboundedfollowing$()" not in _plan(scores)
+    want = sum(w[i, j] * (w[:i, :j].sum() - w[i + 1 :, :j].sum()) for i in range(6) for j in range(8))
+    assert int(scores.agg(F.sum("score")).first()[0]) == want
