@@ -4,10 +4,11 @@ Distinct points are assigned to their nearest pivot; a cell with too many of
 them gets pivots of its own, level by level, all crowded cells together.  The
 triangle inequality tells which cells can hold a neighbour of a point, and the
 point is sent only there and on to the cells below.  Only the first level's
-pivots are on the driver.  Cells are cut into chunks, so a tile (one member chunk against one
-query chunk) has bounded size however many points a cell holds, and a tile
-answers with its best k or with counts, never with all pairs.  Identical rows
-are collapsed to one point with a multiplicity beforehand.
+pivots are on the driver.  Neighbouring cells lie together in blocks and a
+tile is one block against one chunk of queries from one block, so a vector is
+shuffled once for a block and not for every cell, and a tile has bounded size.
+A tile answers with its best k or with counts, never with all pairs.  Identical
+rows are collapsed to one point with a multiplicity beforehand.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from gaugewell.functions.columns import num, quoted
 from gaugewell.plans.joins import join_groups
 from gaugewell.session import cut_lineage
 
-CHUNK = 4_000
+EPS = float(np.finfo(float).eps)
+CHUNK = 16_000  # queries of a tile
+BLOCK = 48_000  # members of a tile
+PIECE = 1_000_000  # distances held at once in a tile
 MAX_PIVOTS = 1_000  # of the first level, and of a cell below
 ROWS_PER_PIVOT = 1_000
 SPLIT = 8_000  # points of a cell that is not split again
@@ -133,7 +137,7 @@ def _split(crowded: DataFrame, k: int, level: int) -> tuple[DataFrame, DataFrame
     drawn = crowded.withColumns({"_h": h, "_want": want}).where(F.pmod("_h", F.lit(1 << 52)) / float(1 << 52) < share)
     seat = F.row_number().over(Window.partitionBy("cell").orderBy("_h", "pid"))
     pivots = cut_lineage(drawn.withColumn("sub", seat).where("sub <= _want").select("cell", "n", "sub", F.col("vec").alias("pivot")))
-    step = 8 * CHUNK
+    step = 2 * CHUNK
     parts = F.ceil(F.col("n") / step).cast("int")
     left = crowded.withColumn("part", F.pmod(F.xxhash64("pid", F.lit(level)), parts)).select("cell", "part", "pid", "vec", "mult")
     right = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", "part", "sub", "pivot")
@@ -242,31 +246,87 @@ def _routed(queries: DataFrame, tree: Tree, radius: float | str | None, chunk: i
             rows = cut_lineage(rows.join(best, "qid").where("reach <= _best").select(*columns, F.col("_best").alias("bound"), "cell", "reach"))
 
 
-def tiles(queries: DataFrame, tree: Tree, radius: float | str | None, tile: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, chunk: int = CHUNK) -> DataFrame:
-    """Applies ``tile(queries, members)`` to every (query chunk, member chunk) that can matter.
+def _along(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in an order that keeps near ones together: halves along the widest direction."""
+    todo, out = [np.arange(len(pivots))], []
+    while todo:
+        some = todo.pop()
+        if len(some) < 3:
+            out.extend(some)
+            continue
+        x = np.nan_to_num(pivots[some])
+        x = x - x.mean(axis=0)
+        at = np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")
+        todo += [some[at[len(some) // 2 :]], some[at[: len(some) // 2]]]
+    return np.array(out, dtype=int)
+
+
+def _blocks(tree: Tree, block: int) -> tuple[DataFrame, np.ndarray, DataFrame | None]:
+    """Members with their block, the block of every first cell, and that of the lowest cells if there are levels."""
+    order, total = _along(tree.top.pivots), int(tree.top.count.sum())
+    group = np.zeros(len(order), dtype=int)
+    size = tree.top.count[order]
+    group[order] = ((np.cumsum(size) - size / 2) / max(total, 1) * math.ceil(total / block)).astype(int)
+    spot = F.element_at(F.array(*[F.lit(int(g)).cast("long") for g in group]), F.split("cell", "/")[0].cast("int") + 1) if len(group) else F.lit(0).cast("long")
+    if tree.nodes is None:
+        return tree.members.withColumn("block", spot), group, None
+    leaves = tree.members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("_g", spot)
+    before = F.sum("n").over(Window.partitionBy("_g").orderBy("cell")) - F.col("n")
+    leaves = cut_lineage(leaves.select("cell", (F.col("_g") * F.lit(1 << 32) + F.floor(before / block)).cast("long").alias("block")))
+    return join_groups(tree.members, leaves, ["cell"]), group, leaves
+
 
-    ``queries`` need qid, vec.  Chunk numbers come from hashes of the ids and
-    from the cells' counts.
+def _sent(queries: DataFrame, tree: Tree, radius: float | str | None, chunk: int, group: np.ndarray, leaves: DataFrame | None) -> DataFrame:
+    """Queries with ``home``, the block of their nearest cell, and ``blocks``, those that can matter."""
+    top, columns = tree.top, queries.columns
+    limit = F.col(radius) if isinstance(radius, str) else F.lit(radius).cast("double")
+    names = np.unique(group)
+
+    @F.pandas_udf("home long, blocks array<long>")
+    def route(vec: pd.Series, limit: pd.Series) -> pd.DataFrame:
+        home, blocks = [], []
+        for at in range(0, len(vec) if len(names) else 0, 2_000):
+            d = distances(_matrix(vec.iloc[at : at + 2_000]), top.pivots)
+            most = limit.iloc[at : at + 2_000].to_numpy(dtype=float) if radius is not None else (d + top.kth).min(axis=1)
+            near = (_reach(d, top.low, top.high) <= most[:, None]) & (top.count > 0)
+            hit = np.stack([near[:, group == g].any(axis=1) for g in names], axis=1)
+            home += group[np.where(top.count > 0, d, np.inf).argmin(axis=1)].tolist()
+            blocks += [names[h] for h in hit]
+        return pd.DataFrame({"home": home or [0] * len(vec), "blocks": blocks or [[]] * len(vec)})
+
+    placed = queries.withColumn("_r", route("vec", limit))
+    if leaves is None:
+        return cut_lineage(placed.select(*columns, "_r.home", "_r.blocks"))
+    rows = _routed(placed.select(*columns, F.col("_r.home").alias("home")), tree, radius, chunk)
+    found = join_groups(rows, leaves, ["cell"])
+    return cut_lineage(found.groupBy(*columns, "home").agg(F.collect_set("block").alias("blocks")))
+
+
+def tiles(queries: DataFrame, tree: Tree, radius: float | str | None, tile: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, chunk: int | None = None, at_home: bool = False) -> DataFrame:
+    """Applies ``tile(queries, members)`` to every (query chunk, member block) that can matter.
+
+    ``queries`` need qid, vec.  Chunks hold queries of one home block, so a
+    block is copied only to chunks near it.  ``at_home``: every query meets its
+    home block alone (not with a tree of several levels).
     """
-    routed = cut_lineage(_routed(queries, tree, radius, chunk))
-    held = tree.members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("m_chunks"))
-    load = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("q_chunks"))
-    plan = cut_lineage(held.join(load, "cell"))
-    salt = F.lit(7)
-    left = (
-        join_groups(routed, plan, ["cell"])
-        .withColumn("qc", F.pmod(F.xxhash64("qid", salt), F.col("q_chunks")).cast("int"))
-        .withColumn("mc", F.explode(F.sequence(F.lit(0), F.col("m_chunks") - 1)))
-        .drop("m_chunks", "q_chunks")
-    )
-    right = (
-        join_groups(tree.members, plan, ["cell"])
-        .withColumn("mc", F.pmod(F.xxhash64("pid", salt), F.col("m_chunks")).cast("int"))
-        .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)))
-        .drop("m_chunks", "q_chunks")
-    )
-    left, right = _fresh(left), _fresh(right)
-    keys = ["cell", "mc", "qc"]
+    members, group, leaves = _blocks(tree, BLOCK)
+    sent = _sent(queries, tree, radius, chunk or CHUNK, group, leaves)
+    if at_home:
+        sent = sent.withColumn("blocks", F.array("home"))
+    load = cut_lineage(sent.groupBy("home").agg(F.count(F.lit(1)).alias("_n")))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    total = load.agg(F.sum("_n")).first()[0] or 0
+    most = min(chunk or CHUNK, max(1_000, math.ceil(total / cores)))
+    load = load.select("home", F.ceil(F.col("_n") / most).cast("int").alias("parts"))
+    plan = cut_lineage(sent.select("home", F.explode("blocks").alias("block")).distinct().join(F.broadcast(load), "home"))
+    count = max(1, min(4_000, 2 * (plan.agg(F.sum("parts")).first()[0] or 0)))
+    left = sent.join(F.broadcast(load), "home").withColumn("part", F.pmod(F.xxhash64("qid", "vec"), F.col("parts")).cast("int"))
+    left = left.select(*queries.columns, "home", "part", F.explode("blocks").alias("block"))
+    right = join_groups(members, plan, ["block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.select(*tree.members.columns, "home", "part", "block")
+    keys = ["home", "part", "block"]
+    # A given number of partitions: small ones would be put together, though the work of a tile is not its size.
+    left, right = _fresh(left).repartition(count, *keys), _fresh(right).repartition(count, *keys)
 
     def run(_key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(m):
@@ -276,37 +336,141 @@ def tiles(queries: DataFrame, tree: Tree, radius: float | str | None, tile: Call
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
+@dataclass
+class Near:
+    """Queries and members of a tile, centred, the members cell by cell: (from, to, centre, radius)."""
+
+    x: np.ndarray
+    y: np.ndarray
+    xx: np.ndarray
+    yy: np.ndarray
+    members: pd.DataFrame
+    cells: list[tuple[int, int]]
+    centre: np.ndarray
+    radius: np.ndarray
+
+    @classmethod
+    def of(cls, q: pd.DataFrame, m: pd.DataFrame) -> Near:
+        m = m.sort_values("cell", kind="stable", ignore_index=True)
+        x, y = _matrix(q["vec"]), _matrix(m["vec"])
+        middle = np.nan_to_num(y.mean(axis=0))
+        x, y = x - middle, y - middle
+        edge = np.r_[0, np.flatnonzero(m["cell"].to_numpy()[1:] != m["cell"].to_numpy()[:-1]) + 1, len(m)]
+        cells = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+        centre = np.stack([y[a:b].mean(axis=0) for a, b in cells])
+        radius = np.array([np.sqrt(((y[a:b] - c) ** 2).sum(axis=1)).max() for (a, b), c in zip(cells, centre)])
+        return cls(x, y, (x**2).sum(axis=1), (y**2).sum(axis=1), m, cells, centre, radius)
+
+    def to_centres(self) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances to the cells' centres and what rounding may have changed."""
+        cc = (self.centre**2).sum(axis=1)
+        size = self.xx[:, None] + cc
+        return size - 2.0 * self.x @ self.centre.T, self.slack(size)
+
+    def slack(self, size: np.ndarray) -> np.ndarray:
+        return 4 * EPS * (self.x.shape[1] + 4) * size
+
+    def pieces(self, rows: np.ndarray, a: int, b: int):
+        """(rows, squared distances, rounding of a row) for some of the queries and the members a to b."""
+        ya, most = -2.0 * self.y[a:b].T, self.yy[a:b].max()
+        step = max(1, PIECE // (b - a))
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            d2 = self.x[r] @ ya
+            d2 += self.yy[a:b]
+            d2 += self.xx[r, None]
+            yield r, d2, self.slack(self.xx[r] + most)
+
+    def within(self, eps: float, rows: np.ndarray, a: int, b: int):
+        """(rows, whether a member is at most ``eps`` away); doubtful pairs are computed again by differences."""
+        for r, d2, loose in self.pieces(rows, a, b):
+            hit = d2 <= eps**2
+            at = np.flatnonzero(np.abs(d2 - eps**2) <= (loose + 8 * EPS * eps**2)[:, None])
+            if len(at):
+                hit.ravel()[at] = self.exact(r[at // (b - a)], a + at % (b - a)) <= eps
+            yield r, hit
+
+    def reach(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the largest distance of a query to the members of a cell, rounding allowed for."""
+        d2, slack = self.to_centres()
+        low = np.sqrt(np.maximum(d2 - slack, 0.0)) * (1 - 1e-12) - self.radius * (1 + 1e-12)
+        return low, np.sqrt(np.maximum(d2 + slack, 0.0)) * (1 + 1e-12) + self.radius * (1 + 1e-12)
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Distances of pairs by differences, where no cancellation shows."""
+        return np.concatenate([np.zeros(0), *(np.sqrt(((self.x[i[at : at + PIECE // 16]] - self.y[j[at : at + PIECE // 16]]) ** 2).sum(axis=1)) for at in range(0, len(i), PIECE // 16))])
+
+
+def _kept(row: np.ndarray, seat: np.ndarray, d: np.ndarray, bound: np.ndarray, pid: np.ndarray, mult: np.ndarray, k: int):
+    """The candidates that cover the k nearest rows of a query, ties by pid; tightens ``bound``."""
+    order = np.lexsort((pid[seat], d, row))
+    row, seat, d = row[order], seat[order], d[order]
+    m = mult[seat]
+    upto = np.cumsum(m)
+    first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, dtype=bool)
+    before = upto - m
+    before = before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(row)]))
+    keep = before < k
+    last = keep & (before + m >= k)
+    bound[row[last]] = np.minimum(bound[row[last]], d[last])
+    return row[keep], seat[keep], d[keep]
+
+
+def covering(q: pd.DataFrame, m: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
+    """(query rows, member seats, distances, bounds, members): the members covering the k nearest rows ``within`` a distance."""
+    t = Near.of(q, m)
+    pid, mult, own = t.members["pid"].to_numpy(), t.members["mult"].to_numpy(), q["own"].to_numpy()
+    bound = q["within"].to_numpy(dtype=float).copy()
+    d2, low = t.to_centres()[0], t.reach()[0]
+    home = d2.argmin(axis=1)
+    for c, (a, b) in enumerate(t.cells):  # a first bound from the nearest cell
+        if b - a > k:
+            for r, piece, loose in t.pieces(np.flatnonzero((home == c) & np.isinf(bound)), a, b):
+                edge = np.sqrt(np.maximum(np.partition(piece, k, axis=1)[:, k] + 2 * loose, 0.0)) * (1 + 1e-12)
+                bound[r] = np.where(np.isnan(edge), np.inf, edge)
+    found = (np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))
+    fresh, held = [], 0
+    for c in np.argsort(np.nan_to_num(d2).mean(axis=0)):
+        a, b = t.cells[c]
+        for r, piece, loose in t.pieces(np.flatnonzero(~(low[:, c] > bound)), a, b):
+            hit = np.flatnonzero(piece <= (bound[r] ** 2 * (1 + 1e-12) + loose)[:, None])
+            i, j = r[hit // (b - a)], a + hit % (b - a)
+            d = t.exact(i, j)
+            good = (d <= bound[i]) & (pid[j] != own[i])
+            fresh.append((i[good], j[good], d[good]))
+            held += int(good.sum())
+            if held > 2 * PIECE:
+                found, fresh, held = _kept(*(np.concatenate(v) for v in zip(found, *fresh)), bound, pid, mult, k), [], 0
+    found = _kept(*(np.concatenate(v) for v in zip(found, *fresh)), bound, pid, mult, k)
+    return *found, bound, t.members
+
+
 def nearest_points(queries: DataFrame, points: DataFrame, k: int, id_type: str) -> DataFrame:
     """(qid, pid, distance, mult): for every query the points covering its k nearest rows.
 
     ``queries``: qid, vec, and ``own`` = the pid to leave out (null keeps all).
-    Lists are cut where the running multiplicity reaches k; ties by pid.
+    The block around a query gives the distance that its neighbours lie within,
+    then all blocks that can hold one are searched.  Lists are cut where the
+    running multiplicity reaches k; ties by pid.
     """
     tree = plant(points, k)
+    kinds = dict(queries.dtypes)
+    wide = queries.select("qid", "vec", "own", F.lit(math.inf).alias("within"))
+
+    def around(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        out = q[["qid", "vec", "own"]].copy()
+        out["within"] = covering(q, m, k)[3]
+        return out
 
     def tile(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        x, y = _matrix(q["vec"]), _matrix(m["vec"])
-        pid, mult, own = m["pid"].to_numpy(), m["mult"].to_numpy(), q["own"].to_numpy()
-        out = []
-        step = max(1, 2_000_000 // max(1, len(y)))
-        for s in range(0, len(x), step):
-            d = distances(x[s : s + step], y)
-            d[own[s : s + step, None] == pid[None, :]] = np.inf
-            take = min(k + 1, d.shape[1])
-            edge = np.partition(d, take - 1, axis=1)[:, take - 1]
-            for i in range(len(d)):
-                near = np.flatnonzero((d[i] <= edge[i]) & np.isfinite(d[i]))
-                seat = near[np.lexsort((pid[near], d[i, near]))]
-                covered = np.cumsum(mult[seat])
-                seat = seat[: int(np.searchsorted(covered, k)) + 1]
-                out.append((np.full(len(seat), s + i), seat, d[i, seat]))
-        if not out:
-            return pd.DataFrame()
-        rows, seats, dist = (np.concatenate(c) for c in zip(*out))
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "pid": pid[seats], "distance": dist, "mult": mult[seats]})
+        rows, seats, d, _, m = covering(q, m, k)
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "pid": m["pid"].to_numpy()[seats], "distance": d, "mult": m["mult"].to_numpy()[seats]})
 
-    qtype = dict(queries.dtypes)["qid"]
-    found = tiles(queries, tree, None, tile, f"qid {qtype}, pid {id_type}, distance double, mult long")
+    radius = None
+    if tree.nodes is None:
+        wide = cut_lineage(tiles(wide, tree, 0.0, around, f"qid {kinds['qid']}, vec array<double>, own {kinds['own']}, within double", at_home=True))
+        radius = "within"
+    found = tiles(wide, tree, radius, tile, f"qid {kinds['qid']}, pid {id_type}, distance double, mult long")
     order = Window.partitionBy("qid").orderBy("distance", "pid")
     before = F.coalesce(F.sum("mult").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = found.withColumn("_b", before).where(F.col("_b") < k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.catalog.shared import document_features
 from gaugewell.operators import anomaly, clean
+from gaugewell.plans import neighbors as nb
 from gaugewell.plans.concordance import _grid_score
 from gaugewell.plans.ordering import running
 from gaugewell.session import spread
@@ -95,3 +96,25 @@ def test_grid_sums_use_no_frame_computed_anew_for_every_cell(spark):
     assert "rowframe, 1, unboundedfollowing$()" not in _plan(scores)
     want = sum(w[i, j] * (w[:i, :j].sum() - w[i + 1 :, :j].sum()) for i in range(6) for j in range(8))
     assert int(scores.agg(F.sum("score")).first()[0]) == want
+
+
+def _points(spark, x):
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "pid long, vec array<double>, mult long").repartition(3)
+
+
+def test_a_query_is_sent_once_for_a_block_and_not_for_every_cell(spark, monkeypatch):
+    monkeypatch.setattr(nb, "ROWS_PER_PIVOT", 10)
+    x = np.random.default_rng(2).normal(size=(300, 6))
+    points = _points(spark, x)
+    queries = points.select(F.col("pid").alias("qid"), "vec")
+    sizes = lambda q, m: pd.DataFrame({"q": [len(q)], "m": [len(m)]})
+    got = nb.tiles(queries, nb.plant(points, 3), 1e9, sizes, "q long, m long").toPandas()
+    assert (got["m"] == 300).all() and got["q"].sum() == 300
+    monkeypatch.setattr(nb, "BLOCK", 100)
+    near = nb.nearest_points(queries.withColumn("own", F.col("qid")), points, 4, "bigint").toPandas()
+    d = np.linalg.norm(x[:, None] - x, axis=2)
+    np.fill_diagonal(d, np.inf)
+    for i, some in near.groupby("qid"):
+        assert some.sort_values("distance")["pid"].tolist() == np.argsort(d[i])[:4].tolist()
+        np.testing.assert_allclose(np.sort(some["distance"]), np.sort(d[i])[:4], rtol=1e-13)
