@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugewell.catalog.shared import document_features
-from gaugewell.operators import anomaly, clean
+from gaugewell.operators import anomaly, clean, cluster
 from gaugewell.plans import neighbors as nb
 from gaugewell.plans.concordance import _grid_score
 from gaugewell.plans.ordering import running
@@ -118,3 +118,22 @@ def test_a_query_is_sent_once_for_a_block_and_not_for_every_cell(spark, monkeypa
     for i, some in near.groupby("qid"):
         assert some.sort_values("distance")["pid"].tolist() == np.argsort(d[i])[:4].tolist()
         np.testing.assert_allclose(np.sort(some["distance"]), np.sort(d[i])[:4], rtol=1e-13)
+
+
+def test_pairs_of_one_group_are_not_measured_again(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=(900, 3)) * 0.05, rng.normal(size=(300, 3)) * 0.3 + 3]
+    frame = pd.DataFrame({"vec": list(x), "cell": np.repeat([f"{i:02d}" for i in range(12)], 100)})
+    tile, eps = nb.Near.of(frame, frame), 0.25
+    measured = []
+    real = nb.Near.pieces
+    monkeypatch.setattr(nb.Near, "pieces", lambda t, rows, a, b: measured.append(len(rows) * (b - a)) or real(t, rows, a, b))
+    group = cluster._tile_groups(tile, eps)
+    assert sum(measured) < len(x) ** 2 / 3
+    near = np.linalg.norm(x[:, None] - x, axis=2) <= eps
+    want = np.arange(len(x))
+    while not np.array_equal(want, new := np.where(near, want, len(x)).min(axis=1)):
+        want = new
+    assert np.array_equal(group[: len(x)], want) and np.array_equal(group[len(x) :], want)
+    for rows, hit in tile.within(eps, np.arange(len(x)), 0, 100):
+        assert np.array_equal(hit, near[rows, :100])
