@@ -128,12 +128,16 @@ def test_pairs_of_one_group_are_not_measured_again(monkeypatch):
     measured = []
     real = nb.Near.pieces
     monkeypatch.setattr(nb.Near, "pieces", lambda t, rows, a, b: measured.append(len(rows) * (b - a)) or real(t, rows, a, b))
-    group = cluster._tile_groups(tile, eps)
+    group = cluster._tile_groups(tile, eps, (np.arange(len(x)), np.arange(len(x))))
     assert sum(measured) < len(x) ** 2 / 3
     near = np.linalg.norm(x[:, None] - x, axis=2) <= eps
     want = np.arange(len(x))
     while not np.array_equal(want, new := np.where(near, want, len(x)).min(axis=1)):
         want = new
     assert np.array_equal(group[: len(x)], want) and np.array_equal(group[len(x) :], want)
+    gap = frame.head(200).copy()
+    gap.at[150, "vec"] = np.full(3, np.nan)  # is near nothing and hides no other
+    lists = nb.covering(gap.assign(own=-1, within=np.inf), gap.assign(pid=np.arange(200), mult=1), 2)
+    assert np.array_equal(np.bincount(lists[0], minlength=200), np.where(np.arange(200) == 150, 0, 2)) and 150 not in lists[1]
     for rows, hit in tile.within(eps, np.arange(len(x)), 0, 100):
         assert np.array_equal(hit, near[rows, :100])
