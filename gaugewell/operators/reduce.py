@@ -272,21 +272,24 @@ def isomap(df: DataFrame, key: str, columns: Sequence[str] | None = None, compon
     marks = list(dict.fromkeys(marks))
     spark = df.sparkSession
     kind = dict(rows.dtypes)[key]
-    dist = spark.createDataFrame([(m, i, 0.0) for i, m in enumerate(marks)], f"node {kind}, mark int, d double")
+    names = [f"d{i}" for i in range(len(marks))]  # a node's distances side by side: an edge is one row for all landmarks
+    dist = spark.createDataFrame([(m, *[0.0 if j == i else None for j in range(len(marks))]) for i, m in enumerate(marks)], ", ".join([f"node {kind}", *[f"{c} double" for c in names]]))
     reached = (0, 0.0)
     hops = 0
+    known = [F.sum(F.when(F.col(c).isNotNull(), 1).otherwise(0)) for c in names]
     while True:
         if max_hops is not None and hops >= max_hops:
             raise RuntimeError(f"distances did not settle within {max_hops} hops")
         hops += 1
-        steps = dist.join(edges, dist["node"] == edges["a"]).select(F.col("b").alias("node"), "mark", (F.col("d") + F.col("w")).alias("d"))
-        dist = cut_lineage(dist.unionByName(steps).groupBy("node", "mark").agg(F.min("d").alias("d")))
-        count, total = dist.agg(F.count(F.lit(1)), F.sum("d")).first()
+        steps = dist.join(edges, dist["node"] == edges["a"]).groupBy("b").agg(*[F.min(F.col(c) + F.col("w")).alias(f"_{c}") for c in names])
+        both = dist.join(steps, dist["node"] == steps["b"], "full")
+        dist = cut_lineage(both.select(F.coalesce("node", "b").alias("node"), *[F.least(c, f"_{c}").alias(c) for c in names]))
+        found = dist.agg(*known, *[F.sum(c) for c in names]).first()
+        count, total = sum(v or 0 for v in found[: len(names)]), math.fsum(v or 0.0 for v in found[len(names) :])
         if count == reached[0] and abs(total - reached[1]) <= 1e-12 * max(1.0, abs(total)):
             break
         reached = (count, total)
-    table = dist.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("mark", "d"))).alias("m"))
-    full = table.select("node", F.array(*[F.col("m")[i] for i in range(len(marks))]).alias("d")).where(~F.exists("d", lambda v: v.isNull()))
+    full = dist.select("node", F.array(*names).alias("d")).where(~F.exists("d", lambda v: v.isNull()))
     at = {r["node"]: r["d"] for r in full.where(F.col("node").isin(marks)).collect()}
     used = [i for i, m in enumerate(marks) if m in at]
     between = np.array([[at[marks[i]][j] for j in used] for i in used]) ** 2

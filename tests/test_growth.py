@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugewell.catalog.shared import document_features
-from gaugewell.operators import anomaly, clean, cluster
+from gaugewell.operators import anomaly, clean, cluster, reduce
 from gaugewell.plans import neighbors as nb
 from gaugewell.plans.concordance import _grid_score
 from gaugewell.plans.ordering import running
@@ -141,3 +141,27 @@ def test_pairs_of_one_group_are_not_measured_again(monkeypatch):
     assert np.array_equal(np.bincount(lists[0], minlength=200), np.where(np.arange(200) == 150, 0, 2)) and 150 not in lists[1]
     for rows, hit in tile.within(eps, np.arange(len(x)), 0, 100):
         assert np.array_equal(hit, near[rows, :100])
+
+
+def test_isomap_keeps_one_row_of_distances_for_a_node(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(40, 3))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", "a", "b", "c"])
+    stored = []
+    real = reduce.cut_lineage
+    monkeypatch.setattr(reduce, "cut_lineage", lambda d: stored.append(real(d)) or stored[-1])
+    placed = reduce.isomap(df, "id", ["a", "b", "c"], k=4, landmarks=5)
+    assert placed.count() == 40 and "d4" in stored[-1].columns
+    last = stored[-1].toPandas()
+    assert len(last) == last["node"].nunique()
+    d = np.linalg.norm(x[:, None] - x, axis=2)
+    seats = np.argsort(d, axis=1)[:, 1:5]
+    way = np.full((40, 40), np.inf)
+    for i in range(40):
+        way[i, seats[i]] = way[seats[i], i] = d[i, seats[i]]
+    np.fill_diagonal(way, 0.0)
+    for m in range(40):
+        way = np.minimum(way, way[:, [m]] + way[[m]])
+    last = last.set_index("node")
+    for c in range(5):
+        mark = last.index[last[f"d{c}"] == 0.0][0]
+        np.testing.assert_allclose(last[f"d{c}"].reindex(range(40)).fillna(np.inf), way[mark], rtol=1e-12)
