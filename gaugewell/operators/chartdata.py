@@ -73,18 +73,19 @@ def heatmap(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def thinned(df: DataFrame, order: Sequence[str], limit: int = POINT_LIMIT) -> DataFrame:
     """At most ``limit`` rows at evenly spaced positions, first and last included.
 
-    Position p is kept when it equals ⌊i·(n−1)/(limit−1)⌋ for some i, which is
-    integer arithmetic on the row itself.
+    Position p is kept when it equals ⌊i·(n−1)/(limit−1)⌋ for some i, which holds
+    if a multiple of n−1 lies in [p·(limit−1), (p+1)·(limit−1)): integer
+    arithmetic on the row itself.
     """
     n = df.count()
     placed = with_position(df, order)
     if n <= limit:
         return placed
-    p, span, steps = F.col("idx"), F.lit(n - 1).cast("decimal(38,0)"), F.lit(limit - 1).cast("decimal(38,0)")
-    i = F.ceil(p * steps / span)
-    back = F.floor(i * span / steps)
-    near = F.floor((i + 1) * span / steps)
-    return placed.where((back == p) | (near == p) & (i + 1 <= limit - 1))
+    if limit < 2:
+        raise ValueError("thinning keeps the first and the last row")
+    kind = "bigint" if (n - 1) * (limit - 1) < 2**63 else "decimal(38,0)"
+    p, span, steps = F.col("idx").cast(kind), F.lit(n - 1).cast(kind), F.lit(limit - 1).cast(kind)
+    return placed.where(F.pmod(-(p * steps), span) < steps)
 
 
 def bars(df: DataFrame, category: str, value: str, how: str = "sum") -> DataFrame:

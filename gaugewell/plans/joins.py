@@ -15,11 +15,16 @@ HOT_SHARE = 0.001
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches null keys; right key columns are dropped."""
+    """Equi-join that also matches null keys; right key columns are dropped.
+
+    A key that is null on neither side is compared plainly, so that rows dealt
+    out by the keys before are not dealt out again.
+    """
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
     cond = None
     for c in on:
-        term = left[c].eqNullSafe(renamed[f"_r_{c}"])
+        plain = not (left.schema[c].nullable or right.schema[c].nullable)
+        term = left[c] == renamed[f"_r_{c}"] if plain else left[c].eqNullSafe(renamed[f"_r_{c}"])
         cond = term if cond is None else cond & term
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
 

@@ -11,7 +11,9 @@ split points, whatever the values are.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +25,7 @@ from gaugewell.session import shuffle_partitions
 
 ROWS_PER_BUCKET = 2_000_000
 SAMPLE_PER_BUCKET = 100
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 def order_value(df: DataFrame, name: str) -> Column:
@@ -81,6 +84,32 @@ def _not_above(points: Sequence[tuple], kinds: Sequence[str], here: Column) -> C
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(within, lambda p: p <= here)))
 
 
+def _with_bucket(df: DataFrame, points: Sequence[tuple], columns: Sequence[Column], out: str) -> DataFrame:
+    """Adds how many of the sorted points are not above the row.
+
+    If the leading column is a number, a binary search among doubles decides;
+    whole tuples are compared only where it equals a point's or is not finite.
+    """
+    names = [f"o{i}" for i in range(len(columns))]
+    kinds = [f.dataType.simpleString() for f in df.select(*[c.alias(x) for c, x in zip(columns, names)]).schema]
+    whole = _not_above(points, kinds, F.struct(*[c.alias(x) for c, x in zip(columns, names)]))
+    if kinds[0].split("(")[0] not in NUMBERS:
+        return df.withColumn(out, _number(whole))
+    leads = Counter(-math.inf if p[0] is None else float(p[0]) + 0.0 for p in points)  # nulls come first
+    edges = sorted(x for x in leads if math.isfinite(x))
+    upto = list(accumulate([leads[-math.inf], *[leads[e] for e in edges]]))
+    led = _cut(df.withColumn("_lead", columns[0].cast("double") + F.lit(0.0)), "_lead", edges, "_cell")
+    lead, at = F.col("_lead"), F.col("_cell").cast("int") + 1
+    edge = F.element_at(F.array(*map(F.lit, [-math.inf, *edges])), at)
+    clear = (F.abs(lead) < F.lit(math.inf)) & (lead != edge)
+    return led.withColumn(out, _number(F.when(clear, F.element_at(F.array(*map(F.lit, upto)), at)).otherwise(whole))).drop("_lead", "_cell")
+
+
+def _number(bucket: Column) -> Column:
+    """A bucket number, never null by its type either."""
+    return F.coalesce(bucket.cast("long"), F.lit(0).cast("long"))
+
+
 def bucketed(df: DataFrame, order: Sequence[str], out: str = "_bucket", buckets: int | None = None) -> DataFrame:
     """Adds a bucket number that follows the order of ``order``, nulls first."""
     return _bucketed(df, order, out, buckets)[0]
@@ -102,10 +131,7 @@ def _bucketed(df: DataFrame, order: Sequence[str], out: str, buckets: int | None
     points = list(dict.fromkeys(points))
     if not points:
         return df.withColumn(out, F.lit(0).cast("long")), inside
-    names = [f"o{i}" for i in range(len(columns))]
-    kinds = [f.dataType.simpleString() for f in df.select(*[c.alias(x) for c, x in zip(columns, names)]).schema]
-    here = F.struct(*[c.alias(x) for c, x in zip(columns, names)])
-    return df.withColumn(out, _not_above(points, kinds, here).cast("long")), inside
+    return _with_bucket(df, points, columns, out), inside
 
 
 def with_position(

@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugewell.catalog.shared import document_features
-from gaugewell.operators import anomaly, clean, cluster, reduce
+from gaugewell.operators import anomaly, chartdata, clean, cluster, reduce
 from gaugewell.plans import neighbors as nb
 from gaugewell.plans.concordance import _grid_score
-from gaugewell.plans.ordering import running
+from gaugewell.plans.ordering import _not_above, _with_bucket, bucketed, running, with_position
 from gaugewell.session import spread
 
 
@@ -165,3 +165,36 @@ def test_isomap_keeps_one_row_of_distances_for_a_node(spark, monkeypatch):
     for c in range(5):
         mark = last.index[last[f"d{c}"] == 0.0][0]
         np.testing.assert_allclose(last[f"d{c}"].reindex(range(40)).fillna(np.inf), way[mark], rtol=1e-12)
+
+
+def test_buckets_by_binary_search_equal_whole_comparisons(spark):
+    big = 2**60
+    values = [None, float("-inf"), -2.5, -0.0, 0.0, 1.0, 1.0000000000000002, 7.0, float("inf"), float("nan")]
+    doubles = spark.createDataFrame([(v, t) for v in values for t in range(4)], "v double, t int")
+    longs = spark.createDataFrame([(v, t) for v in (None, -3, 0, big, big + 1, big + 2, 9) for t in range(4)], "v long, t int")
+    for df in (doubles, longs, longs.selectExpr("cast(v as decimal(20,1)) + 0.3 as v", "t")):
+        rows = [tuple(r) for r in df.orderBy("v", "t").collect()]
+        columns = [F.col("v"), F.col("t")]
+        here = F.struct(F.col("v").alias("o0"), F.col("t").alias("o1"))
+        for points in (rows[2::3], rows[::7], rows[:3], rows[-3:]):
+            want = _not_above(points, [df.dtypes[0][1], "int"], here)
+            got = _with_bucket(df, points, columns, "b").select("b", want.cast("long").alias("w")).collect()
+            assert len(got) == len(rows) and all(r["b"] == r["w"] for r in got)
+
+
+def test_rows_find_their_bucket_by_binary_search(spark):
+    assert "bucketizer" in _plan(bucketed(spark.range(500), ["id"], "b", 6))
+
+
+def test_positions_shuffle_the_rows_once(spark):
+    plan = _plan(with_position(spark.range(500), ["id"], buckets=6))
+    assert "coalesce(_bucket" not in plan and "<=>" not in plan  # the rows' own buckets are the join's
+
+
+def test_thinning_is_whole_number_arithmetic(spark):
+    df = spark.range(1_003).withColumn("x", F.col("id") * 2.0).withColumn("y", -F.col("id").cast("double")).repartition(5)
+    for limit in (2, 3, 97, 502, 1_002):
+        few = chartdata.thinned(df, ["id"], limit)
+        assert "decimal" not in _plan(few)
+        assert {r["idx"] for r in few.collect()} == {i * 1_002 // (limit - 1) for i in range(limit)}
+    assert {r["x"] for r in chartdata.pair_points(df, ["x", "y"], ["id"], 97).collect()} == {i * 1_002 // 96 * 2.0 for i in range(97)}
