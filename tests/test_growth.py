@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugewell.catalog.shared import document_features
-from gaugewell.operators import anomaly, chartdata, clean, cluster, reduce
+from gaugewell.operators import anomaly, chartdata, clean, cluster, reduce, select
 from gaugewell.plans import neighbors as nb
 from gaugewell.plans.concordance import _grid_score
 from gaugewell.plans.ordering import _not_above, _with_bucket, bucketed, running, with_position
@@ -198,3 +198,19 @@ def test_thinning_is_whole_number_arithmetic(spark):
         assert "decimal" not in _plan(few)
         assert {r["idx"] for r in few.collect()} == {i * 1_002 // (limit - 1) for i in range(limit)}
     assert {r["x"] for r in chartdata.pair_points(df, ["x", "y"], ["id"], 97).collect()} == {i * 1_002 // 96 * 2.0 for i in range(97)}
+
+
+def test_values_of_few_input_splits_are_ordered_on_every_core(spark, monkeypatch):
+    seen = []
+
+    def watched(df, *args, **more):
+        seen.append((df.rdd.getNumPartitions(), _plan(df)))
+        return with_position(df, *args, **more)
+
+    monkeypatch.setattr(select, "with_position", watched)
+    df = spark.range(300).coalesce(1).selectExpr("id % 7 * 1.0 as a", "id * 1.0 as b", "id % 2 as y")
+    got = select.knn_information(df, "y", ["a", "b"], k=1).collect()
+    assert [r["rank"] for r in got] and len(got) == 2
+    [(parts, plan)] = seen
+    assert parts >= spark.sparkContext.defaultParallelism
+    assert "range (0, 300" not in plan  # the input is not read again for every pass over its values
