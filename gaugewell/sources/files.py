@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewell.functions.columns import quoted
+from gaugewell.sources.splits import HEAD_BYTES, chained_md5, head_md5
 
 SUPPORTED = ("csv", "parquet", "xlsx", "json")
-HEAD_BYTES = 1024 * 1024
+#: Files up to this size, that of a usual split, are read whole by one task.
+WHOLE_BYTES = 128 * 1024 * 1024
 
 
 def inventory(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
@@ -35,11 +39,23 @@ def inventory(spark: SparkSession, path: str, max_bytes: int | None = None) -> D
     )
 
 
-def file_fingerprints(spark: SparkSession, path: str, head_only: bool = False) -> DataFrame:
-    """MD5 of each file, whole or of its first megabyte."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def file_fingerprints(spark: SparkSession, path: str, head_only: bool = False, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """MD5 of each file, whole or of its first megabyte.
+
+    Files over ``whole_bytes`` are read split by split, or only their first
+    megabyte, by jobs that run at once; those that Spark does not split (a
+    compressed file's suffix) are read whole like the others.
+    """
+    reader = spark.read.format("binaryFile")
+    files = reader.option("recursiveFileLookup", "true").load(path)
+    large = dict(files.where(F.col("length") > whole_bytes).select("path", "length").collect())
+    found = (head_md5 if head_only else chained_md5)(spark, large)
     content = F.substring("content", 1, HEAD_BYTES) if head_only else F.col("content")
-    return files.select("path", F.md5(content).alias("md5"))
+    prints = files.where(F.col("length") <= whole_bytes).select("path", F.md5(content).alias("md5"))
+    if refused := sorted(large.keys() - found.keys()):
+        rest = reader.load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in refused])
+        prints = prints.unionByName(rest.select("path", F.md5(content).alias("md5")))
+    return prints.unionByName(spark.createDataFrame(list(found.items()), prints.schema)) if found else prints
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
