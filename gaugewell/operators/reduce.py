@@ -261,10 +261,10 @@ def isomap(df: DataFrame, key: str, columns: Sequence[str] | None = None, compon
     not suffice is an error.  Rows in another component of the neighbour graph
     than a landmark have no distance to it and get null coordinates.
     """
-    from gaugewell.plans.neighbors import knn
+    from gaugewell.plans.neighbors import point_links
 
     rows, cols = _filled(df, columns, [key])
-    near = knn(rows, key, cols, k)
+    near = point_links(rows, key, cols, k)
     one_way = near.select(F.col("key").alias("a"), F.col("neighbor").alias("b"), "distance")
     edges = cut_lineage(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).groupBy("a", "b").agg(F.min("distance").alias("w")))
     h = F.xxhash64(quoted(key), F.lit(seed))
